@@ -21,8 +21,10 @@ from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, most_re
 from pitchside.plans.options import PRESET_VIEWS, StandingsOptions, resolve_sort
 from pitchside.schema import FORM_STRIP, POINTS_DRAW, POINTS_WIN
 
-CANONICAL = [F.col("points").desc(), F.col("goal_difference").desc(),
-             F.col("goals_for").desc(), F.col("name").asc()]
+def canonical() -> list[Column]:
+    """points desc, goal difference desc, goals for desc, name asc."""
+    return [F.col("points").desc(), F.col("goal_difference").desc(),
+            F.col("goals_for").desc(), F.col("name").asc()]
 
 STANDINGS_COLUMNS = ["competition", "season", "position", "team_id", "name", "short_name",
                      "played", "won", "drawn", "lost", "goals_for", "goals_against",
@@ -56,7 +58,7 @@ def form_strip(recent: DataFrame, keys=CLUB, width: int = FORM_STRIP) -> DataFra
 
 def rank_league(df: DataFrame, order=None, keys=LEAGUE, name: str = "position") -> DataFrame:
     """Canonical row_number inside each league-season, never global."""
-    w = Window.partitionBy(*keys).orderBy(*(order or CANONICAL))
+    w = Window.partitionBy(*keys).orderBy(*(order or canonical()))
     return df.withColumn(name, F.row_number().over(w))
 
 
@@ -86,7 +88,7 @@ def display_order(table: DataFrame, sort: tuple[str, str] | None) -> DataFrame:
     """
     column, ascending = resolve_sort(sort)
     first = F.col(column).asc() if ascending else F.col(column).desc()
-    return rank_league(table, [first, *CANONICAL], name="display_rank")
+    return rank_league(table, [first, *canonical()], name="display_rank")
 
 
 def opponent_set(base: DataFrame, preset: str) -> DataFrame:

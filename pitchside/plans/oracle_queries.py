@@ -19,3 +19,364 @@ SELECT id, competition, season, matchweek, kicks_off_at, team_id, opponent_id, g
 FROM cm""")
 
 ORACLES["standings"] = with_base(standings_sql() + f"\nSELECT {ST_COLS} FROM st")
+
+from pitchside.plans.oracles import BASE, HISTORY_SQL, mini_league_sql  # noqa: E402
+
+
+def _st(**kw) -> str:
+    return standings_sql(**kw)
+
+
+# ---- standings family -----------------------------------------------------
+
+ORACLES["standings_upto"] = with_base(
+    ",\ncm_u AS (SELECT * FROM cm WHERE matchweek <= 19)" + _st(cm="cm_u") + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_home"] = with_base(
+    ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h") + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_away"] = with_base(
+    ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a") + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_last6"] = with_base(_st(last_n=6) + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_top6"] = with_base(
+    _st(name="base") + mini_league_sql("base", "top6", "cm_t") + _st(cm="cm_t") + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_bottom_half"] = with_base(
+    _st(name="base") + mini_league_sql("base", "bottom-half", "cm_b") + _st(cm="cm_b")
+    + f"\nSELECT {ST_COLS} FROM st")
+ORACLES["standings_sorted"] = with_base(_st() + f"""
+SELECT {ST_COLS},
+       CAST(row_number() OVER (PARTITION BY competition, season
+            ORDER BY goals_against ASC, points DESC, goal_difference DESC, goals_for DESC, name ASC) AS INTEGER)
+       AS display_rank
+FROM st""")
+ORACLES["standings_views"] = with_base(
+    _st()
+    + _st(last_n=6, name="st_form")
+    + ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h", name="st_home")
+    + ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a", name="st_away")
+    + mini_league_sql("st", "top6", "cm_t") + _st(cm="cm_t", name="st_top6")
+    + f"""
+SELECT {ST_COLS}, 'full' AS view FROM st
+UNION ALL SELECT {ST_COLS}, 'form' FROM st_form
+UNION ALL SELECT {ST_COLS}, 'home' FROM st_home
+UNION ALL SELECT {ST_COLS}, 'away' FROM st_away
+UNION ALL SELECT {ST_COLS}, 'top6' FROM st_top6""")
+ORACLES["points_gaps"] = with_base(_st() + """,
+spine AS (SELECT competition, season,
+                 CAST(unnest(generate_series(max(points), min(points), -1)) AS INTEGER) AS points
+          FROM st GROUP BY competition, season)
+SELECT g.competition, g.season, g.points, s.team_id, s.short_name, s.played, s.position
+FROM spine g LEFT JOIN st s ON s.competition = g.competition AND s.season = g.season AND s.points = g.points""")
+
+_SPLIT_COLS = ("played", "won", "drawn", "lost", "goals_for", "goals_against", "points", "position")
+ORACLES["home_away_split"] = with_base(
+    ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h", name="sh")
+    + ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a", name="sa")
+    + "\nSELECT h.competition, h.season, h.team_id, h.name, "
+    + ", ".join([f"h.{c} AS home_{c}" for c in _SPLIT_COLS] + [f"a.{c} AS away_{c}" for c in _SPLIT_COLS])
+    + "\nFROM sh h JOIN sa a ON a.competition = h.competition AND a.season = h.season AND a.team_id = h.team_id")
+ORACLES["history_groups"] = with_base(_st() + HISTORY_SQL + """,
+n AS (SELECT competition, season, count(*) AS n FROM st GROUP BY competition, season),
+grp AS (
+  SELECT s.competition, s.season, 'top6' AS "group", s.team_id FROM st s WHERE s.position <= 6
+  UNION ALL
+  SELECT s.competition, s.season, 'bottom6', s.team_id FROM st s JOIN n USING (competition, season)
+  WHERE s.position > n.n - 6)
+SELECT p.competition, p.season, g."group", p.matchweek, p.team_id, p.position, p.points
+FROM ph p JOIN grp g ON g.competition = p.competition AND g.season = p.season AND g.team_id = p.team_id""")
+
+# ---- streaks, head-to-head, history ---------------------------------------
+
+_STREAKS = """,
+r AS (SELECT *, row_number() OVER (PARTITION BY competition, season, team_id
+                                   ORDER BY kicks_off_at DESC, id DESC) AS recency FROM {cm})
+SELECT r.competition, r.season, t.id AS team_id, t.name, t.short_name,
+       CAST(count(*) AS INTEGER) AS played,
+       CAST(coalesce(min(recency) FILTER (WHERE outcome <> 'W'), count(*) + 1) - 1 AS INTEGER) AS win_streak,
+       CAST(coalesce(min(recency) FILTER (WHERE outcome = 'L'), count(*) + 1) - 1 AS INTEGER) AS unbeaten_streak,
+       CAST(coalesce(min(recency) FILTER (WHERE outcome = 'W'), count(*) + 1) - 1 AS INTEGER) AS winless_streak,
+       CAST(coalesce(min(recency) FILTER (WHERE goals_against <> 0), count(*) + 1) - 1 AS INTEGER)
+         AS clean_sheet_streak
+FROM r JOIN teams t ON t.id = r.team_id
+GROUP BY r.competition, r.season, t.id, t.name, t.short_name"""
+ORACLES["streaks"] = with_base(_STREAKS.format(cm="cm"))
+ORACLES["streaks_home"] = with_base(
+    ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _STREAKS.format(cm="cm_h"))
+
+# Independent of the fan-out: every ordered pair straight from the matches.
+ORACLES["head_to_head"] = with_base("""
+, pm AS (SELECT * FROM matches WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL),
+pairs AS (SELECT DISTINCT competition, home_team_id AS a, away_team_id AS b FROM pm
+          UNION SELECT DISTINCT competition, away_team_id, home_team_id FROM pm)
+SELECT p.competition, p.a AS team_a_id, p.b AS team_b_id,
+       CAST(count(*) AS INTEGER) AS played,
+       CAST(count(*) FILTER (WHERE a_goals > b_goals) AS INTEGER) AS team_a_wins,
+       CAST(count(*) FILTER (WHERE a_goals = b_goals) AS INTEGER) AS draws,
+       CAST(count(*) FILTER (WHERE a_goals < b_goals) AS INTEGER) AS team_b_wins,
+       CAST(coalesce(sum(a_goals), 0) AS INTEGER) AS team_a_goals,
+       CAST(coalesce(sum(b_goals), 0) AS INTEGER) AS team_b_goals
+FROM pairs p JOIN (
+  SELECT m.*, p2.a, p2.b,
+         CASE WHEN m.home_team_id = p2.a THEN m.home_goals ELSE m.away_goals END AS a_goals,
+         CASE WHEN m.home_team_id = p2.a THEN m.away_goals ELSE m.home_goals END AS b_goals
+  FROM pm m JOIN pairs p2 ON p2.competition = m.competition
+   AND ((m.home_team_id = p2.a AND m.away_team_id = p2.b) OR (m.home_team_id = p2.b AND m.away_team_id = p2.a))
+) x ON x.competition = p.competition AND x.a = p.a AND x.b = p.b
+GROUP BY p.competition, p.a, p.b""")
+ORACLES["meetings"] = with_base("""
+, pm AS (SELECT *, least(home_team_id, away_team_id) AS team_a_id, greatest(home_team_id, away_team_id) AS team_b_id
+         FROM matches WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY competition, team_a_id, team_b_id
+                                        ORDER BY kicks_off_at DESC, id DESC) AS INTEGER) AS meeting FROM pm)
+SELECT rk.competition, rk.team_a_id, rk.team_b_id, rk.meeting, rk.id, rk.season, rk.kicks_off_at,
+       h.short_name AS home_name, a.short_name AS away_name, rk.home_goals, rk.away_goals
+FROM rk JOIN teams h ON h.id = rk.home_team_id JOIN teams a ON a.id = rk.away_team_id
+WHERE rk.meeting <= 10""")
+ORACLES["position_history"] = with_base(HISTORY_SQL + "\nSELECT * FROM ph")
+ORACLES["table_at_week"] = with_base(HISTORY_SQL + "\nSELECT * FROM ph WHERE matchweek = 19")
+ORACLES["club_line"] = with_base(HISTORY_SQL + """,
+fin AS (SELECT competition, season, team_id, max(matchweek) AS last_week FROM ph GROUP BY ALL)
+SELECT p.competition, p.season, p.team_id, p.matchweek, p.position, l.position AS final_position
+FROM ph p JOIN fin f USING (competition, season, team_id)
+JOIN ph l ON l.competition = f.competition AND l.season = f.season AND l.team_id = f.team_id
+         AND l.matchweek = f.last_week""")
+ORACLES["latest_season"] = with_base("""
+, ls AS (SELECT competition, max(season) FILTER (WHERE status = 'finished') AS season FROM matches GROUP BY competition)
+SELECT competition, season,
+       CASE WHEN season IS NOT NULL THEN concat(CAST(season AS VARCHAR), '/', substr(CAST(season + 1 AS VARCHAR), 3, 2))
+       END AS season_label
+FROM ls""")
+
+# ---- clubs, colours -----------------------------------------------------------
+
+_FIXTURES = """
+, fx AS (
+  SELECT f.competition, f.season, f.team_id, f.id, f.matchweek, f.kicks_off_at, f.status, f.venue,
+         f.opponent_id, t.name AS opponent_name, t.slug AS opponent_slug, f.goals_for, f.goals_against,
+         CASE WHEN f.status = 'finished' AND f.goals_for IS NOT NULL AND f.goals_against IS NOT NULL THEN
+           CASE WHEN f.goals_for > f.goals_against THEN 'W' WHEN f.goals_for = f.goals_against THEN 'D' ELSE 'L' END
+         END AS outcome
+  FROM fan f JOIN teams t ON t.id = f.opponent_id)"""
+ORACLES["club_fixtures"] = with_base(_FIXTURES + "\nSELECT * FROM fx")
+ORACLES["results_list"] = with_base(_FIXTURES + "\nSELECT * FROM fx WHERE outcome IS NOT NULL")
+_NEXT = """
+, nx AS (
+  SELECT f.competition, f.team_id, f.id, f.kicks_off_at, f.venue, f.opponent_id,
+         row_number() OVER (PARTITION BY f.competition, f.team_id ORDER BY f.kicks_off_at, f.id) AS rn
+  FROM fan f WHERE f.status IN ('scheduled', 'live') AND f.kicks_off_at >= TIMESTAMP '1998-01-01 00:00:00'),
+nf AS (
+  SELECT n.competition, n.team_id, n.id, n.kicks_off_at, n.venue, n.opponent_id, t.name AS opponent_name,
+         t.slug AS opponent_slug
+  FROM nx n JOIN teams t ON t.id = n.opponent_id WHERE n.rn = 1)"""
+ORACLES["next_fixture"] = with_base(_NEXT + "\nSELECT * FROM nf")
+ORACLES["slugs"] = with_base("""
+, o AS (SELECT slug, min(id) AS owner, CAST(count(*) AS INTEGER) AS n FROM teams GROUP BY slug)
+SELECT t.id, t.name, t.slug, t.id = o.owner AS owns_slug, o.n AS slug_collisions
+FROM teams t JOIN o USING (slug)""")
+ORACLES["club_profile"] = with_base(
+    _st() + _st(last_n=6, name="st6")
+    + ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h", name="sh")
+    + ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a", name="sa")
+    + _NEXT + """,
+rr AS (SELECT *, row_number() OVER (PARTITION BY competition, season, team_id
+                                    ORDER BY kicks_off_at DESC, id DESC) AS recency FROM cm),
+sk AS (
+  SELECT competition, season, team_id,
+         CAST(coalesce(min(recency) FILTER (WHERE outcome <> 'W'), count(*) + 1) - 1 AS INTEGER) AS win_streak,
+         CAST(coalesce(min(recency) FILTER (WHERE outcome = 'L'), count(*) + 1) - 1 AS INTEGER) AS unbeaten_streak,
+         CAST(coalesce(min(recency) FILTER (WHERE outcome = 'W'), count(*) + 1) - 1 AS INTEGER) AS winless_streak,
+         CAST(coalesce(min(recency) FILTER (WHERE goals_against <> 0), count(*) + 1) - 1 AS INTEGER)
+           AS clean_sheet_streak
+  FROM rr GROUP BY competition, season, team_id),
+hh AS (
+  SELECT competition, team_id AS a, opponent_id AS b, CAST(count(*) AS INTEGER) AS played,
+         CAST(count(*) FILTER (WHERE goals_for > goals_against) AS INTEGER) AS w,
+         CAST(count(*) FILTER (WHERE goals_for = goals_against) AS INTEGER) AS d,
+         CAST(count(*) FILTER (WHERE goals_for < goals_against) AS INTEGER) AS l
+  FROM cm GROUP BY competition, team_id, opponent_id)
+SELECT s.competition, s.season, s.team_id, s.name, s.slug, s.position, s.played, s.points, s.form,
+       CAST(count(*) OVER (PARTITION BY s.competition, s.season) AS INTEGER) AS clubs,
+       f.won AS form6_won, f.drawn AS form6_drawn, f.lost AS form6_lost, f.points AS form6_points,
+       k.win_streak, k.unbeaten_streak, k.winless_streak, k.clean_sheet_streak,
+       CASE WHEN a.team_id IS NOT NULL THEN h.position END AS home_position,
+       CASE WHEN a.team_id IS NOT NULL THEN h.points END AS home_points,
+       CASE WHEN h.team_id IS NOT NULL THEN a.position END AS away_position,
+       CASE WHEN h.team_id IS NOT NULL THEN a.points END AS away_points,
+       n.opponent_id AS next_opponent_id, n.kicks_off_at AS next_kicks_off_at, n.venue AS next_venue,
+       CASE WHEN n.opponent_id IS NOT NULL THEN coalesce(x.played, 0) END AS h2h_played,
+       CASE WHEN n.opponent_id IS NOT NULL THEN coalesce(x.w, 0) END AS h2h_wins,
+       CASE WHEN n.opponent_id IS NOT NULL THEN coalesce(x.d, 0) END AS h2h_draws,
+       CASE WHEN n.opponent_id IS NOT NULL THEN coalesce(x.l, 0) END AS h2h_losses
+FROM st s
+LEFT JOIN st6 f ON f.competition = s.competition AND f.season = s.season AND f.team_id = s.team_id
+LEFT JOIN sk k ON k.competition = s.competition AND k.season = s.season AND k.team_id = s.team_id
+LEFT JOIN sh h ON h.competition = s.competition AND h.season = s.season AND h.team_id = s.team_id
+LEFT JOIN sa a ON a.competition = s.competition AND a.season = s.season AND a.team_id = s.team_id
+LEFT JOIN nf n ON n.competition = s.competition AND n.team_id = s.team_id
+LEFT JOIN hh x ON x.competition = s.competition AND x.a = s.team_id AND x.b = n.opponent_id""")
+
+
+def _ch(v: str) -> str:
+    return f"(CASE WHEN ({v}) / 255.0 <= 0.03928 THEN ({v}) / 255.0 / 12.92 ELSE pow((({v}) / 255.0 + 0.055) / 1.055, 2.4) END)"
+
+
+def _lum(r: str, g: str, b: str) -> str:
+    return f"(0.2126 * {_ch(r)} + 0.7152 * {_ch(g)} + 0.0722 * {_ch(b)})"
+
+
+def _contrast(la: str, lb: str) -> str:
+    return f"((greatest({la}, {lb}) + 0.05) / (least({la}, {lb}) + 0.05))"
+
+
+def _hexpart(h: str, i: int) -> str:
+    digits = "'0123456789abcdef'"
+    return (f"CAST((instr({digits}, substr({h}, {i}, 1)) - 1) * 16 + (instr({digits}, substr({h}, {i + 1}, 1)) - 1)"
+            f" AS DOUBLE)")
+
+
+def _tohex(x: str) -> str:
+    return f"lpad(lower(hex(CAST(greatest(0, least(255, floor({x} + 0.5))) AS BIGINT))), 2, '0')"
+
+
+def _sat(r: str, g: str, b: str) -> str:
+    mx, mn = f"(greatest({r}, {g}, {b}) / 255.0)", f"(least({r}, {g}, {b}) / 255.0)"
+    return (f"(CASE WHEN {mx} = {mn} THEN 0.0 WHEN ({mx} + {mn}) / 2 > 0.5 THEN ({mx} - {mn}) / (2 - {mx} - {mn})"
+            f" ELSE ({mx} - {mn}) / ({mx} + {mn}) END)")
+
+
+def _clean(x: str) -> str:
+    h = f"lower(regexp_replace(trim({x}), '^#', ''))"
+    return f"(CASE WHEN regexp_full_match({h}, '[0-9a-f]{{6}}') THEN {h} END)"
+
+
+_COLOURS = BASE.replace("WITH teams0", "WITH RECURSIVE teams0", 1) + f""",
+hx AS (SELECT id, name, {_clean('primary_color')} AS ph, {_clean('secondary_color')} AS sh FROM teams),
+cols AS (SELECT id, name, {_hexpart('ph', 1)} AS pr, {_hexpart('ph', 3)} AS pg, {_hexpart('ph', 5)} AS pb,
+                {_hexpart('sh', 1)} AS sr, {_hexpart('sh', 3)} AS sg, {_hexpart('sh', 5)} AS sb FROM hx),
+grounds AS (SELECT * FROM (VALUES ('light', 244.0, 242.0, 237.0, '14161a'), ('dark', 20.0, 22.0, 26.0, 'e9e6df'))
+            g(ground, gr, gg, gb, fallback)),
+gl AS (SELECT *, {_lum('gr', 'gg', 'gb')} AS lg FROM grounds),
+c0 AS (
+  SELECT c.*, g.ground, g.lg, g.lg > 0.5 AS is_light, g.fallback,
+         CASE WHEN c.pr IS NULL THEN TRUE ELSE {_sat('c.pr', 'c.pg', 'c.pb')} < 0.15 END AS p_achro,
+         {_contrast(_lum('c.pr', 'c.pg', 'c.pb'), 'g.lg')} AS p_con,
+         {_contrast(_lum('c.sr', 'c.sg', 'c.sb'), 'g.lg')} AS s_con
+  FROM cols c CROSS JOIN gl g),
+c1 AS (
+  SELECT *, (p_achro AND sr IS NOT NULL) AS use_s,
+         CASE WHEN p_achro AND sr IS NOT NULL THEN sr ELSE pr END AS br,
+         CASE WHEN p_achro AND sr IS NOT NULL THEN sg ELSE pg END AS bg,
+         CASE WHEN p_achro AND sr IS NOT NULL THEN sb ELSE pb END AS bb
+  FROM c0),
+adj(id, ground, is_light, lg, i, r, g, b) AS (
+  SELECT id, ground, is_light, lg, 0, br, bg, bb FROM c1 WHERE br IS NOT NULL
+  UNION ALL
+  SELECT id, ground, is_light, lg, i + 1,
+         CASE WHEN is_light THEN 0.95 * r ELSE r + (255.0 - r) * 0.08 END,
+         CASE WHEN is_light THEN 0.95 * g ELSE g + (255.0 - g) * 0.08 END,
+         CASE WHEN is_light THEN 0.95 * b ELSE b + (255.0 - b) * 0.08 END
+  FROM adj WHERE i < 40 AND {_contrast(_lum('r', 'g', 'b'), 'lg')} < 3),
+fin AS (SELECT id, ground, arg_max(r, i) AS r, arg_max(g, i) AS g, arg_max(b, i) AS b FROM adj GROUP BY id, ground),
+res AS (
+  SELECT c.id, c.name, c.ground,
+         CASE WHEN c.pr IS NOT NULL AND c.p_con >= 3 THEN {_tohex('c.pr')} || {_tohex('c.pg')} || {_tohex('c.pb')}
+              WHEN c.p_achro AND c.sr IS NOT NULL AND c.s_con >= 3 THEN {_tohex('c.sr')} || {_tohex('c.sg')} || {_tohex('c.sb')}
+              WHEN c.br IS NULL THEN c.fallback
+              ELSE {_tohex('f.r')} || {_tohex('f.g')} || {_tohex('f.b')} END AS hex,
+         CASE WHEN c.pr IS NOT NULL AND c.p_con >= 3 THEN 'primary'
+              WHEN c.p_achro AND c.sr IS NOT NULL AND c.s_con >= 3 THEN 'secondary'
+              WHEN c.br IS NULL THEN 'fallback'
+              WHEN c.use_s THEN 'adjusted-secondary' ELSE 'adjusted-primary' END AS source,
+         round(CASE WHEN c.pr IS NOT NULL AND c.p_con >= 3 THEN c.p_con
+              WHEN c.p_achro AND c.sr IS NOT NULL AND c.s_con >= 3 THEN c.s_con
+              WHEN c.br IS NULL THEN {_contrast(_lum(_hexpart('c.fallback', 1), _hexpart('c.fallback', 3), _hexpart('c.fallback', 5)), 'c.lg')}
+              ELSE {_contrast(_lum('f.r', 'f.g', 'f.b'), 'c.lg')} END, 6) AS contrast
+  FROM c1 c LEFT JOIN fin f ON f.id = c.id AND f.ground = c.ground)"""
+ORACLES["club_colours"] = _COLOURS + """
+SELECT l.id, l.name, l.hex AS light_hex, l.source AS light_source, l.contrast AS light_contrast,
+       d.hex AS dark_hex, d.source AS dark_source, d.contrast AS dark_contrast,
+       '#' || l.hex AS css_light, '#' || d.hex AS css_dark
+FROM res l JOIN res d ON d.id = l.id AND d.ground = 'dark' WHERE l.ground = 'light'"""
+ORACLES["color_audit"] = _COLOURS + """
+SELECT ground, CAST(count(*) AS INTEGER) AS clubs, CAST(count(*) FILTER (WHERE contrast < 3) AS INTEGER)
+       AS below_threshold, min(contrast) AS worst_ratio
+FROM res GROUP BY ground"""
+ORACLES["feed_windows"] = with_base("""
+SELECT id,
+       strftime(kicks_off_at - INTERVAL 3 DAY, '%Y%m%d') || '-' || strftime(kicks_off_at + INTERVAL 10 DAY, '%Y%m%d')
+         AS recent_window,
+       CAST(season AS VARCHAR) || '0701-' || CAST(season + 1 AS VARCHAR) || '0630' AS season_window,
+       CAST(season AS VARCHAR) || '/' || substr(CAST(season + 1 AS VARCHAR), 3, 2) AS season_label
+FROM matches""")
+
+# ---- quality and audit -----------------------------------------------------------
+
+ORACLES["feed_health"] = with_base("""
+SELECT (SELECT CAST(count(*) AS INTEGER) FROM matches) AS matches,
+       (SELECT CAST(count(*) AS INTEGER) FROM teams) AS teams,
+       (SELECT max(updated_at) FROM matches) AS last_ingest_at,
+       CAST(floor((epoch(TIMESTAMP '2001-09-01 00:00:00') - epoch((SELECT max(updated_at) FROM matches))) / 60.0 + 0.5)
+            AS INTEGER) AS age_minutes""")
+ORACLES["status_counts"] = with_base(
+    "SELECT season, status, CAST(count(*) AS INTEGER) AS n FROM matches GROUP BY season, status")
+ORACLES["duplicate_keys"] = with_base("""
+SELECT (SELECT CAST(count(*) AS INTEGER) FROM teams) AS teams,
+       (SELECT CAST(count(*) AS INTEGER) FROM matches) AS matches,
+       (SELECT CAST(count(*) AS INTEGER) FROM (SELECT external_id FROM matches GROUP BY external_id
+                                              HAVING count(*) > 1) d) AS duplicate_external_ids,
+       (SELECT CAST(count(*) AS INTEGER) FROM (SELECT external_id FROM teams GROUP BY external_id
+                                              HAVING count(*) > 1) d) AS duplicate_team_external_ids""")
+_DCM = """
+, dcm AS (
+  SELECT d.competition, d.season, d.matchweek, m.id, m.kicks_off_at, m.home_team_id AS team_id
+  FROM dmw d JOIN matches m ON m.id = d.id
+  UNION ALL
+  SELECT d.competition, d.season, d.matchweek, m.id, m.kicks_off_at, m.away_team_id
+  FROM dmw d JOIN matches m ON m.id = d.id)"""
+ORACLES["matchweek_monotonic"] = with_base(_DCM + """
+, s AS (SELECT competition, season, matchweek,
+               lag(matchweek) OVER (PARTITION BY competition, season, team_id ORDER BY kicks_off_at, id) AS prev
+        FROM dcm)
+SELECT competition, season, CAST(count(*) FILTER (WHERE prev IS NOT NULL AND matchweek < prev) AS INTEGER)
+       AS violations
+FROM s GROUP BY competition, season""")
+ORACLES["matchweek_overplayed"] = with_base(_DCM + """
+, c AS (SELECT competition, season, matchweek,
+               count(*) OVER (PARTITION BY competition, season, team_id ORDER BY matchweek
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS games
+        FROM dcm)
+SELECT competition, season, CAST(count(*) FILTER (WHERE games > matchweek) AS INTEGER) AS violations
+FROM c GROUP BY competition, season""")
+ORACLES["games_per_club"] = with_base(_DCM + """
+, g AS (SELECT competition, season, team_id, count(*) AS games FROM dcm GROUP BY ALL)
+SELECT competition, season, CAST(min(games) AS INTEGER) AS min_games, CAST(max(games) AS INTEGER) AS max_games,
+       CAST(count(*) AS INTEGER) AS clubs
+FROM g GROUP BY competition, season""")
+ORACLES["league_balance"] = with_base(
+    _st()
+    + ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h", name="sh")
+    + ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a", name="sa") + """,
+t AS (SELECT competition, season, CAST(count(*) AS INTEGER) AS clubs, CAST(sum(played) AS INTEGER) AS sum_played,
+             CAST(sum(goals_for) AS INTEGER) AS sum_goals_for, CAST(sum(goals_against) AS INTEGER) AS sum_goals_against,
+             CAST(sum(goal_difference) AS INTEGER) AS sum_goal_difference FROM st GROUP BY ALL),
+h AS (SELECT competition, season, CAST(sum(played) AS INTEGER) AS home_played FROM sh GROUP BY ALL),
+a AS (SELECT competition, season, CAST(sum(played) AS INTEGER) AS away_played FROM sa GROUP BY ALL),
+n AS (SELECT competition, season, CAST(count(*) AS INTEGER) AS played_matches FROM matches
+      WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL GROUP BY ALL)
+SELECT t.*, h.home_played, a.away_played, n.played_matches,
+       (t.sum_goals_for = t.sum_goals_against AND t.sum_goal_difference = 0
+        AND t.sum_played = 2 * n.played_matches AND h.home_played + a.away_played = t.sum_played) AS balanced
+FROM t LEFT JOIN h USING (competition, season) LEFT JOIN a USING (competition, season)
+LEFT JOIN n USING (competition, season)""")
+ORACLES["history_shape"] = with_base(HISTORY_SQL + """
+SELECT competition, season, CAST(count(*) AS INTEGER) AS points, CAST(count(DISTINCT team_id) AS INTEGER) AS clubs,
+       CAST(max(matchweek) AS INTEGER) AS weeks,
+       CAST(count(DISTINCT team_id) * max(matchweek) AS INTEGER) AS expected,
+       count(*) = count(DISTINCT team_id) * max(matchweek) AS complete
+FROM ph GROUP BY competition, season""")
+ORACLES["leaders"] = with_base(
+    _st() + "\nSELECT competition, season, position, team_id, short_name, points FROM st WHERE position <= 5")
+ORACLES["unbeaten_leaders"] = with_base(
+    _STREAKS.format(cm="cm").replace("SELECT r.competition", ", s0 AS (SELECT r.competition", 1)
+    .rstrip() + """)
+, s1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY competition, season
+                                          ORDER BY unbeaten_streak DESC, name ASC) AS INTEGER) AS rank FROM s0)
+SELECT competition, season, rank, team_id, short_name, unbeaten_streak, win_streak FROM s1 WHERE rank <= 5""")

@@ -7,14 +7,22 @@ constants so the Spark query and its DuckDB oracle agree.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchside.functions import colour as co
+from pitchside.functions import feed as fd
+from pitchside.operators import club as cl
 from pitchside.operators import club_matches as cmo
+from pitchside.operators import head_to_head as h2h
+from pitchside.operators import history as hi
 from pitchside.operators import matchweek as mw
+from pitchside.operators import quality as qa
 from pitchside.operators import standings as st
+from pitchside.operators import streaks as sk
 from pitchside.plans.catalog import league
 from pitchside.plans.options import StandingsOptions
 
@@ -25,6 +33,9 @@ REGISTRY: dict[str, Query] = {}
 UPTO_WEEK = 19
 HISTORY_WEEK = 19
 SORT = ("goalsAgainst", "asc")
+NOW_FIXTURES = dt.datetime(1998, 1, 1)
+NOW_HEALTH = dt.datetime(2001, 9, 1)
+FORM_WINDOW = 6
 
 
 def query(fn: Query) -> Query:
@@ -53,3 +64,237 @@ def _standings(spark, sf_dir, **opts):
 @query
 def standings(spark, sf_dir):
     return _standings(spark, sf_dir)
+
+
+# ---- standings family (B5-B21) -------------------------------------------
+
+@query
+def standings_upto(spark, sf_dir):
+    return _standings(spark, sf_dir, upto_match=UPTO_WEEK)
+
+
+@query
+def standings_home(spark, sf_dir):
+    return _standings(spark, sf_dir, venue="home")
+
+
+@query
+def standings_away(spark, sf_dir):
+    return _standings(spark, sf_dir, venue="away")
+
+
+@query
+def standings_last6(spark, sf_dir):
+    return _standings(spark, sf_dir, last_n=FORM_WINDOW)
+
+
+@query
+def standings_top6(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return st.standings_with_preset(lg.matches, lg.teams, StandingsOptions(), "top6")
+
+
+@query
+def standings_bottom_half(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return st.standings_with_preset(lg.matches, lg.teams, StandingsOptions(), "bottom-half")
+
+
+@query
+def standings_sorted(spark, sf_dir):
+    return st.display_order(_standings(spark, sf_dir), SORT)
+
+
+@query
+def standings_views(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return st.standings_views(lg.matches, lg.teams)
+
+
+@query
+def points_gaps(spark, sf_dir):
+    return st.points_gaps(_standings(spark, sf_dir))
+
+
+@query
+def home_away_split(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return st.home_away_split(lg.matches, lg.teams)
+
+
+@query
+def history_groups(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    groups = st.final_table_groups(st.standings(lg.matches, lg.teams))
+    hist = hi.position_history(lg.matches, lg.teams)
+    return hist.join(groups.select("competition", "season", "group", "team_id"),
+                     ["competition", "season", "team_id"]).select(
+        "competition", "season", "group", "matchweek", "team_id", "position", "points")
+
+
+# ---- streaks, head-to-head, history (T1, H1-H3, P1-P3, L1) ----------------
+
+@query
+def streaks(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return sk.streaks(lg.matches, lg.teams)
+
+
+@query
+def streaks_home(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return sk.streaks(lg.matches, lg.teams, StandingsOptions(venue="home"))
+
+
+@query
+def head_to_head(spark, sf_dir):
+    return h2h.head_to_head(league(spark, sf_dir).matches)
+
+
+@query
+def meetings(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return h2h.meetings(lg.matches, lg.teams)
+
+
+@query
+def position_history(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return hi.position_history(lg.matches, lg.teams)
+
+
+@query
+def table_at_week(spark, sf_dir):
+    return hi.table_at_week(position_history(spark, sf_dir), HISTORY_WEEK)
+
+
+@query
+def club_line(spark, sf_dir):
+    return hi.club_line(position_history(spark, sf_dir))
+
+
+@query
+def latest_season(spark, sf_dir):
+    return cl.latest_season(league(spark, sf_dir).matches)
+
+
+# ---- clubs (C1-C5) and colours (F1-F8) -------------------------------------
+
+@query
+def club_fixtures(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return cl.club_fixtures(lg.matches, lg.teams)
+
+
+@query
+def results_list(spark, sf_dir):
+    return cl.results_list(club_fixtures(spark, sf_dir))
+
+
+@query
+def next_fixture(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return cl.next_fixture(lg.matches, lg.teams, NOW_FIXTURES)
+
+
+@query
+def club_profile(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return cl.club_profile(lg.matches, lg.teams, NOW_FIXTURES)
+
+
+@query
+def slugs(spark, sf_dir):
+    return cl.slugs(league(spark, sf_dir).teams)
+
+
+@query
+def club_colours(spark, sf_dir):
+    t = league(spark, sf_dir).teams
+    out = t.select("id", "name", "primary_color", "secondary_color")
+    for label, ground in (("light", co.GROUND_LIGHT), ("dark", co.GROUND_DARK)):
+        out = out.withColumn(label, co.resolve_club_color(F.col("primary_color"), F.col("secondary_color"), ground))
+    return out.select(
+        "id", "name",
+        F.col("light.hex").alias("light_hex"), F.col("light.source").alias("light_source"),
+        F.round("light.contrast", 6).alias("light_contrast"),
+        F.col("dark.hex").alias("dark_hex"), F.col("dark.source").alias("dark_source"),
+        F.round("dark.contrast", 6).alias("dark_contrast"),
+        co.club_color_pair(F.col("primary_color"), F.col("secondary_color"))["light"].alias("css_light"),
+        co.club_color_pair(F.col("primary_color"), F.col("secondary_color"))["dark"].alias("css_dark"))
+
+
+@query
+def color_audit(spark, sf_dir):
+    c = club_colours(spark, sf_dir)
+    rows = c.select(F.inline(F.array(
+        F.struct(F.lit("light").alias("ground"), F.col("light_contrast").alias("ratio")),
+        F.struct(F.lit("dark").alias("ground"), F.col("dark_contrast").alias("ratio")))))
+    return rows.groupBy("ground").agg(
+        F.count(F.lit(1)).cast("int").alias("clubs"),
+        F.count_if(F.col("ratio") < co.MIN_CONTRAST).cast("int").alias("below_threshold"),
+        F.min("ratio").alias("worst_ratio"))
+
+
+@query
+def feed_windows(spark, sf_dir):
+    m = league(spark, sf_dir).matches
+    return m.select("id", fd.recent_window(F.col("kicks_off_at")).alias("recent_window"),
+                    fd.season_window(F.col("season")).alias("season_window"),
+                    fd.season_label(F.col("season")).alias("season_label"))
+
+
+# ---- quality and audit (Q1-Q10) ---------------------------------------------
+
+@query
+def feed_health(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return qa.feed_health(lg.matches, lg.teams, NOW_HEALTH)
+
+
+@query
+def status_counts(spark, sf_dir):
+    return qa.status_counts(league(spark, sf_dir).matches)
+
+
+@query
+def duplicate_keys(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return qa.duplicate_keys(lg.matches, lg.teams)
+
+
+@query
+def matchweek_monotonic(spark, sf_dir):
+    return qa.matchweek_monotonic(league(spark, sf_dir).matches)
+
+
+@query
+def matchweek_overplayed(spark, sf_dir):
+    return qa.matchweek_overplayed(league(spark, sf_dir).matches)
+
+
+@query
+def games_per_club(spark, sf_dir):
+    return qa.games_per_club(league(spark, sf_dir).matches)
+
+
+@query
+def league_balance(spark, sf_dir):
+    lg = league(spark, sf_dir)
+    return qa.league_balance(_standings(spark, sf_dir), standings_home(spark, sf_dir),
+                             standings_away(spark, sf_dir), lg.matches)
+
+
+@query
+def history_shape(spark, sf_dir):
+    return qa.history_shape(position_history(spark, sf_dir))
+
+
+@query
+def leaders(spark, sf_dir):
+    return qa.leaders(_standings(spark, sf_dir))
+
+
+@query
+def unbeaten_leaders(spark, sf_dir):
+    return qa.unbeaten_leaders(streaks(spark, sf_dir))
