@@ -7,7 +7,7 @@ hex <-> rgb, WCAG luminance and contrast, HSL achromatic test, the bounded
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's.
@@ -97,7 +97,8 @@ def adjust_to_contrast(rgb: Column, ground: Column, ground_is_light: bool) -> Co
 
 
 def resolve_club_color(primary: Column, secondary: Column, ground_hex: str = GROUND_LIGHT) -> Column:
-    """F6 -> struct(hex, source, contrast)."""
+    """F6 -> struct(hex, source, contrast) as one expression (for a few rows;
+    ``resolve_colours`` stages the same rules for a whole table)."""
     ground = parse_hex(F.lit(ground_hex))
     ground_is_light = _py_lum(ground_hex) > 0.5
     p, s = parse_hex(primary), parse_hex(secondary)
@@ -108,18 +109,48 @@ def resolve_club_color(primary: Column, secondary: Column, ground_hex: str = GRO
     base = F.when(use_secondary, s).otherwise(p)
     adjusted = adjust_to_contrast(base, ground, ground_is_light)
     fallback = FALLBACK_ON_LIGHT if ground_is_light else FALLBACK_ON_DARK
-    fb = parse_hex(F.lit(fallback))
-
-    def pick(hex_, source, ratio):
-        return F.struct(hex_.alias("hex"), F.lit(source).alias("source") if isinstance(source, str)
-                        else source.alias("source"), ratio.alias("contrast"))
-
-    return (F.when(p_ok, pick(to_hex(p), "primary", contrast(p, ground)))
-            .when(s_ok, pick(to_hex(s), "secondary", contrast(s, ground)))
-            .when(base.isNull(), pick(F.lit(fallback), "fallback", contrast(fb, ground)))
-            .otherwise(pick(to_hex(adjusted),
-                            F.when(use_secondary, F.lit("adjusted-secondary")).otherwise(F.lit("adjusted-primary")),
-                            contrast(adjusted, ground))))
+    return (F.when(p_ok, _pick(to_hex(p), F.lit("primary"), contrast(p, ground)))
+            .when(s_ok, _pick(to_hex(s), F.lit("secondary"), contrast(s, ground)))
+            .when(base.isNull(), _pick(F.lit(fallback), F.lit("fallback"),
+                                       contrast(parse_hex(F.lit(fallback)), ground)))
+            .otherwise(_pick(to_hex(adjusted), F.when(use_secondary, F.lit("adjusted-secondary"))
+                             .otherwise(F.lit("adjusted-primary")), contrast(adjusted, ground))))
+
+
+def _pick(hex_: Column, source: Column, ratio: Column) -> Column:
+    return F.struct(hex_.alias("hex"), source.alias("source"), ratio.alias("contrast"))
+
+
+def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str, out: str) -> DataFrame:
+    """F6 over a DataFrame: adds struct column ``out`` (hex, source, contrast).
+
+    The rules are staged over separate projections so that the bounded
+    40-step ``aggregate`` is evaluated once per row and not inlined into every
+    branch that reads it.
+    """
+    ground = parse_hex(F.lit(ground_hex))
+    ground_is_light = _py_lum(ground_hex) > 0.5
+    fallback = FALLBACK_ON_LIGHT if ground_is_light else FALLBACK_ON_DARK
+    t = (df.withColumn("_p", parse_hex(F.col(primary)))
+         .withColumn("_s", parse_hex(F.col(secondary))))
+    t = (t.withColumn("_p_con", contrast(F.col("_p"), ground))
+         .withColumn("_s_con", contrast(F.col("_s"), ground))
+         .withColumn("_p_achro", F.when(F.col("_p").isNull(), F.lit(True)).otherwise(is_achromatic(F.col("_p")))))
+    t = t.withColumn("_use_s", F.col("_p_achro") & F.col("_s").isNotNull())
+    t = t.withColumn("_base", F.when(F.col("_use_s"), F.col("_s")).otherwise(F.col("_p")))
+    t = t.withColumn("_adj", adjust_to_contrast(F.col("_base"), ground, ground_is_light))
+    t = t.withColumn("_adj_con", contrast(F.col("_adj"), ground))
+    p, s, adj = F.col("_p"), F.col("_s"), F.col("_adj")
+    rule = (F.when(p.isNotNull() & (F.col("_p_con") >= MIN_CONTRAST),
+                   _pick(to_hex(p), F.lit("primary"), F.col("_p_con")))
+            .when(F.col("_use_s") & (F.col("_s_con") >= MIN_CONTRAST),
+                  _pick(to_hex(s), F.lit("secondary"), F.col("_s_con")))
+            .when(F.col("_base").isNull(),
+                  _pick(F.lit(fallback), F.lit("fallback"), contrast(parse_hex(F.lit(fallback)), ground)))
+            .otherwise(_pick(to_hex(adj), F.when(F.col("_use_s"), F.lit("adjusted-secondary"))
+                             .otherwise(F.lit("adjusted-primary")), F.col("_adj_con"))))
+    return t.withColumn(out, rule).drop("_p", "_s", "_p_con", "_s_con", "_p_achro", "_use_s", "_base",
+                                        "_adj", "_adj_con")
 
 
 def club_color_pair(primary: Column, secondary: Column) -> Column:

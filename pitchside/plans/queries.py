@@ -210,18 +210,17 @@ def slugs(spark, sf_dir):
 
 @query
 def club_colours(spark, sf_dir):
-    t = league(spark, sf_dir).teams
-    out = t.select("id", "name", "primary_color", "secondary_color")
+    out = league(spark, sf_dir).teams.select("id", "name", "primary_color", "secondary_color")
     for label, ground in (("light", co.GROUND_LIGHT), ("dark", co.GROUND_DARK)):
-        out = out.withColumn(label, co.resolve_club_color(F.col("primary_color"), F.col("secondary_color"), ground))
+        out = co.resolve_colours(out, "primary_color", "secondary_color", ground, label)
     return out.select(
         "id", "name",
         F.col("light.hex").alias("light_hex"), F.col("light.source").alias("light_source"),
         F.round("light.contrast", 6).alias("light_contrast"),
         F.col("dark.hex").alias("dark_hex"), F.col("dark.source").alias("dark_source"),
         F.round("dark.contrast", 6).alias("dark_contrast"),
-        co.club_color_pair(F.col("primary_color"), F.col("secondary_color"))["light"].alias("css_light"),
-        co.club_color_pair(F.col("primary_color"), F.col("secondary_color"))["dark"].alias("css_dark"))
+        F.concat(F.lit("#"), F.col("light.hex")).alias("css_light"),
+        F.concat(F.lit("#"), F.col("dark.hex")).alias("css_dark"))
 
 
 @query
