@@ -32,7 +32,7 @@ class League:
 
 
 _CACHE: dict[tuple[str, str], League] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def enrich_teams(teams: DataFrame) -> DataFrame:

@@ -380,3 +380,69 @@ ORACLES["unbeaten_leaders"] = with_base(
 , s1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY competition, season
                                           ORDER BY unbeaten_streak DESC, name ASC) AS INTEGER) AS rank FROM s0)
 SELECT competition, season, rank, team_id, short_name, unbeaten_streak, win_streak FROM s1 WHERE rank <= 5""")
+
+# ---- feed, normalisation, upsert ------------------------------------------------
+
+ORACLES["normalize_events"] = with_base("""
+SELECT m.external_id, m.competition, m.season, m.kicks_off_at, m.status,
+       h.external_id AS home_external_id, h.name AS home_name, h.short_name AS home_short_name,
+       h.primary_color AS home_primary_color, a.external_id AS away_external_id,
+       a.secondary_color AS away_secondary_color, m.home_goals, m.away_goals,
+       CASE WHEN m.status = 'live' THEN m.minute END AS minute,
+       CASE WHEN m.status = 'live' THEN m.stoppage_minute END AS stoppage_minute
+FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id
+WHERE m.id % 211 <> 0 AND m.id % 223 <> 0""")
+ORACLES["quarantine"] = with_base(
+    "SELECT external_id, 'unparseable event' AS reason FROM raw WHERE id % 211 = 0 OR id % 223 = 0")
+
+# Stored state: clubs id % 4 <> 1, matches id % 10 <> 3. Deliveries: 1 = all
+# matches scheduled 0-0, 2 = final state of id % 10 <> 0. New ids follow
+# (first delivery, external id) after the stored maximum.
+UPSERT_CTES = """
+, appear AS (SELECT home_team_id AS tid FROM raw UNION SELECT away_team_id FROM raw),
+st_teams AS (SELECT id, external_id, name, short_name, crest_url, primary_color, secondary_color
+             FROM teams0 WHERE id % 4 <> 1),
+new_teams AS (
+  SELECT CAST((SELECT max(id) FROM st_teams) + row_number() OVER (ORDER BY external_id) AS INTEGER) AS id,
+         external_id, name, short_name, crest_url, primary_color, secondary_color
+  FROM teams0 WHERE id % 4 = 1 AND id IN (SELECT tid FROM appear)),
+up_teams AS (SELECT * FROM st_teams UNION ALL SELECT * FROM new_teams),
+tmap AS (SELECT t0.id AS old_id, u.id AS new_id FROM teams0 t0 JOIN up_teams u USING (external_id)),
+dl AS (
+  SELECT m.id AS orig_id, m.matchweek AS orig_matchweek, m.external_id, m.competition, m.season, m.kicks_off_at,
+         CASE WHEN m.id % 10 <> 0 THEN m.status ELSE 'scheduled' END AS status,
+         hm.new_id AS home_team_id, am.new_id AS away_team_id,
+         CASE WHEN m.id % 10 <> 0 THEN m.home_goals ELSE 0 END AS home_goals,
+         CASE WHEN m.id % 10 <> 0 THEN m.away_goals ELSE 0 END AS away_goals,
+         CASE WHEN m.id % 10 <> 0 THEN m.minute END AS minute,
+         CASE WHEN m.id % 10 <> 0 THEN m.stoppage_minute END AS stoppage_minute
+  FROM matches m JOIN tmap hm ON hm.old_id = m.home_team_id JOIN tmap am ON am.old_id = m.away_team_id),
+newm AS (SELECT external_id,
+                CAST((SELECT max(id) FROM raw WHERE id % 10 <> 3) + row_number() OVER (ORDER BY external_id) AS INTEGER)
+                  AS new_id
+         FROM raw WHERE id % 10 = 3),
+up_matches AS (
+  SELECT coalesce(n.new_id, d.orig_id) AS id, d.external_id, d.competition, d.season,
+         CASE WHEN n.new_id IS NULL THEN d.orig_matchweek END AS matchweek,
+         d.kicks_off_at, d.status, d.home_team_id, d.away_team_id, d.home_goals, d.away_goals, d.minute,
+         d.stoppage_minute, TIMESTAMP '2001-09-01 12:00:00' AS updated_at
+  FROM dl d LEFT JOIN newm n USING (external_id)),
+fan_u AS (SELECT id, competition, season, kicks_off_at, home_team_id AS team_id FROM up_matches
+          WHERE status <> 'cancelled'
+          UNION ALL SELECT id, competition, season, kicks_off_at, away_team_id FROM up_matches
+          WHERE status <> 'cancelled'),
+dmw_u AS (SELECT id, CAST(max(nth) AS INTEGER) AS mw FROM (
+            SELECT id, row_number() OVER (PARTITION BY competition, season, team_id ORDER BY kicks_off_at, id) AS nth
+            FROM fan_u) x GROUP BY id),
+changes AS (SELECT u.id, u.competition, u.season, u.matchweek AS old_matchweek, d.mw AS new_matchweek
+            FROM up_matches u JOIN dmw_u d ON d.id = u.id WHERE u.matchweek IS DISTINCT FROM d.mw)"""
+ORACLES["upsert_teams"] = with_base(UPSERT_CTES + "\nSELECT * FROM up_teams")
+ORACLES["upsert_matches"] = with_base(UPSERT_CTES + "\nSELECT * FROM up_matches")
+ORACLES["refresh_matchweeks"] = with_base(UPSERT_CTES + "\nSELECT * FROM changes")
+ORACLES["ingest_report"] = with_base(UPSERT_CTES + """
+SELECT 'backfill' AS window,
+       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS INTEGER) AS fetched,
+       CAST((SELECT count(*) FROM appear) AS INTEGER) AS teams_upserted,
+       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS INTEGER) AS matches_upserted,
+       CAST((SELECT count(*) FROM changes) AS INTEGER) AS matchweeks_updated,
+       0 AS skipped""")

@@ -22,7 +22,10 @@ from pitchside.operators import history as hi
 from pitchside.operators import matchweek as mw
 from pitchside.operators import quality as qa
 from pitchside.operators import standings as st
+from pitchside.operators import normalize as nz
 from pitchside.operators import streaks as sk
+from pitchside.operators import upsert as up
+from pitchside.plans import deliveries as dl
 from pitchside.plans.catalog import league
 from pitchside.plans.options import StandingsOptions
 
@@ -297,3 +300,53 @@ def leaders(spark, sf_dir):
 @query
 def unbeaten_leaders(spark, sf_dir):
     return qa.unbeaten_leaders(streaks(spark, sf_dir))
+
+
+# ---- feed, normalisation, upsert (S1-S7, N1-N10, U1-U7) -----------------------
+
+def _normalized(spark, sf_dir):
+    return nz.normalize_events(dl.feed_events(spark, sf_dir))
+
+
+@query
+def normalize_events(spark, sf_dir):
+    good, _ = nz.split_valid(_normalized(spark, sf_dir))
+    return good.select(
+        "external_id", "competition", "season", "kicks_off_at", "status",
+        F.col("home.external_id").alias("home_external_id"), F.col("home.name").alias("home_name"),
+        F.col("home.short_name").alias("home_short_name"),
+        F.col("home.primary_color").alias("home_primary_color"),
+        F.col("away.external_id").alias("away_external_id"),
+        F.col("away.secondary_color").alias("away_secondary_color"),
+        "home_goals", "away_goals", "minute", "stoppage_minute")
+
+
+@query
+def quarantine(spark, sf_dir):
+    _, bad = nz.split_valid(_normalized(spark, sf_dir))
+    return bad.select("external_id", "reason")
+
+
+def _ingest(spark, sf_dir):
+    return dl.batch_ingest(spark, sf_dir)
+
+
+@query
+def upsert_teams(spark, sf_dir):
+    return _ingest(spark, sf_dir).teams
+
+
+@query
+def upsert_matches(spark, sf_dir):
+    return _ingest(spark, sf_dir).upserted
+
+
+@query
+def refresh_matchweeks(spark, sf_dir):
+    return _ingest(spark, sf_dir).changes.select(
+        "id", "competition", "season", F.col("old").alias("old_matchweek"), F.col("new").alias("new_matchweek"))
+
+
+@query
+def ingest_report(spark, sf_dir):
+    return _ingest(spark, sf_dir).report
