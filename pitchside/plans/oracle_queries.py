@@ -446,3 +446,50 @@ SELECT 'backfill' AS window,
        CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS INTEGER) AS matches_upserted,
        CAST((SELECT count(*) FROM changes) AS INTEGER) AS matchweeks_updated,
        0 AS skipped""")
+# Stream: delivery 1 then delivery 2, each followed by a matchweek refresh;
+# a match cancelled in delivery 2 keeps the number delivery 1 gave it.
+ORACLES["ingest_stream"] = with_base(UPSERT_CTES + """,
+fan_1 AS (SELECT id, competition, season, kicks_off_at, home_team_id AS team_id FROM up_matches
+          UNION ALL SELECT id, competition, season, kicks_off_at, away_team_id FROM up_matches),
+dmw_1 AS (SELECT id, CAST(max(nth) AS INTEGER) AS mw FROM (
+            SELECT id, row_number() OVER (PARTITION BY competition, season, team_id ORDER BY kicks_off_at, id) AS nth
+            FROM fan_1) x GROUP BY id),
+touched_2 AS (SELECT DISTINCT competition, season FROM raw WHERE id % 10 <> 0)
+SELECT u.id, u.external_id, u.competition, u.season,
+       CASE WHEN t.competition IS NULL OR u.status = 'cancelled' THEN d1.mw ELSE d2.mw END AS matchweek,
+       u.kicks_off_at, u.status, u.home_team_id, u.away_team_id, u.home_goals, u.away_goals, u.minute,
+       u.stoppage_minute, u.updated_at
+FROM up_matches u JOIN dmw_1 d1 ON d1.id = u.id LEFT JOIN dmw_u d2 ON d2.id = u.id
+LEFT JOIN touched_2 t ON t.competition = u.competition AND t.season = u.season""")
+ORACLES["view_requests"] = with_base("""
+, rq AS (
+  SELECT id, competition,
+         CASE id % 6 WHEN 0 THEN CAST(season AS VARCHAR) WHEN 1 THEN 'abc' WHEN 2 THEN '2000'
+                     WHEN 3 THEN CAST(season AS VARCHAR) || '.5' WHEN 5 THEN ' 2001 ' END AS season_raw,
+         CASE id % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'home' WHEN 2 THEN 'away' WHEN 3 THEN 'HOME' END AS venue_raw,
+         CASE id % 7 WHEN 0 THEN '6' WHEN 1 THEN '0' WHEN 2 THEN '45' WHEN 3 THEN '-3' WHEN 4 THEN 'x'
+                     WHEN 6 THEN '12' END AS last_raw,
+         CASE id % 4 WHEN 0 THEN 'top6' WHEN 1 THEN 'bottom-half' WHEN 2 THEN 'all' ELSE 'top3' END AS opponents_raw,
+         CASE id % 12 WHEN 0 THEN 'position' WHEN 1 THEN 'name' WHEN 2 THEN 'played' WHEN 3 THEN 'won'
+                      WHEN 4 THEN 'drawn' WHEN 5 THEN 'lost' WHEN 6 THEN 'goalsFor' WHEN 7 THEN 'goalsAgainst'
+                      WHEN 8 THEN 'goalDifference' WHEN 9 THEN 'points' WHEN 10 THEN 'drop table teams' END AS sort_raw,
+         CASE id % 3 WHEN 0 THEN 'asc' WHEN 1 THEN 'desc' ELSE 'DESC' END AS dir_raw
+  FROM matches),
+dflt AS (SELECT competition, coalesce(max(season) FILTER (WHERE status = 'finished'), 2025) AS d
+         FROM matches GROUP BY competition),
+num AS (SELECT rq.*, dflt.d,
+               CASE WHEN trim(season_raw) = '' THEN 0.0
+                    WHEN regexp_full_match(trim(season_raw), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')
+                    THEN TRY_CAST(trim(season_raw) AS DOUBLE) END AS n
+        FROM rq LEFT JOIN dflt USING (competition))
+SELECT id, competition,
+       CASE WHEN n IS NOT NULL AND n = floor(n) AND n BETWEEN 2000 AND 2100 THEN CAST(n AS INTEGER)
+            ELSE CAST(d AS INTEGER) END AS season,
+       CASE WHEN venue_raw IN ('all', 'home', 'away') THEN venue_raw ELSE 'all' END AS venue,
+       CASE WHEN regexp_full_match(last_raw, '\\d+') AND least(38, CAST(last_raw AS DOUBLE)) > 0
+            THEN CAST(least(38, CAST(last_raw AS DOUBLE)) AS INTEGER) END AS last_n,
+       CASE WHEN opponents_raw IN ('all', 'top6', 'bottom-half') THEN opponents_raw ELSE 'all' END AS opponents,
+       CASE WHEN sort_raw IN ('position', 'name', 'played', 'won', 'drawn', 'lost', 'goalsFor', 'goalsAgainst',
+                              'goalDifference', 'points') THEN sort_raw ELSE 'position' END AS sort,
+       CASE WHEN dir_raw = 'desc' THEN 'desc' ELSE 'asc' END AS direction
+FROM num""")

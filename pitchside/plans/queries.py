@@ -350,3 +350,17 @@ def refresh_matchweeks(spark, sf_dir):
 @query
 def ingest_report(spark, sf_dir):
     return _ingest(spark, sf_dir).report
+
+
+@query
+def ingest_stream(spark, sf_dir):
+    _, matches = dl.stream_ingest(spark, sf_dir)
+    return matches
+
+
+@query
+def view_requests(spark, sf_dir):
+    from pitchside.plans import views
+
+    m = league(spark, sf_dir).matches
+    return views.validate_requests(views.requests_from_matches(m), m)

@@ -1,0 +1,58 @@
+"""Versioned parquet snapshots of ``teams`` and ``matches``.
+
+Plain parquet has no MERGE, and a plan must never overwrite the path it
+reads. Each commit writes a fresh ``v=<n>`` folder and then appends one row
+to a small commit log; readers take the newest logged version. The log also
+records the stream batch id, which makes ``foreachBatch`` idempotent (a
+replayed batch finds its id and writes nothing).
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pitchside.plans.catalog import read_matches, write_matches
+
+LOG_SCHEMA = T.StructType([
+    T.StructField("version", T.LongType()),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("committed_at", T.StringType()),
+])
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log")
+    except Exception:  # no commit yet: the folder does not exist
+        return spark.createDataFrame([], LOG_SCHEMA)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    return _log(spark, root).agg(F.max("version")).first()[0]
+
+
+def committed_batch(spark: SparkSession, root: str, batch_id: int) -> bool:
+    return _log(spark, root).filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+
+
+def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
+           batch_id: int = -1) -> int:
+    version = (latest_version(spark, root) or 0) + 1
+    path = f"{root}/v={version}"
+    teams.write.mode("overwrite").parquet(f"{path}/teams")
+    write_matches(matches, f"{path}/matches")
+    row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat())]
+    spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_log")
+    return version
+
+
+def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    version = latest_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no snapshot committed under {root}")
+    path = f"{root}/v={version}"
+    return spark.read.parquet(f"{path}/teams"), read_matches(spark, f"{path}/matches")
