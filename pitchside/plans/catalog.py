@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.slug import slugify
 from pitchside.operators.matchweek import with_matchweeks
-from pitchside.schema import MATCH_COLUMNS
+from pitchside.schema import MATCH_COLUMNS, MATCHES
 from pitchside.session import configure, scratch_path
 from pitchside.sources.league import raw_league
 
@@ -48,7 +48,7 @@ def write_matches(matches: DataFrame, path: str) -> None:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(MATCH_COLUMNS)
+    return spark.read.schema(MATCHES).parquet(path).select(MATCH_COLUMNS)
 
 
 def build_league(spark: SparkSession, sf_dir: str, path: str) -> League:

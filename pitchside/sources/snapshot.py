@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchside.plans.catalog import read_matches, write_matches
+from pitchside.schema import TEAM_COLUMNS, TEAMS
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
@@ -43,7 +44,7 @@ def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
            batch_id: int = -1) -> int:
     version = (latest_version(spark, root) or 0) + 1
     path = f"{root}/v={version}"
-    teams.write.mode("overwrite").parquet(f"{path}/teams")
+    teams.select(TEAM_COLUMNS).write.mode("overwrite").parquet(f"{path}/teams")
     write_matches(matches, f"{path}/matches")
     row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat())]
     spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_log")
@@ -55,4 +56,5 @@ def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     if version is None:
         raise FileNotFoundError(f"no snapshot committed under {root}")
     path = f"{root}/v={version}"
-    return spark.read.parquet(f"{path}/teams"), read_matches(spark, f"{path}/matches")
+    return (spark.read.schema(TEAMS).parquet(f"{path}/teams").select(TEAM_COLUMNS),
+            read_matches(spark, f"{path}/matches"))
