@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchside.operators.ranking import running_number
 from pitchside.plans.options import StandingsOptions
 
 LEAGUE = ["competition", "season"]
@@ -92,7 +93,8 @@ def most_recent(cm: DataFrame, n: int) -> DataFrame:
 
 
 def with_recency(cm: DataFrame) -> DataFrame:
-    return cm.withColumn("recency", F.row_number().over(recency_window()))
+    """Recency on every row (streaks need all of them): skew-split numbering."""
+    return running_number(cm, CLUB, [F.col("kicks_off_at").desc(), F.col("id").desc()], "recency")
 
 
 def club_matches(matches: DataFrame, opts: StandingsOptions = StandingsOptions(),

@@ -7,20 +7,24 @@ slot; postponed ones do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchside.operators.ranking import running_number
+
 
 def derived_matchweeks(matches: DataFrame) -> DataFrame:
     """(id, competition, season, matchweek) for every non-cancelled match."""
     fan = (matches.filter(F.col("status") != "cancelled")
            .select("id", "competition", "season", "kicks_off_at",
                    F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")))
-    nth = F.row_number().over(
-        Window.partitionBy("competition", "season", "team_id").orderBy("kicks_off_at", "id"))
+    # Running match number per club-season; skew-split, so a club-season of
+    # any size is numbered over many tasks.
+    numbered = running_number(fan, ["competition", "season", "team_id"],
+                              [F.col("kicks_off_at"), F.col("id")], "nth")
     # Group on id alone: competition/season are functions of id, and the
     # result is then hash-partitioned exactly as the join back needs it.
-    return (fan.withColumn("nth", nth)
+    return (numbered
             .groupBy("id")
             .agg(F.any_value("competition").alias("competition"),
                  F.any_value("season").alias("season"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.club_matches import CLUB, LEAGUE
-from pitchside.operators.matchweek import derived_matchweeks
+from pitchside.operators.ranking import running_number
 
 
 def feed_health(matches: DataFrame, teams: DataFrame, now: dt.datetime) -> DataFrame:
@@ -40,28 +40,29 @@ def duplicate_keys(matches: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def _derived_club_rows(matches: DataFrame) -> DataFrame:
-    d = derived_matchweeks(matches).select("id", "matchweek")
-    m = matches.filter(F.col("status") != "cancelled").select(
-        "id", *LEAGUE, "kicks_off_at", "home_team_id", "away_team_id")
-    return (m.join(d, "id")
+    """Club rows of the matches in the derivation (not cancelled), with the
+    stored matchweek -- the materialised D1, refreshed after every ingest,
+    which is what ``upto`` filters read and what these audits must vouch for."""
+    return (matches.filter(F.col("status") != "cancelled")
             .select("id", *LEAGUE, "kicks_off_at", "matchweek",
                     F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")))
 
 
 def matchweek_monotonic(matches: DataFrame) -> DataFrame:
     """Q4: a club's matchweek must never fall along its fixtures."""
-    rows = _derived_club_rows(matches)
-    w = Window.partitionBy(*CLUB).orderBy("kicks_off_at", "id")
-    flagged = rows.withColumn("prev", F.lag("matchweek").over(w))
+    # lag() as an equi-join on the running number: (club, n) meets (club, n - 1).
+    rows = running_number(_derived_club_rows(matches), CLUB, [F.col("kicks_off_at"), F.col("id")], "nth")
+    prev = rows.select(*CLUB, (F.col("nth") + 1).alias("nth"), F.col("matchweek").alias("prev"))
+    flagged = rows.join(prev, [*CLUB, "nth"], "left")
     return flagged.groupBy(*LEAGUE).agg(
         F.count_if(F.col("prev").isNotNull() & (F.col("matchweek") < F.col("prev"))).cast("int").alias("violations"))
 
 
 def matchweek_overplayed(matches: DataFrame) -> DataFrame:
     """Q5: at matchweek N no club may have played more than N games."""
-    rows = _derived_club_rows(matches)
-    w = Window.partitionBy(*CLUB).orderBy("matchweek").rowsBetween(Window.unboundedPreceding, 0)
-    games = rows.withColumn("games", F.count(F.lit(1)).over(w))
+    # running count in matchweek order (ties in any order: the number of
+    # violations does not depend on it)
+    games = running_number(_derived_club_rows(matches), CLUB, [F.col("matchweek"), F.col("id")], "games")
     return games.groupBy(*LEAGUE).agg(
         F.count_if(F.col("games") > F.col("matchweek")).cast("int").alias("violations"))
 

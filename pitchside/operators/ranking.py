@@ -31,3 +31,54 @@ def dense_index(df: DataFrame, order: list[str | Column], start: Column | int =
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(name, (start_col + F.col("_off") + F.col("_local") + 1).cast("int"))
             .drop("_pid", "_mid", "_local", "_off"))
+
+
+# Groups above this many rows are numbered by the distributed path; every
+# other group by a plain window. Read from the session so a job can tune it.
+HOT_GROUP_ROWS = 1_000_000
+
+
+def hot_group_rows(spark) -> int:
+    return int(spark.conf.get("pitchside.skew.hotGroupRows", str(HOT_GROUP_ROWS)))
+
+
+def _distributed_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """row_number per group for rows of hot groups, over many tasks.
+
+    Range partitioning on (group, order) cuts a hot group into contiguous
+    slices; inside a slice the local position comes from the row's index in
+    its sorted partition; the offset of a slice is the row count of the
+    group's earlier slices (a window over at most #partitions rows per group).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group] + order
+    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
+    x = x.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    slices = x.groupBy("_pid", *group).agg(F.min("_local").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    return (x.join(slices, ["_pid", *group])
+            .withColumn(name, (F.col("_off") + F.col("_local") - F.col("_start") + 1).cast("int"))
+            .drop("_pid", "_mid", "_local", "_start", "_off"))
+
+
+def running_number(df: DataFrame, group: list[str], order: list[Column], name: str,
+                   threshold: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order)``, skew-split.
+
+    A partial aggregate counts rows per group; groups above the threshold
+    (at most rows / threshold of them, so their key list is bounded) take the
+    distributed path, the rest a plain window. Results are identical.
+    """
+    limit = threshold if threshold is not None else hot_group_rows(df.sparkSession)
+    window = Window.partitionBy(*group).orderBy(*order)
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*group)
+    # Planning decision on one tiny job (like AQE deciding from statistics):
+    # without a hot group the plan is the plain window and nothing else.
+    if hot.limit(1).count() == 0:
+        return df.withColumn(name, F.row_number().over(window))
+    hot = F.broadcast(hot)
+    plain = df.join(hot, group, "left_anti").withColumn(name, F.row_number().over(window))
+    split = _distributed_number(df.join(hot, group, "left_semi"), group, order, name)
+    return plain.unionByName(split)
