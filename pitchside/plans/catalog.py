@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.slug import slugify
 from pitchside.operators.matchweek import with_matchweeks
-from pitchside.schema import MATCH_COLUMNS, MATCHES
+from pitchside.sources.storage import read_matches, write_matches
 from pitchside.session import configure, scratch_path
 from pitchside.sources.league import raw_league
 
@@ -39,18 +39,6 @@ def enrich_teams(teams: DataFrame) -> DataFrame:
     return teams.withColumn("slug", slugify(F.col("name")))
 
 
-def write_matches(matches: DataFrame, path: str) -> None:
-    # Range partitioning splits a hot season/competition over many writers,
-    # and each writer holds few season directories.
-    (matches.repartitionByRange("season", "competition", "kicks_off_at")
-     .sortWithinPartitions("season", "competition", "kicks_off_at", "id")
-     .write.mode("overwrite").partitionBy("season").parquet(path))
-
-
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MATCHES).parquet(path).select(MATCH_COLUMNS)
-
-
 def build_league(spark: SparkSession, sf_dir: str, path: str) -> League:
     teams, matches = raw_league(spark, sf_dir)
     enrich_teams(teams).write.mode("overwrite").parquet(f"{path}/teams")

@@ -1,60 +1,104 @@
-"""Versioned parquet snapshots of ``teams`` and ``matches``.
+"""Versioned parquet snapshots of ``teams`` and ``matches``, written by
+partition.
 
 Plain parquet has no MERGE, and a plan must never overwrite the path it
-reads. Each commit writes a fresh ``v=<n>`` folder and then appends one row
-to a small commit log; readers take the newest logged version. The log also
-records the stream batch id, which makes ``foreachBatch`` idempotent (a
-replayed batch finds its id and writes nothing).
+reads. A commit writes a fresh ``v=<n>`` folder holding the teams table and
+**only the match partitions** ``(season, bucket)`` the ingest rewrote, then
+appends one row to a small commit log: the partitions written, the batch id
+(so a replayed stream batch is skipped) and the largest ids (so new ids never
+need a scan of the table). Readers take, per partition, the newest version
+that wrote it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchside.plans.catalog import read_matches, write_matches
-from pitchside.schema import TEAM_COLUMNS, TEAMS
+from pitchside.schema import MATCHES, TEAM_COLUMNS, TEAMS
+from pitchside.sources.storage import BUCKETS, PARTITION, bucket_of, read_matches, write_matches
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("committed_at", T.StringType()),
+    T.StructField("partitions", T.ArrayType(T.IntegerType())),   # season * BUCKETS + bucket
+    T.StructField("max_team_id", T.IntegerType()),
+    T.StructField("max_match_id", T.IntegerType()),
 ])
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log")
-    except Exception:  # no commit yet: the folder does not exist
-        return spark.createDataFrame([], LOG_SCHEMA)
+def _key(season, bucket):
+    return season * BUCKETS + bucket
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    return _log(spark, root).agg(F.max("version")).first()[0]
+def log(spark: SparkSession, root: str) -> list:
+    """The commit log (one small row per commit)."""
+    try:
+        return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log").orderBy("version").collect()
+    except Exception:  # nothing committed yet: the folder does not exist
+        return []
 
 
 def committed_batch(spark: SparkSession, root: str, batch_id: int) -> bool:
-    return _log(spark, root).filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+    return any(r.batch_id == batch_id for r in log(spark, root))
+
+
+def max_ids(spark: SparkSession, root: str) -> tuple[int, int]:
+    entries = log(spark, root)
+    return (entries[-1].max_team_id or 0, entries[-1].max_match_id or 0) if entries else (0, 0)
 
 
 def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
-           batch_id: int = -1) -> int:
-    version = (latest_version(spark, root) or 0) + 1
+           batch_id: int = -1, partitions: DataFrame | None = None) -> int:
+    """Write teams and the given match partitions as a new version.
+
+    ``partitions`` (season, bucket) lists what ``matches`` replaces; by
+    default the partitions its rows fall in. A listed partition with no rows
+    left is recorded too, so it reads as empty.
+    """
+    entries = log(spark, root)
+    version = (entries[-1].version if entries else 0) + 1
     path = f"{root}/v={version}"
-    teams.select(TEAM_COLUMNS).write.mode("overwrite").parquet(f"{path}/teams")
+    teams = teams.select(TEAM_COLUMNS)
+    teams.write.mode("overwrite").parquet(f"{path}/teams")
     write_matches(matches, f"{path}/matches")
-    row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat())]
+    written = spark.read.parquet(f"{path}/teams").agg(F.max("id")).first()[0]
+    if partitions is None:
+        partitions = matches.select("season", bucket_of(F.col("competition")).alias("bucket"))
+    keys = sorted({_key(r.season, r.bucket) for r in partitions.distinct().collect()})  # <= seasons x 16
+    m = read_matches(spark, f"{path}/matches").agg(F.max("id")).first()[0]
+    prev_team, prev_match = max_ids(spark, root)
+    row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat(), keys,
+            max(written or 0, prev_team), max(m or 0, prev_match))]
     spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_log")
     return version
 
 
 def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    version = latest_version(spark, root)
-    if version is None:
+    """Teams of the newest version; each match partition from the newest
+    version that wrote it."""
+    entries = log(spark, root)
+    if not entries:
         raise FileNotFoundError(f"no snapshot committed under {root}")
-    path = f"{root}/v={version}"
-    return (spark.read.schema(TEAMS).parquet(f"{path}/teams").select(TEAM_COLUMNS),
-            read_matches(spark, f"{path}/matches"))
+    owner: dict[int, int] = {}
+    for e in entries:
+        for k in e.partitions or []:
+            owner[k] = e.version
+    by_version: dict[int, list[int]] = {}
+    for k, v in owner.items():
+        by_version.setdefault(v, []).append(k)
+    parts = [read_matches(spark, f"{root}/v={v}/matches", keep_partition=True)
+             .filter((F.col("season") * BUCKETS + F.col("bucket")).isin(keys)).drop("bucket")
+             for v, keys in sorted(by_version.items())]
+    teams = spark.read.schema(TEAMS).parquet(f"{root}/v={entries[-1].version}/teams").select(TEAM_COLUMNS)
+    if not parts:
+        return teams, spark.createDataFrame([], MATCHES)
+    return teams, reduce(DataFrame.unionByName, parts)
+
+
+__all__ = ["commit", "current", "committed_batch", "max_ids", "log", "PARTITION"]
