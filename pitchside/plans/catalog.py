@@ -5,7 +5,8 @@ They are derived once per Spark application and input folder, and written as
 parquet under the shared scratch root (``spark.checkpoint.dir``): the written
 table cuts lineage, survives executor loss, and gives every later query
 partition pruning (season directories) and min/max pruning (rows sorted by
-competition and kickoff inside each season).
+competition and kickoff inside each season). Ingest tables (snapshots) use
+the (season, bucket) layout instead, so a poll rewrites only what it touches.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def enrich_teams(teams: DataFrame) -> DataFrame:
 def build_league(spark: SparkSession, sf_dir: str, path: str) -> League:
     teams, matches = raw_league(spark, sf_dir)
     enrich_teams(teams).write.mode("overwrite").parquet(f"{path}/teams")
-    write_matches(with_matchweeks(matches), f"{path}/matches")
+    write_matches(with_matchweeks(matches), f"{path}/matches", buckets=False)
     return League(spark.read.parquet(f"{path}/teams"), read_matches(spark, f"{path}/matches"), path)
 
 

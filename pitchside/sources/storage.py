@@ -32,13 +32,18 @@ def with_bucket(matches: DataFrame) -> DataFrame:
     return matches.withColumn("bucket", bucket_of(F.col("competition")))
 
 
-def write_matches(matches: DataFrame, path: str) -> None:
+def write_matches(matches: DataFrame, path: str, buckets: bool = True) -> None:
     """Write rows into ``path`` (a new folder). Range partitioning spreads a hot
-    season or competition over many writers; each writer holds few folders."""
-    (with_bucket(matches.select(MATCH_COLUMNS))
-     .repartitionByRange("season", "bucket", "competition", "kicks_off_at")
-     .sortWithinPartitions("season", "bucket", "competition", "kicks_off_at", "id")
-     .write.mode("overwrite").partitionBy(*PARTITION).parquet(path))
+    season or competition over many writers; each writer holds few folders.
+
+    ``buckets=False`` is the read-optimised layout of a table that is built
+    once and never rewritten in part (season folders only, fewer files).
+    """
+    parts = PARTITION if buckets else ["season"]
+    df = with_bucket(matches.select(MATCH_COLUMNS)) if buckets else matches.select(MATCH_COLUMNS)
+    (df.repartitionByRange(*parts, "competition", "kicks_off_at")
+     .sortWithinPartitions(*parts, "competition", "kicks_off_at", "id")
+     .write.mode("overwrite").partitionBy(*parts).parquet(path))
 
 
 STORED = T.StructType(MATCHES.fields + [T.StructField("bucket", T.IntegerType())])
