@@ -107,9 +107,10 @@ def club_profile(matches: DataFrame, teams: DataFrame, now: dt.datetime,
         F.col("kicks_off_at").alias("next_kicks_off_at"), F.col("venue").alias("next_venue"))
     prof = (table.join(form6, CLUB, "left").join(stk, CLUB, "left").join(split, CLUB, "left")
             .join(nxt, ["competition", "team_id"], "left"))
-    pairs = prof.select("competition", F.col("team_id").alias("team_a_id"),
-                        F.col("next_opponent_id").alias("team_b_id")).filter(
-        F.col("team_b_id").isNotNull()).distinct()
+    # pairs straight from the next-fixture frame (one per club), not from
+    # the assembled profile, so nothing above is planned twice
+    pairs = nxt.select("competition", F.col("team_id").alias("team_a_id"),
+                       F.col("next_opponent_id").alias("team_b_id"))
     rec = pair_record(head_to_head(matches), pairs).select(
         "competition", F.col("team_a_id").alias("team_id"),
         F.col("team_b_id").alias("next_opponent_id"),

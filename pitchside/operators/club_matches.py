@@ -61,18 +61,19 @@ def scope(matches: DataFrame, competition: str | None, season: int | None) -> Da
 def mini_league(matches: DataFrame, opponents) -> DataFrame:
     """Both clubs in the set; empty set = no filter.
 
-    A DataFrame set is per (competition, season); two left-semi joins keep the
-    match side untouched (no fan-out of the set, no pairs).
+    A DataFrame set is per (competition, season): its members are gathered
+    into one array per league (bounded by the league's clubs), joined once on
+    the league key and tested for both clubs -- the set's plan runs once, and
+    no pairs are formed.
     """
     if opponents is None:
         return matches
     if isinstance(opponents, DataFrame):
-        s = opponents.select(*LEAGUE, "team_id")
-        for side in ("home", "away"):
-            matches = matches.join(
-                s.withColumnRenamed("team_id", f"{side}_team_id"),
-                on=[*LEAGUE, f"{side}_team_id"], how="left_semi")
-        return matches
+        sets = opponents.groupBy(*LEAGUE).agg(F.collect_set("team_id").alias("_members"))
+        return (matches.join(sets, LEAGUE)
+                .filter(F.array_contains("_members", F.col("home_team_id"))
+                        & F.array_contains("_members", F.col("away_team_id")))
+                .drop("_members"))
     ids = list(opponents)
     if not ids:
         return matches

@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.operators.club_matches import CLUB, LEAGUE
+from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, played
 from pitchside.operators.ranking import running_number
 
 
@@ -75,20 +75,29 @@ def games_per_club(matches: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("clubs"))
 
 
-def league_balance(table: DataFrame, home: DataFrame, away: DataFrame, matches: DataFrame) -> DataFrame:
-    """Q7: goals balance, GD sums to zero, played = 2 x matches, home + away = all."""
-    t = table.groupBy(*LEAGUE).agg(
+def league_balance(matches: DataFrame) -> DataFrame:
+    """Q7: goals balance, GD sums to zero, played = 2 x matches, home + away = all.
+
+    One pass over the fan-out: per-club totals (the standings' own numbers,
+    without form or position) with home and away counted conditionally, then
+    summed per league-season; the match count is a second small aggregate.
+    """
+    cm = club_matches(matches)
+    per_club = cm.groupBy(*CLUB).agg(
+        F.count(F.lit(1)).alias("played"),
+        F.count_if(F.col("venue") == "home").alias("home"),
+        F.count_if(F.col("venue") == "away").alias("away"),
+        F.sum("goals_for").alias("gf"), F.sum("goals_against").alias("ga"))
+    t = per_club.groupBy(*LEAGUE).agg(
         F.count(F.lit(1)).cast("int").alias("clubs"),
         F.sum("played").cast("int").alias("sum_played"),
-        F.sum("goals_for").cast("int").alias("sum_goals_for"),
-        F.sum("goals_against").cast("int").alias("sum_goals_against"),
-        F.sum("goal_difference").cast("int").alias("sum_goal_difference"))
-    h = home.groupBy(*LEAGUE).agg(F.sum("played").cast("int").alias("home_played"))
-    a = away.groupBy(*LEAGUE).agg(F.sum("played").cast("int").alias("away_played"))
-    n = (matches.filter((F.col("status") == "finished") & F.col("home_goals").isNotNull()
-                        & F.col("away_goals").isNotNull())
-         .groupBy(*LEAGUE).agg(F.count(F.lit(1)).cast("int").alias("played_matches")))
-    out = t.join(h, LEAGUE, "left").join(a, LEAGUE, "left").join(n, LEAGUE, "left")
+        F.sum("gf").cast("int").alias("sum_goals_for"),
+        F.sum("ga").cast("int").alias("sum_goals_against"),
+        F.sum(F.col("gf") - F.col("ga")).cast("int").alias("sum_goal_difference"),
+        F.sum("home").cast("int").alias("home_played"),
+        F.sum("away").cast("int").alias("away_played"))
+    n = played(matches).groupBy(*LEAGUE).agg(F.count(F.lit(1)).cast("int").alias("played_matches"))
+    out = t.join(n, LEAGUE, "left")
     return out.withColumn("balanced", (
         (F.col("sum_goals_for") == F.col("sum_goals_against")) & (F.col("sum_goal_difference") == 0)
         & (F.col("sum_played") == 2 * F.col("played_matches"))

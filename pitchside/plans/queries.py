@@ -282,9 +282,7 @@ def games_per_club(spark, sf_dir):
 
 @query
 def league_balance(spark, sf_dir):
-    lg = league(spark, sf_dir)
-    return qa.league_balance(_standings(spark, sf_dir), standings_home(spark, sf_dir),
-                             standings_away(spark, sf_dir), lg.matches)
+    return qa.league_balance(league(spark, sf_dir).matches)
 
 
 @query
