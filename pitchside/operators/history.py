@@ -1,10 +1,12 @@
 """League position of every club after every matchweek.
 
 The reference joins each week to all earlier club-matches (a range join,
-quadratic in weeks). Here: weekly totals per club -> a dense grid from the
-club's first week to the league's last -> running sums over a ROWS frame ->
-row_number per (competition, season, matchweek). Linear in rows; every
-window runs over pre-aggregated per-club-week rows.
+quadratic in weeks). Here: weekly totals per club -> each played week spans
+forward to the club's next played week (the last one to the league's last
+week), which gives the dense grid from the club's first week on without a
+join -> running sums over a ROWS frame -> row_number per (competition,
+season, matchweek). Linear in rows, one scan; every window runs over
+pre-aggregated per-club-week rows.
 """
 
 from __future__ import annotations
@@ -27,11 +29,17 @@ def position_history(matches: DataFrame, teams: DataFrame,
         points(F.count_if(o == "W"), F.count_if(o == "D")).alias("wk_points"),
         F.sum("goals_for").alias("wk_gf"),
         F.sum("goals_against").alias("wk_ga"))
-    first = weekly.groupBy(*CLUB).agg(F.min("matchweek").alias("first"))
-    last = weekly.groupBy(*LEAGUE).agg(F.max("matchweek").alias("last"))
-    grid = first.join(last, LEAGUE).select(
-        *CLUB, F.explode(F.sequence("first", "last")).alias("matchweek"))
-    cells = grid.join(weekly, [*CLUB, "matchweek"], "left").fillna(0, ["wk_points", "wk_gf", "wk_ga"])
+    # Each played week spans forward to the club's next played week (or the
+    # league's last week) and fills the gap with zero rows: the dense grid
+    # from one pass over the weekly totals, no join back to them.
+    nxt = F.lead("matchweek").over(Window.partitionBy(*CLUB).orderBy("matchweek"))
+    last = F.max("matchweek").over(Window.partitionBy(*LEAGUE))
+    spans = weekly.select("*", F.coalesce(nxt - 1, last).alias("_until"))
+    cells = spans.select(*CLUB, "matchweek", "wk_points", "wk_gf", "wk_ga",
+                         F.explode(F.sequence("matchweek", "_until")).alias("_week"))
+    own = F.col("_week") == F.col("matchweek")
+    cells = cells.select(*CLUB, F.col("_week").alias("matchweek"),
+                         *[F.when(own, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("wk_points", "wk_gf", "wk_ga")])
     run = Window.partitionBy(*CLUB).orderBy("matchweek").rowsBetween(Window.unboundedPreceding, 0)
     cum = cells.select(
         *CLUB, "matchweek",
