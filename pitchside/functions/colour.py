@@ -121,36 +121,60 @@ def _pick(hex_: Column, source: Column, ratio: Column) -> Column:
     return F.struct(hex_.alias("hex"), source.alias("source"), ratio.alias("contrast"))
 
 
+def _rgb_of(h: Column) -> Column:
+    part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("double")
+    return F.when(h.isNotNull(), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+
+
+def _step_towards(ground_lum: float) -> "callable":
+    light = ground_lum > 0.5
+    lg = F.lit(ground_lum)
+
+    def step(acc, _i):
+        if light:
+            moved = F.struct(*(F.lit(DARKEN_FACTOR) * acc[c] for c in "rgb"))
+        else:
+            moved = F.struct(*(acc[c] + (F.lit(255.0) - acc[c]) * LIGHTEN_SHARE for c in "rgb"))
+        moved = moved.cast("struct<r:double,g:double,b:double>")
+        return F.when(contrast_lum(luminance(acc), lg) < MIN_CONTRAST, moved).otherwise(acc)
+    return step
+
+
 def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str, out: str) -> DataFrame:
     """F6 over a DataFrame: adds struct column ``out`` (hex, source, contrast).
 
-    The rules are staged over separate projections so that the bounded
-    40-step ``aggregate`` is evaluated once per row and not inlined into every
+    The ground is a constant, so its luminance is computed once in Python;
+    the rules are staged over a few projections so that the bounded 40-step
+    ``aggregate`` is evaluated once per row and not inlined into every
     branch that reads it.
     """
-    ground = parse_hex(F.lit(ground_hex))
-    ground_is_light = _py_lum(ground_hex) > 0.5
-    fallback = FALLBACK_ON_LIGHT if ground_is_light else FALLBACK_ON_DARK
-    t = (df.withColumn("_p", parse_hex(F.col(primary)))
-         .withColumn("_s", parse_hex(F.col(secondary))))
-    t = (t.withColumn("_p_con", contrast(F.col("_p"), ground))
-         .withColumn("_s_con", contrast(F.col("_s"), ground))
-         .withColumn("_p_achro", F.when(F.col("_p").isNull(), F.lit(True)).otherwise(is_achromatic(F.col("_p")))))
-    t = t.withColumn("_use_s", F.col("_p_achro") & F.col("_s").isNotNull())
-    t = t.withColumn("_base", F.when(F.col("_use_s"), F.col("_s")).otherwise(F.col("_p")))
-    t = t.withColumn("_adj", adjust_to_contrast(F.col("_base"), ground, ground_is_light))
-    t = t.withColumn("_adj_con", contrast(F.col("_adj"), ground))
-    p, s, adj = F.col("_p"), F.col("_s"), F.col("_adj")
+    gl = _py_lum(ground_hex)
+    lg = F.lit(gl)
+    fallback = FALLBACK_ON_LIGHT if gl > 0.5 else FALLBACK_ON_DARK
+    fl = _py_lum(fallback)
+    fallback_ratio = (max(fl, gl) + 0.05) / (min(fl, gl) + 0.05)
+    keep = df.columns
+    t = df.select("*", clean_hex(F.col(primary)).alias("_ph"), clean_hex(F.col(secondary)).alias("_sh"))
+    t = t.select(*keep, _rgb_of(F.col("_ph")).alias("_p"), _rgb_of(F.col("_sh")).alias("_s"))
+    p, s = F.col("_p"), F.col("_s")
+    p_achro = F.when(p.isNull(), F.lit(True)).otherwise(is_achromatic(p))
+    t = t.select(*keep, "_p", "_s",
+                 contrast_lum(luminance(p), lg).alias("_p_con"),
+                 contrast_lum(luminance(s), lg).alias("_s_con"),
+                 (p_achro & s.isNotNull()).alias("_use_s"))
+    base = F.when(F.col("_use_s"), s).otherwise(p)
+    t = t.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_STEPS)), base, _step_towards(gl)).alias("_adj"))
+    adj = F.col("_adj")
     rule = (F.when(p.isNotNull() & (F.col("_p_con") >= MIN_CONTRAST),
                    _pick(to_hex(p), F.lit("primary"), F.col("_p_con")))
             .when(F.col("_use_s") & (F.col("_s_con") >= MIN_CONTRAST),
                   _pick(to_hex(s), F.lit("secondary"), F.col("_s_con")))
-            .when(F.col("_base").isNull(),
-                  _pick(F.lit(fallback), F.lit("fallback"), contrast(parse_hex(F.lit(fallback)), ground)))
+            # no base colour at all (the aggregate's result type is not
+            # nullable, so test the inputs, not the adjusted value)
+            .when(p.isNull() & ~F.col("_use_s"), _pick(F.lit(fallback), F.lit("fallback"), F.lit(fallback_ratio)))
             .otherwise(_pick(to_hex(adj), F.when(F.col("_use_s"), F.lit("adjusted-secondary"))
-                             .otherwise(F.lit("adjusted-primary")), F.col("_adj_con"))))
-    return t.withColumn(out, rule).drop("_p", "_s", "_p_con", "_s_con", "_p_achro", "_use_s", "_base",
-                                        "_adj", "_adj_con")
+                             .otherwise(F.lit("adjusted-primary")), contrast_lum(luminance(adj), lg))))
+    return t.select(*keep, rule.alias(out))
 
 
 def club_color_pair(primary: Column, secondary: Column) -> Column:
