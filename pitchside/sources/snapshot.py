@@ -53,20 +53,29 @@ def max_ids(spark: SparkSession, root: str) -> tuple[int, int]:
     return (entries[-1].max_team_id or 0, entries[-1].max_match_id or 0) if entries else (0, 0)
 
 
+def next_version_path(spark: SparkSession, root: str) -> str:
+    """Folder of the next version. Writing into it before ``commit`` is safe:
+    readers follow the log only, and a retry overwrites a half-written folder."""
+    entries = log(spark, root)
+    return f"{root}/v={(entries[-1].version if entries else 0) + 1}"
+
+
 def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
-           batch_id: int = -1, partitions: DataFrame | None = None) -> int:
+           batch_id: int = -1, partitions: DataFrame | None = None, matches_written: bool = False) -> int:
     """Write teams and the given match partitions as a new version.
 
     ``partitions`` (season, bucket) lists what ``matches`` replaces; by
     default the partitions its rows fall in. A listed partition with no rows
-    left is recorded too, so it reads as empty.
+    left is recorded too, so it reads as empty. ``matches_written`` means the
+    rows already sit in the version folder (written there by the ingest).
     """
     entries = log(spark, root)
     version = (entries[-1].version if entries else 0) + 1
     path = f"{root}/v={version}"
     teams = teams.select(TEAM_COLUMNS)
     teams.write.mode("overwrite").parquet(f"{path}/teams")
-    write_matches(matches, f"{path}/matches")
+    if not matches_written:
+        write_matches(matches, f"{path}/matches")
     written = spark.read.parquet(f"{path}/teams").agg(F.max("id")).first()[0]
     if partitions is None:
         partitions = matches.select("season", bucket_of(F.col("competition")).alias("bucket"))
@@ -101,4 +110,4 @@ def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return teams, reduce(DataFrame.unionByName, parts)
 
 
-__all__ = ["commit", "current", "committed_batch", "max_ids", "log", "PARTITION"]
+__all__ = ["commit", "current", "next_version_path", "committed_batch", "max_ids", "log", "PARTITION"]
