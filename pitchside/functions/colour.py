@@ -20,7 +20,6 @@ DARKEN_FACTOR = 0.95
 LIGHTEN_SHARE = 0.08
 FALLBACK_ON_LIGHT = "14161a"
 FALLBACK_ON_DARK = "e9e6df"
-DEFAULT_GROUND_RGB = (244, 242, 237)
 
 
 def _py_lum(hexstr: str) -> float:

@@ -32,9 +32,11 @@ def position_history(matches: DataFrame, teams: DataFrame,
     # Each played week spans forward to the club's next played week (or the
     # league's last week) and fills the gap with zero rows: the dense grid
     # from one pass over the weekly totals, no join back to them.
+    # the league's last week: a partial aggregate joined back (one row per
+    # league), not a window over every club-week row of a league
+    last = weekly.groupBy(*LEAGUE).agg(F.max("matchweek").alias("_last"))
     nxt = F.lead("matchweek").over(Window.partitionBy(*CLUB).orderBy("matchweek"))
-    last = F.max("matchweek").over(Window.partitionBy(*LEAGUE))
-    spans = weekly.select("*", F.coalesce(nxt - 1, last).alias("_until"))
+    spans = weekly.join(last, LEAGUE).select("*", F.coalesce(nxt - 1, F.col("_last")).alias("_until"))
     cells = spans.select(*CLUB, "matchweek", "wk_points", "wk_gf", "wk_ga",
                          F.explode(F.sequence("matchweek", "_until")).alias("_week"))
     own = F.col("_week") == F.col("matchweek")

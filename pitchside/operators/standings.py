@@ -12,8 +12,6 @@ Nothing but pre-aggregated per-club rows crosses the second shuffle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +19,13 @@ from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, most_re
 from pitchside.plans.options import PRESET_VIEWS, StandingsOptions, resolve_sort
 from pitchside.schema import FORM_STRIP, POINTS_DRAW, POINTS_WIN
 
+
 def canonical() -> list[Column]:
     """points desc, goal difference desc, goals for desc, name asc."""
     return [F.col("points").desc(), F.col("goal_difference").desc(),
             F.col("goals_for").desc(), F.col("name").asc()]
 
+
 STANDINGS_COLUMNS = ["competition", "season", "position", "team_id", "name", "short_name",
                      "played", "won", "drawn", "lost", "goals_for", "goals_against",
                      "goal_difference", "points", "form", "primary_color", "secondary_color", "slug"]
@@ -177,6 +177,3 @@ def final_table_groups(table: DataFrame) -> DataFrame:
     bottom = t.filter(F.col("position") > F.col("_n") - 6).withColumn("group", F.lit("bottom6"))
     return top.unionByName(bottom).select(*LEAGUE, "group", "team_id", "position")
 
-
-def ceil_half(n: int) -> int:
-    return math.ceil(n / 2)

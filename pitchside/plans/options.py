@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any, Mapping, Sequence
 
 from pitchside.schema import DEFAULT_SEASON, MAX_LAST_N, SEASON_MAX, SEASON_MIN
@@ -122,4 +122,4 @@ PRESET_VIEWS: Sequence[tuple[str, dict]] = (
 )
 
 __all__ = ["StandingsOptions", "ViewParams", "parse_view_params", "resolve_sort",
-           "SORT_COLUMNS", "VENUES", "OPPONENT_SETS", "PRESET_VIEWS", "field"]
+           "SORT_COLUMNS", "VENUES", "OPPONENT_SETS", "PRESET_VIEWS"]
