@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches
+from pitchside.operators.ranking import running_sums
 from pitchside.operators.standings import canonical, points
 from pitchside.plans.options import StandingsOptions
 
@@ -42,12 +43,12 @@ def position_history(matches: DataFrame, teams: DataFrame,
     own = F.col("_week") == F.col("matchweek")
     cells = cells.select(*CLUB, F.col("_week").alias("matchweek"),
                          *[F.when(own, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("wk_points", "wk_gf", "wk_ga")])
-    run = Window.partitionBy(*CLUB).orderBy("matchweek").rowsBetween(Window.unboundedPreceding, 0)
-    cum = cells.select(
-        *CLUB, "matchweek",
-        F.sum("wk_points").over(run).cast("int").alias("points"),
-        F.sum("wk_gf").over(run).cast("int").alias("goals_for"),
-        F.sum(F.col("wk_gf") - F.col("wk_ga")).over(run).cast("int").alias("goal_difference"))
+    # running totals per club-season, skew-split (a club-season of any length
+    # is summed over many tasks)
+    cum = running_sums(cells, CLUB, [F.col("matchweek")], {
+        "_pts": F.col("wk_points"), "_gf": F.col("wk_gf"), "_gd": F.col("wk_gf") - F.col("wk_ga")})
+    cum = cum.select(*CLUB, "matchweek", F.col("_pts").cast("int").alias("points"),
+                     F.col("_gf").cast("int").alias("goals_for"), F.col("_gd").cast("int").alias("goal_difference"))
     named = cum.join(teams.select(F.col("id").alias("team_id"), "name"), "team_id")
     w = Window.partitionBy(*LEAGUE, "matchweek").orderBy(*canonical())
     return named.withColumn("position", F.row_number().over(w)).select(HISTORY_COLUMNS)

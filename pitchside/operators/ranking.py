@@ -82,3 +82,38 @@ def running_number(df: DataFrame, group: list[str], order: list[Column], name: s
     plain = df.join(hot, group, "left_anti").withColumn(name, F.row_number().over(window))
     split = _distributed_number(df.join(hot, group, "left_semi"), group, order, name)
     return plain.unionByName(split)
+
+
+def _distributed_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums for rows of hot groups, over many tasks: range slices of
+    each group get a local running sum (a window over one slice) plus the
+    totals of the group's earlier slices."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group] + order
+    x = (df.select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
+         .repartitionByRange(n, *keys).select("*", F.spark_partition_id().alias("_pid")))
+    local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[F.sum(f"_v_{k}").over(local).alias(f"_l_{k}") for k in sums])
+    slices = x.groupBy("_pid", *group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
+                                             for k in sums])
+    out = x.join(slices, ["_pid", *group])
+    for k in sums:
+        out = out.withColumn(k, F.col(f"_l_{k}") + F.col(f"_o_{k}"))
+    return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in "vlo"])
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column],
+                 threshold: int | None = None) -> DataFrame:
+    """``sum(col) over (partition by group order by order rows unbounded preceding)``
+    for each output column, skew-split like ``running_number``."""
+    limit = threshold if threshold is not None else hot_group_rows(df.sparkSession)
+    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*group)
+    plain = lambda d: d.select("*", *[F.sum(c).over(frame).alias(k) for k, c in sums.items()])
+    if hot.limit(1).count() == 0:
+        return plain(df)
+    hot = F.broadcast(hot)
+    return plain(df.join(hot, group, "left_anti")).unionByName(
+        _distributed_sums(df.join(hot, group, "left_semi"), group, order, sums))

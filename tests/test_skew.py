@@ -31,3 +31,27 @@ def test_queries_agree_when_every_group_is_hot(spark, handmade):
         assert sorted(map(tuple, streaks(matches, teams, StandingsOptions()).collect())) == base_st
     finally:
         spark.conf.unset("pitchside.skew.hotGroupRows")
+
+
+def test_running_sums_mixed(spark):
+    from pitchside.operators.ranking import running_sums
+
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 37 + 1).alias("g"),
+        "id", (F.col("id") % 7 - 3).alias("v"))
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("id", F.sum("v").over(w).alias("s"), F.sum(F.col("v") * 2).over(w).alias("t"))
+    got = running_sums(df, ["g"], [F.col("id")], {"s": F.col("v"), "t": F.col("v") * 2}, threshold=1000)
+    assert sorted(map(tuple, got.select("id", "s", "t").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_history_agrees_when_every_group_is_hot(spark, handmade):
+    from pitchside.operators.history import position_history
+
+    teams, matches = handmade
+    base = sorted(map(tuple, position_history(matches, teams).collect()))
+    spark.conf.set("pitchside.skew.hotGroupRows", "1")
+    try:
+        assert sorted(map(tuple, position_history(matches, teams).collect())) == base
+    finally:
+        spark.conf.unset("pitchside.skew.hotGroupRows")
