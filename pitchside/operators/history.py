@@ -63,8 +63,7 @@ def table_at_week(history: DataFrame, week: int, clubs: DataFrame | None = None)
 
 
 def club_line(history: DataFrame) -> DataFrame:
-    """Each club's line by week, with its final position."""
-    w = Window.partitionBy(*CLUB)
-    return history.withColumn(
-        "final_position", F.max_by("position", "matchweek").over(w)
-    ).select(*CLUB, "matchweek", "position", "final_position")
+    """Each club's line by week, with its final position (a partial
+    aggregate joined back, not a window over the club's whole line)."""
+    final = history.groupBy(*CLUB).agg(F.max_by("position", "matchweek").alias("final_position"))
+    return history.join(final, CLUB).select(*CLUB, "matchweek", "position", "final_position")
