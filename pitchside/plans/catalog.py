@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pitchside.functions.slug import slugify
 from pitchside.operators.matchweek import with_matchweeks
 from pitchside.sources.storage import read_matches, write_matches
-from pitchside.session import configure, scratch_path
+from pitchside.session import app_id, configure, scratch_path
 from pitchside.sources.league import raw_league
 
 
@@ -50,7 +50,7 @@ def build_league(spark: SparkSession, sf_dir: str, path: str) -> League:
 def league(spark: SparkSession, sf_dir: str) -> League:
     """Teams and matches for ``sf_dir``, built at most once per application."""
     configure(spark)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (app_id(spark), sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _CACHE:
             digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]

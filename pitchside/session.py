@@ -39,13 +39,25 @@ def configure(spark: SparkSession) -> None:
     scratch_root(spark)
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (classic sessions) or the session's ``spark.app.id``."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # e.g. a Spark Connect session has no SparkContext
+        return spark.conf.get("spark.app.id", None) or spark.conf.get("spark.app.name", "pitchside")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting is given and always used. Only where it is unset
     (tests, local bench) a fresh folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: read the setting from the session only
+        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        return root.rstrip("/")
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
