@@ -35,25 +35,36 @@ def points(won: Column, drawn: Column) -> Column:
     return (won * POINTS_WIN + drawn * POINTS_DRAW).cast("int")
 
 
+def _total_aggs() -> list[Column]:
+    o = F.col("outcome")
+    return [F.count(F.lit(1)).cast("int").alias("played"),
+            F.count_if(o == "W").cast("int").alias("won"),
+            F.count_if(o == "D").cast("int").alias("drawn"),
+            F.count_if(o == "L").cast("int").alias("lost"),
+            F.coalesce(F.sum("goals_for"), F.lit(0)).cast("int").alias("goals_for"),
+            F.coalesce(F.sum("goals_against"), F.lit(0)).cast("int").alias("goals_against")]
+
+
+def _derived(agg: DataFrame) -> DataFrame:
+    return agg.select("*", (F.col("goals_for") - F.col("goals_against")).cast("int").alias("goal_difference"),
+                      points(F.col("won"), F.col("drawn")).alias("points"))
+
+
+def _form_agg(width: int = FORM_STRIP) -> Column:
+    """B12 as a plain aggregate over rows carrying ``recency``: the i-th most
+    recent outcome is max(outcome where recency = i); concat_ws skips the
+    missing ones, so a club with no row in range gets ''."""
+    return F.concat_ws(" ", *[F.max(F.when(F.col("recency") == i, F.col("outcome"))) for i in range(1, width + 1)])
+
+
 def totals(cm: DataFrame, keys=CLUB) -> DataFrame:
     """B10/B11 per club; clubs with no surviving row are simply absent."""
-    o = F.col("outcome")
-    return (cm.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("played"),
-        F.count_if(o == "W").cast("int").alias("won"),
-        F.count_if(o == "D").cast("int").alias("drawn"),
-        F.count_if(o == "L").cast("int").alias("lost"),
-        F.coalesce(F.sum("goals_for"), F.lit(0)).cast("int").alias("goals_for"),
-        F.coalesce(F.sum("goals_against"), F.lit(0)).cast("int").alias("goals_against"),
-    ).withColumn("goal_difference", (F.col("goals_for") - F.col("goals_against")).cast("int"))
-     .withColumn("points", points(F.col("won"), F.col("drawn"))))
+    return _derived(cm.groupBy(*keys).agg(*_total_aggs()))
 
 
 def form_strip(recent: DataFrame, keys=CLUB, width: int = FORM_STRIP) -> DataFrame:
     """B12 from rows that carry ``recency``: last ``width`` outcomes, newest first."""
-    return (recent.filter(F.col("recency") <= width)
-            .groupBy(*keys)
-            .agg(F.expr("listagg(outcome, ' ') WITHIN GROUP (ORDER BY recency)").alias("form")))
+    return recent.filter(F.col("recency") <= width).groupBy(*keys).agg(_form_agg(width).alias("form"))
 
 
 def rank_league(df: DataFrame, order=None, keys=LEAGUE, name: str = "position") -> DataFrame:
@@ -73,11 +84,13 @@ def standings(matches: DataFrame, teams: DataFrame,
     """The one query behind every table view, for every league-season."""
     cm = club_matches(matches, opts)
     if opts.last_n is not None:
-        # cm already holds only each club's last N rows, ranked.
-        agg = totals(cm).join(form_strip(cm), CLUB, "left")
+        # cm holds only each club's last N rows, ranked: one aggregate does all
+        agg = _derived(cm.groupBy(*CLUB).agg(*_total_aggs(), _form_agg().alias("form")))
     else:
+        # totals over every row (partial aggregation), form over the top 5
+        # per club (WindowGroupLimit), joined on the club key
         agg = totals(cm).join(form_strip(most_recent(cm, FORM_STRIP)), CLUB, "left")
-    agg = agg.withColumn("form", F.coalesce("form", F.lit("")))
+        agg = agg.withColumn("form", F.coalesce("form", F.lit("")))
     return rank_league(attach_teams(agg, teams)).select(STANDINGS_COLUMNS)
 
 
