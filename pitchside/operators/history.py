@@ -45,8 +45,12 @@ def position_history(matches: DataFrame, teams: DataFrame,
                          *[F.when(own, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("wk_points", "wk_gf", "wk_ga")])
     # running totals per club-season, skew-split (a club-season of any length
     # is summed over many tasks)
+    # a club's grid runs from its first week to the league's last
+    sizes = (weekly.groupBy(*CLUB).agg(F.min("matchweek").alias("_first")).join(last, LEAGUE)
+             .select(*CLUB, (F.col("_last") - F.col("_first") + 1).alias("_n")))
     cum = running_sums(cells, CLUB, [F.col("matchweek")], {
-        "_pts": F.col("wk_points"), "_gf": F.col("wk_gf"), "_gd": F.col("wk_gf") - F.col("wk_ga")})
+        "_pts": F.col("wk_points"), "_gf": F.col("wk_gf"), "_gd": F.col("wk_gf") - F.col("wk_ga")},
+        sizes=sizes)
     cum = cum.select(*CLUB, "matchweek", F.col("_pts").cast("int").alias("points"),
                      F.col("_gf").cast("int").alias("goals_for"), F.col("_gd").cast("int").alias("goal_difference"))
     named = cum.join(teams.select(F.col("id").alias("team_id"), "name"), "team_id")

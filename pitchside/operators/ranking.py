@@ -105,12 +105,18 @@ def _distributed_sums(df: DataFrame, group: list[str], order: list[Column], sums
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column],
-                 threshold: int | None = None) -> DataFrame:
+                 threshold: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``sum(col) over (partition by group order by order rows unbounded preceding)``
-    for each output column, skew-split like ``running_number``."""
+    for each output column, skew-split like ``running_number``.
+
+    ``sizes`` (group columns + ``_n``) may give the group sizes, or upper
+    bounds of them, from a cheaper plan than ``df`` itself.
+    """
     limit = threshold if threshold is not None else hot_group_rows(df.sparkSession)
     frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*group)
+    if sizes is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > limit).select(*group)
     plain = lambda d: d.select("*", *[F.sum(c).over(frame).alias(k) for k, c in sums.items()])
     if hot.limit(1).count() == 0:
         return plain(df)
