@@ -61,10 +61,12 @@ def next_version_path(spark: SparkSession, root: str) -> str:
 
 
 def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
-           batch_id: int = -1, partitions: DataFrame | None = None, matches_written: bool = False) -> int:
+           batch_id: int = -1, partitions: DataFrame | None = None, matches_written: bool = False,
+           partition_keys: list[int] | None = None) -> int:
     """Write teams and the given match partitions as a new version.
 
-    ``partitions`` (season, bucket) lists what ``matches`` replaces; by
+    ``partitions`` (season, bucket) -- or ``partition_keys`` already encoded
+    as season * BUCKETS + bucket -- lists what ``matches`` replaces; by
     default the partitions its rows fall in. A listed partition with no rows
     left is recorded too, so it reads as empty. ``matches_written`` means the
     rows already sit in the version folder (written there by the ingest).
@@ -77,9 +79,12 @@ def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
     if not matches_written:
         write_matches(matches, f"{path}/matches")
     written = spark.read.parquet(f"{path}/teams").agg(F.max("id")).first()[0]
-    if partitions is None:
-        partitions = matches.select("season", bucket_of(F.col("competition")).alias("bucket"))
-    keys = sorted({_key(r.season, r.bucket) for r in partitions.distinct().collect()})  # <= seasons x 16
+    if partition_keys is not None:
+        keys = sorted(partition_keys)
+    else:
+        if partitions is None:
+            partitions = matches.select("season", bucket_of(F.col("competition")).alias("bucket"))
+        keys = sorted({_key(r.season, r.bucket) for r in partitions.distinct().collect()})  # <= seasons x 16
     m = read_matches(spark, f"{path}/matches").agg(F.max("id")).first()[0]
     prev_team, prev_match = max_ids(spark, root)
     row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat(), keys,
