@@ -7,16 +7,22 @@ Arrow-batched pandas UDF; everything else stays in JVM expressions.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DIACRITIC = regex.compile(r"\p{Diacritic}")
 
+# The UDF's code travels with the task (by value), so Python workers need
+# neither this package on their path nor an install step on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def strip_diacritics_py(text: str | None) -> str | None:
     if text is None:
