@@ -1,10 +1,19 @@
-"""Dense, deterministic surrogate ids without a global single-task window.
-
-``row_number() over (order by k)`` with no partition runs in one task. Here
-the rows are range-partitioned on the order key (a hot key range is split
-across tasks), numbered inside each partition, and shifted by the row counts
-of the earlier partitions. The offsets table has one row per partition, so
-broadcasting it is bounded by the partition count, never by the data.
+"""Numbering and running totals that never put one big group in one task.
+
+* ``dense_index``: dense, deterministic surrogate ids. ``row_number() over
+  (order by k)`` with no partition runs in one task; here the rows are
+  range-partitioned on the order key (a hot key range is split across
+  tasks), numbered inside each partition, and shifted by the row counts of
+  the earlier partitions. The offsets table has one row per partition, so
+  broadcasting it is bounded by the partition count, never by the data.
+* ``running_number`` / ``running_sums``: ``row_number()`` and ROWS-frame
+  sums per group, skew-split. Group sizes come from a partial aggregate;
+  ordinary groups use a plain window, groups above
+  ``pitchside.skew.hotGroupRows`` are cut into contiguous range slices over
+  many tasks and stitched together with per-slice offsets.
+
+Positions inside a sorted partition come from ``monotonically_increasing_id``
+after a sort on unique keys, so a recomputed task reproduces them.
 """
 
 from __future__ import annotations
