@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.llm import bpe
+from pitchside.llm import bpe, decontaminate
 from pitchside.llm.common import table
 
 
@@ -16,8 +16,37 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(codec.decode(codec.encode(docs)))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontamination": op5_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
+iw as (
+  select distinct item_id, n, w[p:p + n - 1] as win
+  from (select item_id, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p
+        from i where len(w) > 0)),
+sizes as (select distinct n from iw),
+dw as (
+  select doc_id, p, n, w[p:p + n - 1] as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n)),
+occ as (select distinct dw.doc_id, dw.p, dw.n, iw.item_id from dw join iw on dw.win = iw.win),
+hit as (select doc_id, count(distinct q) as n_hit
+        from (select doc_id, unnest(range(p, p + n)) as q from occ) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+          from (select distinct doc_id, item_id from occ) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id
+""",
+}
