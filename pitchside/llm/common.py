@@ -58,7 +58,7 @@ def doc_key(id_col: Column, text: Column) -> list[Column]:
     that share an id but not a text stay apart; equal rows share a key, and
     so share their (equal) results. A null id is told from any number by the
     hash."""
-    return [F.coalesce(id_col.cast("long"), F.lit(-(2 ** 63))).alias("_d"),
+    return [F.coalesce(id_col.cast("long"), F.lit(2 ** 63 - 1)).alias("_d"),
             F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), id_col.isNull()).alias("_t")]
 
 
