@@ -65,11 +65,11 @@ def doc_key(id_col: Column, text: Column) -> list[Column]:
 KEY = ["_d", "_t"]
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column,
+def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
                      salts: int = 16) -> DataFrame:
     """Left join for a ``left`` with hot keys: its rows of one key go to
     ``salts`` tasks by ``spread``; ``right`` (at most one row a key) is
     repeated once a salt."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return a.join(b, [*on, "_salt"], "left").drop("_salt")

@@ -41,51 +41,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import KEY, doc_key, salted_left_join, ship, task_state, written
+from pitchside.llm.common import KEY, doc_key, salted_left_join, ship, written
+from pitchside.llm.hashing import BASE_1, BASE_2, rolling, word_hashes
 
 ship(__name__)
 
 WINDOW, GRAM = 20, 8
 #: Words that are hashed together in a task.
 CHUNK_WORDS = 500_000
-BASE_1, BASE_2, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9
+MIX = 0xBF58476D1CE4E5B9
 WORD = r"[^\x20\x09-\x0D]+"
-KEPT_HASHES = 1_000_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_HASHES:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of the words; ``bytes.split`` cuts at ASCII white space."""
-    words = (text or b"").split()
-    table = task_state().setdefault("word hashes", _WordHashes())
-    return np.fromiter(map(table.__getitem__, words), "u8", len(words))
-
-
-def rolling(w: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Rabin-Karp hashes of all ``n``-word windows of ``w``, by doubling."""
-    if len(w) < n:
-        return np.empty(0, "u8")
-    with np.errstate(over="ignore"):
-        have, size, out, done = w, 1, None, 0
-        while True:
-            if n & size:
-                if out is None:
-                    out, done = have, size
-                else:                           # the part so far, then ``size`` words more
-                    m = len(w) - done - size + 1
-                    out = out[:m] * np.uint64(pow(base, size, 1 << 64)) + have[done:done + m]
-                    done += size
-            if done == n:
-                return out[:len(w) - n + 1]
-            have = have[:-size] * np.uint64(pow(base, size, 1 << 64)) + have[size:]
-            size *= 2
 
 
 def minimizer_places(w: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +76,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
     one after another, and the start of each row's words."""
     rows, parts, have = [], [], 0
     for batch in batches:
-        table = batch.to_pydict() if False else {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+        table = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
         texts = table.pop("text").cast(pa.binary())
         others = {c: v.to_pylist() for c, v in table.items()}
         for i in range(len(texts)):
@@ -288,7 +253,7 @@ def changed(docs: DataFrame, base: DataFrame, window: int = WINDOW, gram: int =
     full = base.filter(F.col("n_words") >= window).select(*KEY, "n_words", "words_sha256")
     least = full.groupBy("words_sha256").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
     least = least.filter(F.col("_last") > F.col("_first")).select("words_sha256", "_first")
-    copies = written(salted_left_join(full, least, ["words_sha256"], F.col("_t") + F.col("_d"))
+    copies = written(salted_left_join(full, least, ["words_sha256"], KEY)
                      .filter(F.col("_d") > F.col("_first")).select(*KEY, "n_words").distinct(), "op8-copies")
     # 2. documents with repeated minimizers
     key = F.xxhash64(*KEY).alias("k")
