@@ -6,23 +6,48 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.llm import bpe, decontaminate
+from pitchside.llm import bpe, decontaminate, jaccard_forest, langid, quality_lines, sharding, substring_dedup
 from pitchside.llm.common import table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(codec.decode(codec.encode(docs)))
+    return bpe.digests(codec.round_trip(docs))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.classes(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_langid": op6_langid,
+    "op7_jaccard_forest": op7_jaccard_forest,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_lines": op9_quality_lines,
+    "op10_sharding": op10_sharding,
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -48,5 +73,53 @@ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id
+""",
+    "op8_substring_dedup": """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+win as (
+  select doc_id, p, array_to_string(w[p:p + 19], ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as r from win)
+          where r > 1),
+gone as (select distinct doc_id, q from (select doc_id, unnest(range(p, p + 20)) as q from again)),
+word as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from d),
+kept as (select doc_id, string_agg(word, ' ' order by q) as t, count(*) as n
+         from word anti join gone using (doc_id, q) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) as bigint) - coalesce(kept.n, 0) as n_removed,
+       sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join kept on d.doc_id = kept.doc_id
+""",
+    "op9_quality_lines": """
+with d as (
+  select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+line as (
+  select doc_id, source, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as n,
+    trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as norm
+  from (select doc_id, source, unnest(string_split(t, chr(10))) as x from d)
+  where regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+hosts as (select source, count(*) as n_docs from documents group by source),
+frequent as (
+  select line.source, norm from line join hosts on line.source is not distinct from hosts.source
+  group by line.source, norm, n_docs having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.1 * n_docs),
+removed as (
+  select doc_id, sum(n) as words, count(*) as lines
+  from line join frequent on line.source is not distinct from frequent.source and line.norm = frequent.norm group by doc_id),
+dup as (select doc_id, count(*) - count(distinct x) as n from line group by doc_id),
+win as (
+  select doc_id, p, array_to_string(w[p:p + 7], ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - 6)) as p from d where len(w) >= 8)),
+again as (select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, s) as c from win) where c > 1),
+rep as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + 8)) as q from again) group by doc_id),
+x as (
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dup.n, 0) as n_dup_lines,
+    coalesce(rep.n, 0) as n_repeat_words, cast(coalesce(removed.words, 0) as bigint) as n_removed_words,
+    coalesce(removed.lines, 0) as n_removed_lines
+  from d left join dup on d.doc_id = dup.doc_id left join rep on d.doc_id = rep.doc_id
+    left join removed on d.doc_id = removed.doc_id),
+y as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from x)
+select *, not base_failed and 2 * (n_words - n_removed_words) >= n_words as kept from y
 """,
 }
