@@ -6,8 +6,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.llm import bpe, decontaminate, jaccard_forest, langid, quality_lines, sharding, substring_dedup
-from pitchside.llm.common import table
+from pitchside.llm import bpe, decontaminate, jaccard_forest, langid, quality_lines, sharding, substring_dedup, token_counts
+from pitchside.llm.common import fresh_path, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = [(v, public_tokenizers.path(f"{v}.tiktoken")) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")]
+    return token_counts.maintain(table(spark, sf_dir, "documents"), fresh_path(spark, "op1-rollup"), *versions,
+                                 ["de", "es", "fr"], public_tokenizers.PATTERN).totals()
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_langid": op6_langid,
