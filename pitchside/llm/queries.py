@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.llm import bpe, decontaminate, jaccard_forest, langid, quality_lines, sharding, substring_dedup, token_counts
+from pitchside.llm import (
+    bpe, decontaminate, jaccard_forest, langid, license_scan, quality_lines, sharding, substring_dedup, token_counts)
 from pitchside.llm.common import fresh_path, table
 
 
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  ["de", "es", "fr"], public_tokenizers.PATTERN).totals()
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_langid": op6_langid,
@@ -61,6 +67,7 @@ _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
     "op5_decontamination": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 i as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
