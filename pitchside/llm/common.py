@@ -65,6 +65,17 @@ def doc_key(id_col: Column, text: Column) -> list[Column]:
 KEY = ["_d", "_t"]
 
 
+def with_words(df: DataFrame, text: Column, separators: str, out: str = "w") -> DataFrame:
+    """``df`` with the words of ``text`` (null: none). Splitting at runs of
+    separators costs a third of extracting the words between them; a separator
+    at either end leaves an empty part there, which is cut off."""
+    df = df.withColumn(out, F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"))
+    first = F.when(F.get(out, F.lit(0)) == "", 1).otherwise(0)
+    last = F.when((F.size(out) > 1) & (F.element_at(out, -1) == ""), 1).otherwise(0)
+    return df.withColumn(out, F.when(first + last == 0, F.col(out))
+                         .otherwise(F.slice(out, first + 1, F.size(out) - first - last)))
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
                      salts: int = 16) -> DataFrame:
     """Left join for a ``left`` with hot keys: its rows of one key go to

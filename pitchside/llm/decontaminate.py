@@ -10,16 +10,19 @@ all words of a window stand in it in a row: exact containment.
   so the prefix of that order that has to be joined is its first element: the
   rarest shingle, with its place inside the window. Windows with a shingle that
   no document has are dropped here.
-* The prefix table is joined with the shingles of the documents. The place of
-  the shingle gives the place of the whole window in the document (positional
-  bound), which must not leave it (length bound).
+* One pass over the documents finds the places of all item shingles, with the
+  words around them; their counts give the order. Only places of prefix
+  shingles are joined on with the windows. The place of the shingle inside the
+  window gives the place of the whole window in the document (positional
+  bound), which must not leave the document (length bound).
 * What is left is verified word by word over the item-sized window.
 
-Documents are exploded and joined inside one code-generated stage, so only
-verified occurrences leave it: no document word is shuffled. The prefix table
-is broadcast in blocks of at most ``BLOCK_BYTES`` (its size is measured after
-writing it); a larger benchmark makes more passes, with equal results. Windows
-shared by many items are joined once and carry the key of their set of items.
+In that pass documents are exploded and probed inside one code-generated
+stage: only places that have an item shingle leave it, and one row with the
+number of words per document. The item shingles (hashes) are broadcast in
+blocks of at most ``BLOCK_BYTES``, measured on the written table; a larger
+benchmark makes more passes, with equal results. Windows shared by many items
+are joined once and carry the key of their set of items.
 
 Defined results: a null text has no words and is never contaminated; an
 empty benchmark, or one without words, hits nothing; repeated item rows count
@@ -36,33 +39,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import KEY, doc_key, written
+from pitchside.llm.common import KEY, doc_key, with_words, written
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The words of the contract, after A-Z are lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between the words of the contract, after A-Z are lower case.
+SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cases A-Z only (``lower`` would change other letters as well, so
-    it serves where the text is ASCII) and takes the words."""
+def lowered(text: Column) -> Column:
+    """Lower-cases A-Z only; ``lower`` would change other letters as well, so
+    it serves where the text is ASCII."""
     ascii_only = F.octet_length(text) == F.char_length(text)
-    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _hash(words: str, at: Column, size: int) -> Column:
-    """Hash of the ``size`` words from 0-based place ``at``; null past the end."""
-    parts = [F.get(F.col(words), at + i) for i in range(size)]
-    return F.xxhash64(F.lit(size), *parts)
+    """Hash of the ``size`` words from 0-based place ``at``; of nulls past the end."""
+    return F.xxhash64(F.lit(size), *[F.get(F.col(words), at + i) for i in range(size)])
 
 
 def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """One row per distinct window: ``win`` (its words), ``wid``, ``n`` and
     ``items`` (the sorted ids of the items that have it)."""
-    w = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))
+    w = items.select(F.col("item_id").cast("string").alias("item_id"), lowered(F.col("text")).alias("text"))
+    w = with_words(w, F.col("text"), SEPARATORS).select("item_id", "w")
     w = w.filter(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(window)))
     w = w.select("item_id", "n", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("at"), "w")
     w = w.select("item_id", F.slice("w", F.col("at") + 1, F.col("n")).alias("win"))
@@ -70,85 +72,79 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
         "win", F.xxhash64("win").alias("wid"), F.size("win").alias("n"), "items")
 
 
-def _positions(docs: DataFrame, sizes: list[int]) -> list[tuple[int, DataFrame]]:
-    """For each shingle size the documents' places with their shingle hash."""
-    out = []
-    for size in sizes:
-        # a document without words keeps no place; generators drop it
-        x = docs.select(*KEY, "w", F.posexplode("w").alias("at", "_first"))
-        x = x.filter(F.col("at") + size <= F.size("w"))
-        out.append((size, x.select(*KEY, "w", "at", _hash("w", F.col("at"), size).alias("h"))))
-    return out
-
-
 def _blocks(frame: DataFrame, key: str, limit: int) -> list[DataFrame]:
-    """``frame`` in parts of at most about ``limit`` bytes, by hash of ``key``."""
-    n, size = frame.agg(F.count(F.lit(1)), F.sum(F.lit(48) + sum(
-        (F.octet_length(F.to_json(F.col(c))) if t.startswith("array") else F.lit(8) for c, t in frame.dtypes),
-        F.lit(0)))).first()
-    parts = -(-int(size or 0) // limit)
-    if not n:
-        return []
+    """A frame of hashes in parts of at most about ``limit`` bytes, by hash of ``key``."""
+    parts = max(1, -(-frame.count() * 64 // limit))
     return [frame.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(parts)) == i) if parts > 1 else frame
             for i in range(parts)]
 
 
-def prefixes(windows: DataFrame, docs: DataFrame, shingle: int, block_bytes: int) -> tuple[DataFrame, list[int]]:
-    """The prefix table: per window its rarest shingle ``h``, the place ``p``
-    of it inside, the size ``s`` of the shingle; and the sizes there are."""
-    sh = windows.withColumn("s", F.least("n", F.lit(shingle)))
-    sizes = [r[0] for r in sh.select("s").distinct().orderBy("s").collect()]       # at most ``shingle`` values
-    parts = [sh.filter(F.col("s") == s)
-             .select("win", "wid", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("s"))).alias("p"))
-             .withColumn("h", _hash("win", F.col("p"), s)) for s in sizes]
-    if not parts:
-        return windows.select("win", "wid", "n", F.lit(0).alias("s"), F.lit(0).alias("p"), F.col("wid").alias("h")), []
-    shingles = written(reduce(DataFrame.unionByName, parts), "op5-shingles")
-    counts = []
-    for size, places in _positions(docs, sizes):
-        for block in _blocks(shingles.filter(F.col("s") == size).select("h").distinct(), "h", block_bytes):
-            counts.append(places.select("h").join(F.broadcast(block), "h").groupBy("h").count())
-    if not counts:
-        return shingles.limit(0), sizes
-    counts = written(reduce(DataFrame.unionByName, counts), "op5-counts")
-    rarest = Window.partitionBy("wid", "win").orderBy("count", "h", "p")
-    need = Window.partitionBy("wid", "win")
-    found = (shingles.join(counts, "h").withColumn("_rank", F.row_number().over(rarest))
-             .withColumn("_have", F.count(F.lit(1)).over(need)))
-    # a window is possible only if every one of its shingles occurs somewhere
-    return (found.filter((F.col("_rank") == 1) & (F.col("_have") == F.col("n") - F.col("s") + 1))
-            .select("win", "wid", "n", "s", "p", "h")), sizes
+def places(docs: DataFrame, hashes: DataFrame, sizes: list[int], window: int, block_bytes: int) -> DataFrame:
+    """A row for each place ``at`` of a document whose shingle ``h`` (of ``s``
+    words) is one of ``hashes``, with the words around it (``ctx``, from word
+    ``lead``); and a row per document row with ``h`` null, ``doc_id``, ``n_words``."""
+    words = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "doc_id", lowered(F.col("text")).alias("text"))
+    words = with_words(words, F.col("text"), SEPARATORS).select(*KEY, "doc_id", "w")
+    none = F.lit(0).cast("long")                      # the hash of the row per document
+    found = []
+    for i, block in enumerate(_blocks(hashes, "h", block_bytes)):
+        first = -1 if i == 0 else 0
+        block = block.select("h").unionByName(hashes.sparkSession.range(1 if i == 0 else 0).select(none.alias("h")))
+        x = words.filter(F.size("w") > 0) if first == 0 else words
+        x = x.withColumn("at", F.explode(F.sequence(F.lit(first), F.size("w") - 1)))
+        if len(sizes) < 2:
+            x = x.withColumn("s", F.lit(sizes[0] if sizes else 1))
+            x = x.withColumn("h", F.when(F.col("at") < 0, none).otherwise(_hash("w", F.col("at"), sizes[0] if sizes else 1)))
+        else:                                         # short items: shingles of several sizes at a place
+            each = [F.struct(F.lit(s).alias("s"), _hash("w", F.col("at"), s).alias("h")) for s in sizes]
+            once = F.array(F.struct(F.lit(0).alias("s"), none.alias("h")))
+            x = x.select("*", F.inline(F.when(F.col("at") < 0, once).otherwise(F.array(*each))))
+        lead = F.greatest(F.col("at") - (window - F.col("s")), F.lit(0))
+        x = x.join(F.broadcast(block.distinct()), "h").filter((F.col("at") < 0) | (F.col("at") + F.col("s") <= F.size("w")))
+        head = F.col("at") < 0
+        found.append(x.select(*KEY, F.when(head, F.col("doc_id")).alias("doc_id"), F.size("w").alias("n_words"), "at", "s",
+                              F.when(~head, F.col("h")).alias("h"), F.when(~head, lead).alias("lead"),
+                              F.when(~head, F.slice("w", lead + 1, 2 * window - F.col("s"))).alias("ctx")))
+    return written(reduce(DataFrame.unionByName, found), "op5-places")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
-                block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Verified occurrences (``_d, _t, start, n, wid``) and the windows.
+                block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified occurrences (``_d, _t, start, n, wid``), the windows, and per
+    document row its key, ``doc_id`` and ``n_words``.
 
     ``docs`` needs ``doc_id`` and ``text``; ``items`` ``item_id`` and ``text``.
     """
-    words = docs.select(*doc_key(F.col("doc_id"), F.col("text")), words_of(F.col("text")).alias("w"))
     windows = written(item_windows(items, window, shingle), "op5-windows")
-    prefix, sizes = prefixes(windows, words, shingle, block_bytes)
-    prefix = written(prefix, "op5-prefix")
-    hits = []
-    for size, places in _positions(words, sizes):
-        for block in _blocks(prefix.filter(F.col("s") == size), "h", block_bytes):
-            j = places.join(F.broadcast(block), "h")
-            start = F.col("at") - F.col("p")
-            j = j.filter((start >= 0) & (start + F.col("n") <= F.size("w")))
-            j = j.filter(F.slice("w", start + 1, F.col("n")) == F.col("win"))
-            hits.append(j.select(*KEY, start.alias("start"), "n", "wid"))
-    if not hits:
-        return words.select(*KEY, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("wid")).limit(0), windows
-    return written(reduce(DataFrame.unionByName, hits), "op5-hits"), windows
+    sized = windows.select("win", "wid", "n", F.least("n", F.lit(shingle)).alias("s"))
+    sizes = [r[0] for r in sized.select("s").distinct().orderBy("s").collect()]       # at most ``shingle`` values
+    hashed = F.coalesce(*[F.when(F.col("s") == s, _hash("win", F.col("p"), s)) for s in sizes or [1]])
+    shingles = (sized.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("s"))))
+                .withColumn("h", hashed))
+    shingles = written(shingles, "op5-shingles")
+    found = places(docs, shingles.select("h").distinct(), sizes, window, block_bytes)
+    at = found.filter(F.col("h").isNotNull())
+    # the rarest shingle of each window; a window with a shingle that no document has cannot occur
+    counts = at.groupBy("s", "h").agg(F.count(F.lit(1)).alias("count"))
+    of = Window.partitionBy("wid", "win")
+    prefix = (shingles.join(counts, ["s", "h"])
+              .withColumn("_rank", F.row_number().over(of.orderBy("count", "h", "p")))
+              .withColumn("_have", F.count(F.lit(1)).over(of))
+              .filter((F.col("_rank") == 1) & (F.col("_have") == F.col("n") - F.col("s") + 1)))
+    prefix = written(prefix.select("win", "wid", "n", "s", "p", "h"), "op5-prefix")
+    start = F.col("at") - F.col("p")
+    hits = at.join(prefix, ["s", "h"]).filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    hits = hits.filter(F.slice("ctx", start - F.col("lead") + 1, F.col("n")) == F.col("win"))
+    hits = written(hits.select(*KEY, start.alias("start"), "n", "wid").distinct(), "op5-hits")
+    return hits, windows, found.filter(F.col("h").isNull()).select(*KEY, "doc_id", F.col("n_words").cast("long").alias("n_words"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: ``doc_id``, ``text``, ``n_words``, ``n_hit``
+    """One row per document row: its key, ``doc_id``, ``n_words``, ``n_hit``
     (words inside occurrences), ``items`` (sorted ids), ``spans`` (maximal
     runs of hit words as structs of first word and length)."""
-    found, windows = occurrences(docs, items, window, shingle, block_bytes)
+    found, windows, base = occurrences(docs, items, window, shingle, block_bytes)
     # maximal runs of hit words: a document's places in order
     per_doc = Window.partitionBy(*KEY).orderBy("start")
     runs = (found.groupBy(*KEY, "start").agg(F.max("n").alias("n"))
@@ -168,15 +164,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     members = classes.select("cls", "items").dropDuplicates(["cls"])
     named = (per_class.join(members, "cls").select(*KEY, F.explode("items").alias("item")).distinct()
              .groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items")))
-    base = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "doc_id", "text",
-                       F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(spans.join(named, KEY, "left"), KEY, "left")
-    return out.select("doc_id", "text", "n_words",
-                      F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return out.select(*KEY, "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.coalesce("spans", F.array().cast("array<struct<first:int,length:int>>")).alias("spans"))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that hold no window of an item."""
+    hit = decontaminate(docs, items).filter(F.col("n_hit") > 0).select(*KEY).distinct()
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("row"), *doc_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(written(hit, "op5-drop"), KEY, "left_anti").select("row.*")
+
+
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's columns, derived from the operator's."""
     slim = docs.select("doc_id", "text")

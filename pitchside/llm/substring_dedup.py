@@ -50,7 +50,6 @@ WINDOW, GRAM = 20, 8
 #: Words that are hashed together in a task.
 CHUNK_WORDS = 500_000
 MIX = 0xBF58476D1CE4E5B9
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def minimizer_places(w: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +230,7 @@ CHANGED = "_d long, _t long, n_removed long, kept string, spans array<struct<fir
 
 def words_joined(text: Column) -> Column:
     """The words of a text joined by one space."""
-    return F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
