@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchside.llm import (
-    bpe, decontaminate, jaccard_forest, langid, license_scan, quality_lines, sharding, substring_dedup, token_counts)
+    bpe, decontaminate, jaccard_forest, langid, license_scan, quality_lines, sharding, substring_dedup, token_counts,
+    warc)
 from pitchside.llm.common import fresh_path, table
 
 
@@ -27,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(codec.round_trip(docs))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ REGISTRY = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_langid": op6_langid,
     "op7_jaccard_forest": op7_jaccard_forest,
@@ -87,6 +93,15 @@ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id
+""",
+    "op4_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+q as (select page_id, octet_length(b) as n, sha1(b) as h from p),
+l as (select h, n, max(page_id) as leader from q where n >= 1000 group by h, n)
+select page_id, cast(q.n as bigint) as payload_bytes, q.h as payload_digest,
+       case when page_id < leader then 'revisit' else 'response' end as record_type,
+       case when page_id < leader then leader end as refers_to
+from q left join l on q.h = l.h and q.n = l.n
 """,
     "op8_substring_dedup": """
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
