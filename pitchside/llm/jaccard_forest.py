@@ -212,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
 def link(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
          recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document row: ``doc_id``, ``_d``, ``_t``, ``class_id`` (the least
-    document id of its component), ``n_copies`` (rows with equal words, itself
+    document id of its component), ``root`` (the identity of the component; null for a
+    text without words), ``n_copies`` (rows with equal words, itself
     included) and ``n_links`` (other texts that are linked with its text)."""
     d = prefix_length(threshold, trees, depth, recall)
     key = doc_key(F.col("doc_id"), F.col("text"))
@@ -249,12 +250,13 @@ def link(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, trees:
                          F.coalesce("to_b", "rb").alias("to_b"))
     named = written(named, "op7-named")
     classes = named.groupBy("to_a", "to_b").agg(F.min("least").alias("class_id"))
-    named = written(salted_left_join(named, classes, ["to_a", "to_b"], ID).select(*ID, "class_id", "n_copies", "n_links"),
+    root = F.struct("to_a", "to_b").alias("root")
+    named = written(salted_left_join(named, classes, ["to_a", "to_b"], ID).select(*ID, "class_id", root, "n_copies", "n_links"),
                     "op7-classes")
     rows = salted_left_join(signed.select(*KEY, *ID).distinct(), named, ID, KEY).drop(*ID)
     out = keyed.select(*KEY, "doc_id").join(rows, KEY, "left")
     none = F.lit(2 ** 63 - 1)
-    return out.select("doc_id", *KEY, F.when(F.col("class_id").isNull(), F.col("doc_id"))
+    return out.select("doc_id", *KEY, "root", F.when(F.col("class_id").isNull(), F.col("doc_id"))
                       .otherwise(F.nullif("class_id", none)).alias("class_id"),
                       F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -32,6 +32,7 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ from pitchside.llm.hashing import BASE_1, BASE_2, rolling, word_hashes
 ship(__name__)
 
 WINDOW, GRAM = 20, 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words that are hashed together in a task.
 CHUNK_WORDS = 500_000
 MIX = 0xBF58476D1CE4E5B9
@@ -205,6 +207,16 @@ def without(text: bytes, firsts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(kept + words[last:])
 
 
+def text_without(text: bytes, firsts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The text less the removed words and the white space after each."""
+    start = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    parts, last = [], 0
+    for a, b in zip(firsts, ends):
+        parts.append(text[last:start[a]])
+        last = start[b]
+    return b"".join([*parts, text[last:]])
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,17 +227,17 @@ def _cut(window: int):
                 a, b = spans_of(word_hashes(text), np.array(col["later"][i].as_py() or [], "i8"), window)
                 if len(a):
                     out.append((col["_d"][i].as_py(), col["_t"][i].as_py(), int((b - a).sum()),
-                                without(text, a, b).decode(),
+                                without(text, a, b).decode(), text_without(text, a, b).decode(),
                                 [{"first": int(x), "length": int(y - x)} for x, y in zip(a, b)]))
-            d, t, n, kept, spans = map(list, zip(*out)) if out else ([], [], [], [], [])
+            d, t, n, kept, left, spans = map(list, zip(*out)) if out else ([], [], [], [], [], [])
             span = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string()),
-                 pa.array(spans, span)], names=["_d", "_t", "n_removed", "kept", "spans"])
+                 pa.array(left, pa.string()), pa.array(spans, span)], names=["_d", "_t", "n_removed", "kept", "text_left", "spans"])
     return run
 
 
-CHANGED = "_d long, _t long, n_removed long, kept string, spans array<struct<first:long,length:long>>"
+CHANGED = "_d long, _t long, n_removed long, kept string, text_left string, spans array<struct<first:long,length:long>>"
 
 
 def words_joined(text: Column) -> Column:
@@ -244,7 +256,8 @@ def base_rows(docs: DataFrame) -> DataFrame:
 
 def changed(docs: DataFrame, base: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """A row for each key that loses words: ``n_removed``, ``kept`` (the words
-    that stay, joined by one space) and ``spans`` (first word and length)."""
+    that stay, joined by one space), ``text_left`` (the text less the removed words
+    and the white space after them) and ``spans`` (first word and length)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "text")
@@ -271,7 +284,7 @@ def changed(docs: DataFrame, base: DataFrame, window: int = WINDOW, gram: int =
     later = written(later.groupBy(*KEY).agg(F.collect_set("pos").alias("later")), "op8-later")
     # 4. spans
     cut = found.join(later, KEY, "left").select(*KEY, "text", "later").mapInArrow(_cut(window), CHANGED).dropDuplicates(KEY)
-    gone = copies.select(*KEY, F.col("n_words").alias("n_removed"), F.lit("").alias("kept"),
+    gone = copies.select(*KEY, F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit("").alias("text_left"),
                          F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("length"))).alias("spans"))
     return cut.unionByName(gone)
 

@@ -50,6 +50,7 @@ def test_random_texts(spark, seed, words):
     for r in got:
         assert any(g == (r.n_removed or 0) and (r.n_removed is None or k == r.kept) for g, k in by[r.doc_id, r.n_words]), r
         assert sum(s.length for s in r.spans or []) == (r.n_removed or 0)
+        assert r.kept is None or r.kept.encode() == b" ".join(r.text_left.encode().split())
 
 
 def test_rolling_equals_direct():
