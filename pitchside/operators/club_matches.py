@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.operators.ranking import running_number
+from pitchside.operators.ranking import kickoff_slice, running_number
 from pitchside.plans.options import StandingsOptions
 
 LEAGUE = ["competition", "season"]
@@ -61,19 +61,22 @@ def scope(matches: DataFrame, competition: str | None, season: int | None) -> Da
 def mini_league(matches: DataFrame, opponents) -> DataFrame:
     """Both clubs in the set; empty set = no filter.
 
-    A DataFrame set is per (competition, season): its members are gathered
-    into one array per league (bounded by the league's clubs), joined once on
-    the league key and tested for both clubs -- the set's plan runs once, and
-    no pairs are formed.
+    A DataFrame set is per (competition, season). Each side is a semi join on
+    (league, club), so a league with very many matches is spread over its
+    clubs; a league without a row in the set has an empty set and keeps all its
+    matches. No pairs are formed.
     """
     if opponents is None:
         return matches
     if isinstance(opponents, DataFrame):
-        sets = opponents.groupBy(*LEAGUE).agg(F.collect_set("team_id").alias("_members"))
-        return (matches.join(sets, LEAGUE)
-                .filter(F.array_contains("_members", F.col("home_team_id"))
-                        & F.array_contains("_members", F.col("away_team_id")))
-                .drop("_members"))
+        members = opponents.select(*CLUB).distinct()
+        leagues = opponents.select(*LEAGUE, F.lit(True).alias("_has_set")).distinct()
+        for side in ("home", "away"):
+            inside = members.select(*LEAGUE, F.col("team_id").alias(f"{side}_team_id"), F.lit(True).alias(f"_{side}_in"))
+            matches = matches.join(inside, [*LEAGUE, f"{side}_team_id"], "left")
+        matches = matches.join(leagues, LEAGUE, "left")
+        both = F.col("_home_in").isNotNull() & F.col("_away_in").isNotNull()
+        return matches.filter(F.col("_has_set").isNull() | both).drop("_home_in", "_away_in", "_has_set")
     ids = list(opponents)
     if not ids:
         return matches
@@ -94,8 +97,9 @@ def most_recent(cm: DataFrame, n: int) -> DataFrame:
 
 
 def with_recency(cm: DataFrame) -> DataFrame:
-    """Recency on every row (streaks need all of them): skew-split numbering."""
-    return running_number(cm, CLUB, [F.col("kicks_off_at").desc(), F.col("id").desc()], "recency")
+    """Recency on every row (streaks need all of them), numbered in slices."""
+    return running_number(cm, CLUB, [F.col("kicks_off_at").desc(), F.col("id").desc()], "recency",
+                          kickoff_slice(F.col("kicks_off_at")), falling=True)
 
 
 def club_matches(matches: DataFrame, opts: StandingsOptions = StandingsOptions(),

@@ -1,11 +1,9 @@
 """League position of every club after every matchweek.
 
 The reference joins each week to all earlier club-matches (a range join,
-quadratic in weeks). Here: weekly totals per club -> each played week spans
-forward to the club's next played week (the last one to the league's last
-week), which gives the dense grid from the club's first week on without a
-join -> running sums over a ROWS frame -> row_number per (competition,
-season, matchweek). Linear in rows, one scan; every window runs over
+quadratic in weeks). Here: weekly totals per club -> a dense grid of weeks from
+the club's first one on -> running sums in slices of weeks -> row_number per
+(competition, season, matchweek). Linear in rows; every window runs over
 pre-aggregated per-club-week rows.
 """
 
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches
-from pitchside.operators.ranking import running_sums
+from pitchside.operators.ranking import running_sums, week_slice
 from pitchside.operators.standings import canonical, points
 from pitchside.plans.options import StandingsOptions
 
@@ -30,27 +28,17 @@ def position_history(matches: DataFrame, teams: DataFrame,
         points(F.count_if(o == "W"), F.count_if(o == "D")).alias("wk_points"),
         F.sum("goals_for").alias("wk_gf"),
         F.sum("goals_against").alias("wk_ga"))
-    # Each played week spans forward to the club's next played week (or the
-    # league's last week) and fills the gap with zero rows: the dense grid
-    # from one pass over the weekly totals, no join back to them.
-    # the league's last week: a partial aggregate joined back (one row per
-    # league), not a window over every club-week row of a league
+    # The dense grid: every week from the club's first one to the league's
+    # last, met with the weekly totals on (club, week), so that a club with
+    # very many weeks is spread over them.
     last = weekly.groupBy(*LEAGUE).agg(F.max("matchweek").alias("_last"))
-    nxt = F.lead("matchweek").over(Window.partitionBy(*CLUB).orderBy("matchweek"))
-    spans = weekly.join(last, LEAGUE).select("*", F.coalesce(nxt - 1, F.col("_last")).alias("_until"))
-    cells = spans.select(*CLUB, "matchweek", "wk_points", "wk_gf", "wk_ga",
-                         F.explode(F.sequence("matchweek", "_until")).alias("_week"))
-    own = F.col("_week") == F.col("matchweek")
-    cells = cells.select(*CLUB, F.col("_week").alias("matchweek"),
-                         *[F.when(own, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("wk_points", "wk_gf", "wk_ga")])
-    # running totals per club-season, skew-split (a club-season of any length
-    # is summed over many tasks)
-    # a club's grid runs from its first week to the league's last
-    sizes = (weekly.groupBy(*CLUB).agg(F.min("matchweek").alias("_first")).join(last, LEAGUE)
-             .select(*CLUB, (F.col("_last") - F.col("_first") + 1).alias("_n")))
+    first = weekly.groupBy(*CLUB).agg(F.min("matchweek").alias("_first"))
+    grid = first.join(last, LEAGUE).select(*CLUB, F.explode(F.sequence("_first", "_last")).alias("matchweek"))
+    cells = grid.join(weekly, [*CLUB, "matchweek"], "left").na.fill(0, ["wk_points", "wk_gf", "wk_ga"])
+    # running totals per club-season, summed in slices of matchweeks
     cum = running_sums(cells, CLUB, [F.col("matchweek")], {
         "_pts": F.col("wk_points"), "_gf": F.col("wk_gf"), "_gd": F.col("wk_gf") - F.col("wk_ga")},
-        sizes=sizes)
+        week_slice(F.col("matchweek")))
     cum = cum.select(*CLUB, "matchweek", F.col("_pts").cast("int").alias("points"),
                      F.col("_gf").cast("int").alias("goals_for"), F.col("_gd").cast("int").alias("goal_difference"))
     named = cum.join(teams.select(F.col("id").alias("team_id"), "name"), "team_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.operators.ranking import running_number
+from pitchside.operators.ranking import kickoff_slice, running_number
 
 
 def derived_matchweeks(matches: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def derived_matchweeks(matches: DataFrame) -> DataFrame:
     fan = (matches.filter(F.col("status") != "cancelled")
            .select("id", "competition", "season", "kicks_off_at",
                    F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")))
-    # Running match number per club-season; skew-split, so a club-season of
-    # any size is numbered over many tasks.
+    # Running match number per club-season, in slices of kickoff time: a
+    # club-season of any size is numbered over many tasks.
     numbered = running_number(fan, ["competition", "season", "team_id"],
-                              [F.col("kicks_off_at"), F.col("id")], "nth")
+                              [F.col("kicks_off_at"), F.col("id")], "nth", kickoff_slice(F.col("kicks_off_at")))
     # Group on id alone: competition/season are functions of id, and the
     # result is then hash-partitioned exactly as the join back needs it.
     return (numbered

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, played
-from pitchside.operators.ranking import running_number
+from pitchside.operators.ranking import kickoff_slice, running_number, week_slice
 
 
 def feed_health(matches: DataFrame, teams: DataFrame, now: dt.datetime) -> DataFrame:
     """Q1: counts, newest update and its age in whole minutes (half up)."""
-    m = matches.agg(F.count(F.lit(1)).cast("int").alias("matches"),
+    m = matches.agg(F.count(F.lit(1)).alias("matches"),
                     F.max("updated_at").alias("last_ingest_at"))
-    t = teams.agg(F.count(F.lit(1)).cast("int").alias("teams"))
+    t = teams.agg(F.count(F.lit(1)).alias("teams"))
     age = (F.lit(now).cast("timestamp_ntz").cast("timestamp").cast("double")
            - F.col("last_ingest_at").cast("timestamp").cast("double")) / 60.0
     # Two one-row aggregates side by side: a scalar subquery, not a pairing.
@@ -26,17 +26,17 @@ def feed_health(matches: DataFrame, teams: DataFrame, now: dt.datetime) -> DataF
 
 def status_counts(matches: DataFrame) -> DataFrame:
     """Q2."""
-    return matches.groupBy("season", "status").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return matches.groupBy("season", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_keys(matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Q3: totals plus external ids held by more than one row."""
     dup_m = matches.groupBy("external_id").count().filter(F.col("count") > 1)
     dup_t = teams.groupBy("external_id").count().filter(F.col("count") > 1)
-    return matches.agg(F.count(F.lit(1)).cast("int").alias("matches")).select(
-        teams.select(F.count(F.lit(1)).cast("int")).scalar().alias("teams"), "matches",
-        dup_m.select(F.count(F.lit(1)).cast("int")).scalar().alias("duplicate_external_ids"),
-        dup_t.select(F.count(F.lit(1)).cast("int")).scalar().alias("duplicate_team_external_ids"))
+    return matches.agg(F.count(F.lit(1)).alias("matches")).select(
+        teams.select(F.count(F.lit(1))).scalar().alias("teams"), "matches",
+        dup_m.select(F.count(F.lit(1))).scalar().alias("duplicate_external_ids"),
+        dup_t.select(F.count(F.lit(1))).scalar().alias("duplicate_team_external_ids"))
 
 
 def _derived_club_rows(matches: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def _derived_club_rows(matches: DataFrame) -> DataFrame:
 def matchweek_monotonic(matches: DataFrame) -> DataFrame:
     """Q4: a club's matchweek must never fall along its fixtures."""
     # lag() as an equi-join on the running number: (club, n) meets (club, n - 1).
-    rows = running_number(_derived_club_rows(matches), CLUB, [F.col("kicks_off_at"), F.col("id")], "nth")
+    rows = running_number(_derived_club_rows(matches), CLUB, [F.col("kicks_off_at"), F.col("id")], "nth",
+                          kickoff_slice(F.col("kicks_off_at")))
     prev = rows.select(*CLUB, (F.col("nth") + 1).alias("nth"), F.col("matchweek").alias("prev"))
     flagged = rows.join(prev, [*CLUB, "nth"], "left")
     return flagged.groupBy(*LEAGUE).agg(
@@ -62,7 +63,8 @@ def matchweek_overplayed(matches: DataFrame) -> DataFrame:
     """Q5: at matchweek N no club may have played more than N games."""
     # running count in matchweek order (ties in any order: the number of
     # violations does not depend on it)
-    games = running_number(_derived_club_rows(matches), CLUB, [F.col("matchweek"), F.col("id")], "games")
+    games = running_number(_derived_club_rows(matches), CLUB, [F.col("matchweek"), F.col("id")], "games",
+                           week_slice(F.coalesce("matchweek", F.lit(-1))))
     return games.groupBy(*LEAGUE).agg(
         F.count_if(F.col("games") > F.col("matchweek")).cast("int").alias("violations"))
 

@@ -1,19 +1,20 @@
-"""Numbering and running totals that never put one big group in one task.
-
-* ``dense_index``: dense, deterministic surrogate ids. ``row_number() over
-  (order by k)`` with no partition runs in one task; here the rows are
-  range-partitioned on the order key (a hot key range is split across
-  tasks), numbered inside each partition, and shifted by the row counts of
-  the earlier partitions. The offsets table has one row per partition, so
-  broadcasting it is bounded by the partition count, never by the data.
-* ``running_number`` / ``running_sums``: ``row_number()`` and ROWS-frame
-  sums per group, skew-split. Group sizes come from a partial aggregate;
-  ordinary groups use a plain window, groups above
-  ``pitchside.skew.hotGroupRows`` are cut into contiguous range slices over
-  many tasks and stitched together with per-slice offsets.
-
-Positions inside a sorted partition come from ``monotonically_increasing_id``
-after a sort on unique keys, so a recomputed task reproduces them.
+"""Numbering and running totals that split a group over many tasks.
+
+``row_number()`` or a running sum over a whole group puts the group in one
+task. Here the order is cut into *slices* by a function of the row's own order
+key that never falls along the order (two weeks of kickoffs, eight
+matchweeks, the first digits of a digest). Then
+
+* a window numbers (or sums) inside a group's slice, spread by both;
+* an aggregate with a map-side partial step gives each slice's count (or sum),
+  and a window over these few rows what the group's earlier slices add;
+* the two meet on (group, slice): one row on the second side, so rows are
+  neither lost nor repeated.
+
+Which slice a row is in depends on its values alone, not on partitions, file
+splits or samples, so both sides always agree, also when a lost executor makes
+Spark compute one of them again. There is one path for every size, no
+threshold, and no job runs while a plan is made.
 """
 
 from __future__ import annotations
@@ -21,114 +22,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the slices over kickoffs (days) and matchweeks.
+KICKOFF_DAYS, WEEKS = 14, 8
+#: First hex digits of the digest that orders new keys: 4096 slices.
+DIGITS = 3
 
-def dense_index(df: DataFrame, order: list[str | Column], start: Column | int = 0,
-                name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = start + 1, 2, ... following ``order`` (keys must be unique)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    local = ranged.select("*", F.spark_partition_id().alias("_pid"),
-                          F.monotonically_increasing_id().alias("_mid"))
-    # monotonically_increasing_id = (partition << 33) + row number in partition
-    local = local.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    start_col = start if isinstance(start, Column) else F.lit(start)
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (start_col + F.col("_off") + F.col("_local") + 1).cast("int"))
-            .drop("_pid", "_mid", "_local", "_off"))
 
+def kickoff_slice(kickoff: Column) -> Column:
+    """Slice number of a kickoff, rising with time."""
+    return F.floor(F.datediff(kickoff.cast("date"), F.lit("1970-01-01").cast("date")) / KICKOFF_DAYS)
 
-# Groups above this many rows are numbered by the distributed path; every
-# other group by a plain window. Read from the session so a job can tune it.
-HOT_GROUP_ROWS = 1_000_000
 
+def week_slice(matchweek: Column) -> Column:
+    return F.floor(matchweek / WEEKS)
 
-def hot_group_rows(spark) -> int:
-    return int(spark.conf.get("pitchside.skew.hotGroupRows", str(HOT_GROUP_ROWS)))
 
+def _joined(rows: DataFrame, sums: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with the columns of its slice; null group keys meet each other."""
+    right = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_slice").alias("_g_slice"),
+                        *[c for c in sums.columns if c not in (*group, "_slice")])
+    on = F.col("_slice") == F.col("_g_slice")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return rows.join(right, on).drop("_g_slice", *[f"_g_{g}" for g in group])
 
-def _distributed_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    """row_number per group for rows of hot groups, over many tasks.
 
-    Range partitioning on (group, order) cuts a hot group into contiguous
-    slices; inside a slice the local position comes from the row's index in
-    its sorted partition; the offset of a slice is the row count of the
-    group's earlier slices (a window over at most #partitions rows per group).
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group] + order
-    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    x = x.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    slices = x.groupBy("_pid", *group).agg(F.min("_local").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    return (x.join(slices, ["_pid", *group])
-            .withColumn(name, (F.col("_off") + F.col("_local") - F.col("_start") + 1).cast("int"))
-            .drop("_pid", "_mid", "_local", "_start", "_off"))
-
-
-def running_number(df: DataFrame, group: list[str], order: list[Column], name: str,
-                   threshold: int | None = None) -> DataFrame:
-    """``row_number() over (partition by group order by order)``, skew-split.
-
-    A partial aggregate counts rows per group; groups above the threshold
-    (at most rows / threshold of them, so their key list is bounded) take the
-    distributed path, the rest a plain window. Results are identical.
+def running_number(df: DataFrame, group: list[str], order: list[Column], name: str, slice_of: Column,
+                   falling: bool = False) -> DataFrame:
+    """``row_number() over (partition by group order by order)``.
+
+    ``slice_of`` must not fall (``falling``: not rise) along ``order``, and not
+    be null.
     """
-    limit = threshold if threshold is not None else hot_group_rows(df.sparkSession)
-    window = Window.partitionBy(*group).orderBy(*order)
-    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*group)
-    # Planning decision on one tiny job (like AQE deciding from statistics):
-    # without a hot group the plan is the plain window and nothing else.
-    if hot.limit(1).count() == 0:
-        return df.withColumn(name, F.row_number().over(window))
-    hot = F.broadcast(hot)
-    plain = df.join(hot, group, "left_anti").withColumn(name, F.row_number().over(window))
-    split = _distributed_number(df.join(hot, group, "left_semi"), group, order, name)
-    return plain.unionByName(split)
-
-
-def _distributed_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Running sums for rows of hot groups, over many tasks: range slices of
-    each group get a local running sum (a window over one slice) plus the
-    totals of the group's earlier slices."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group] + order
-    x = (df.select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
-         .repartitionByRange(n, *keys).select("*", F.spark_partition_id().alias("_pid")))
-    local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.select("*", *[F.sum(f"_v_{k}").over(local).alias(f"_l_{k}") for k in sums])
-    slices = x.groupBy("_pid", *group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
-                                             for k in sums])
-    out = x.join(slices, ["_pid", *group])
-    for k in sums:
-        out = out.withColumn(k, F.col(f"_l_{k}") + F.col(f"_o_{k}"))
-    return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in "vlo"])
+    rows = df.withColumn("_slice", slice_of)
+    inside = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
+    counts = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    slices = F.col("_slice").desc() if falling else F.col("_slice").asc()
+    earlier = Window.partitionBy(*group).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = _joined(rows.withColumn("_inside", inside), counts, group)
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before")
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column],
-                 threshold: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """``sum(col) over (partition by group order by order rows unbounded preceding)``
-    for each output column, skew-split like ``running_number``.
-
-    ``sizes`` (group columns + ``_n``) may give the group sizes, or upper
-    bounds of them, from a cheaper plan than ``df`` itself.
+                 slice_of: Column) -> DataFrame:
+    """``sum(col) over (partition by group order by order rows unbounded
+    preceding)`` for each output column; ``slice_of`` as in ``running_number``."""
+    rows = df.select("*", slice_of.alias("_slice"), *[c.alias(f"_v_{k}") for k, c in sums.items()])
+    upto = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*group, "_slice").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}")
+                                               for k in sums])
+    out = _joined(rows.select("*", *[F.sum(f"_v_{k}").over(upto).alias(f"_i_{k}") for k in sums]), totals, group)
+    return out.withColumns({k: F.col(f"_b_{k}") + F.col(f"_i_{k}") for k in sums}).drop(
+        "_slice", *[f"_{p}_{k}" for k in sums for p in "vib"])
+
+
+def dense_index(df: DataFrame, key: str, first: str, start: Column | int = 0, name: str = "idx") -> DataFrame:
+    """Add ``name`` = start + 1, 2, ... in the order of ``first`` (rows that came
+    earlier have lower numbers), then of a digest of the unique ``key``.
+
+    The digest's first digits are the slices: equally full whatever the keys
+    look like. Their counts (at most 4096 per value of ``first``) are the only
+    rows that a window without a key sees.
     """
-    limit = threshold if threshold is not None else hot_group_rows(df.sparkSession)
-    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if sizes is None:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > limit).select(*group)
-    plain = lambda d: d.select("*", *[F.sum(c).over(frame).alias(k) for k, c in sums.items()])
-    if hot.limit(1).count() == 0:
-        return plain(df)
-    hot = F.broadcast(hot)
-    return plain(df.join(hot, group, "left_anti")).unionByName(
-        _distributed_sums(df.join(hot, group, "left_semi"), group, order, sums))
+    rows = df.withColumn("_md5", F.md5(F.col(key).cast("string").cast("binary")))
+    rows = rows.withColumn("_slice", F.substring("_md5", 1, DIGITS))
+    inside = F.row_number().over(Window.partitionBy(first, "_slice").orderBy("_md5", key))
+    counts = rows.groupBy(first, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(first, "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(first, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    begin = start if isinstance(start, Column) else F.lit(start)
+    out = _joined(rows.withColumn("_inside", inside), counts, [first])
+    return out.withColumn(name, begin + F.col("_before") + F.col("_inside")).drop("_md5", "_slice", "_inside", "_before")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,8 @@ def enrich_teams(teams: DataFrame) -> DataFrame:
 
 def build_league(spark: SparkSession, sf_dir: str, path: str) -> League:
     teams, matches = raw_league(spark, sf_dir)
-    enrich_teams(teams).write.mode("overwrite").parquet(f"{path}/teams")
-    write_matches(with_matchweeks(matches), f"{path}/matches", buckets=False)
+    enrich_teams(teams).write.parquet(f"{path}/teams")
+    write_matches(with_matchweeks(matches), f"{path}/matches", buckets=0)
     return League(spark.read.parquet(f"{path}/teams"), read_matches(spark, f"{path}/matches"), path)
 
 
@@ -54,6 +55,6 @@ def league(spark: SparkSession, sf_dir: str) -> League:
     with _LOCK:
         if key not in _CACHE:
             digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-            path = scratch_path(spark, "league", key[0], digest)
+            path = scratch_path(spark, "league", key[0], f"{digest}-{uuid.uuid4().hex[:8]}")
             _CACHE[key] = build_league(spark, sf_dir, path)
         return _CACHE[key]

@@ -310,19 +310,19 @@ FROM matches""")
 # ---- quality and audit -----------------------------------------------------------
 
 ORACLES["feed_health"] = with_base("""
-SELECT (SELECT CAST(count(*) AS INTEGER) FROM matches) AS matches,
-       (SELECT CAST(count(*) AS INTEGER) FROM teams) AS teams,
+SELECT (SELECT count(*) FROM matches) AS matches,
+       (SELECT count(*) FROM teams) AS teams,
        (SELECT max(updated_at) FROM matches) AS last_ingest_at,
        CAST(floor((epoch(TIMESTAMP '2001-09-01 00:00:00') - epoch((SELECT max(updated_at) FROM matches))) / 60.0 + 0.5)
             AS INTEGER) AS age_minutes""")
 ORACLES["status_counts"] = with_base(
-    "SELECT season, status, CAST(count(*) AS INTEGER) AS n FROM matches GROUP BY season, status")
+    "SELECT season, status, count(*) AS n FROM matches GROUP BY season, status")
 ORACLES["duplicate_keys"] = with_base("""
-SELECT (SELECT CAST(count(*) AS INTEGER) FROM teams) AS teams,
-       (SELECT CAST(count(*) AS INTEGER) FROM matches) AS matches,
-       (SELECT CAST(count(*) AS INTEGER) FROM (SELECT external_id FROM matches GROUP BY external_id
+SELECT (SELECT count(*) FROM teams) AS teams,
+       (SELECT count(*) FROM matches) AS matches,
+       (SELECT count(*) FROM (SELECT external_id FROM matches GROUP BY external_id
                                               HAVING count(*) > 1) d) AS duplicate_external_ids,
-       (SELECT CAST(count(*) AS INTEGER) FROM (SELECT external_id FROM teams GROUP BY external_id
+       (SELECT count(*) FROM (SELECT external_id FROM teams GROUP BY external_id
                                               HAVING count(*) > 1) d) AS duplicate_team_external_ids""")
 _DCM = """
 , dcm AS (
@@ -403,7 +403,7 @@ UPSERT_CTES = """
 st_teams AS (SELECT id, external_id, name, short_name, crest_url, primary_color, secondary_color
              FROM teams0 WHERE id % 4 <> 1),
 new_teams AS (
-  SELECT CAST((SELECT max(id) FROM st_teams) + row_number() OVER (ORDER BY external_id) AS INTEGER) AS id,
+  SELECT CAST((SELECT max(id) FROM st_teams) + row_number() OVER (ORDER BY md5(external_id), external_id) AS BIGINT) AS id,
          external_id, name, short_name, crest_url, primary_color, secondary_color
   FROM teams0 WHERE id % 4 = 1 AND id IN (SELECT tid FROM appear)),
 up_teams AS (SELECT * FROM st_teams UNION ALL SELECT * FROM new_teams),
@@ -418,7 +418,7 @@ dl AS (
          CASE WHEN m.id % 10 <> 0 THEN m.stoppage_minute END AS stoppage_minute
   FROM matches m JOIN tmap hm ON hm.old_id = m.home_team_id JOIN tmap am ON am.old_id = m.away_team_id),
 newm AS (SELECT external_id,
-                CAST((SELECT max(id) FROM raw WHERE id % 10 <> 3) + row_number() OVER (ORDER BY external_id) AS INTEGER)
+                CAST((SELECT max(id) FROM raw WHERE id % 10 <> 3) + row_number() OVER (ORDER BY md5(external_id), external_id) AS BIGINT)
                   AS new_id
          FROM raw WHERE id % 10 = 3),
 up_matches AS (
@@ -441,11 +441,11 @@ ORACLES["upsert_matches"] = with_base(UPSERT_CTES + "\nSELECT * FROM up_matches"
 ORACLES["refresh_matchweeks"] = with_base(UPSERT_CTES + "\nSELECT * FROM changes")
 ORACLES["ingest_report"] = with_base(UPSERT_CTES + """
 SELECT 'backfill' AS window,
-       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS INTEGER) AS fetched,
-       CAST((SELECT count(*) FROM appear) AS INTEGER) AS teams_upserted,
-       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS INTEGER) AS matches_upserted,
-       CAST((SELECT count(*) FROM changes) AS INTEGER) AS matchweeks_updated,
-       0 AS skipped""")
+       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS BIGINT) AS fetched,
+       CAST((SELECT count(*) FROM appear) AS BIGINT) AS teams_upserted,
+       CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS BIGINT) AS matches_upserted,
+       CAST((SELECT count(*) FROM changes) AS BIGINT) AS matchweeks_updated,
+       CAST(0 AS BIGINT) AS skipped""")
 # Stream: delivery 1 then delivery 2, each followed by a matchweek refresh;
 # a match cancelled in delivery 2 keeps the number delivery 1 gave it.
 ORACLES["ingest_stream"] = with_base(UPSERT_CTES + """,

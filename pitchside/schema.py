@@ -16,7 +16,7 @@ SEASON_MIN, SEASON_MAX = 2000, 2100
 DEFAULT_SEASON = 2025
 
 TEAMS = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
+    T.StructField("id", T.LongType(), False),
     T.StructField("external_id", T.StringType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("short_name", T.StringType(), False),
@@ -26,15 +26,15 @@ TEAMS = T.StructType([
 ])
 
 MATCHES = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
+    T.StructField("id", T.LongType(), False),
     T.StructField("external_id", T.StringType(), False),
     T.StructField("competition", T.StringType(), False),
     T.StructField("season", T.IntegerType(), False),
     T.StructField("matchweek", T.IntegerType(), True),
     T.StructField("kicks_off_at", T.TimestampNTZType(), False),
     T.StructField("status", T.StringType(), False),
-    T.StructField("home_team_id", T.IntegerType(), False),
-    T.StructField("away_team_id", T.IntegerType(), False),
+    T.StructField("home_team_id", T.LongType(), False),
+    T.StructField("away_team_id", T.LongType(), False),
     T.StructField("home_goals", T.IntegerType(), True),
     T.StructField("away_goals", T.IntegerType(), True),
     T.StructField("minute", T.IntegerType(), True),

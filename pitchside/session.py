@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,7 +36,6 @@ def configure(spark: SparkSession) -> None:
     """Settings every job relies on; safe to call on a cluster session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     scratch_root(spark)
 
 
@@ -50,21 +50,26 @@ def app_id(spark: SparkSession) -> str:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is given and always used. Only where it is unset
-    (tests, local bench) a fresh folder is created and registered.
+    Only a local master may do without the setting (tests, local bench): there
+    a fresh folder is made. On a cluster a machine's own folder would not be
+    seen by the other machines, so a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: read the setting from the session only
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        return root.rstrip("/")
-    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    except Exception:  # Spark Connect has no SparkContext: only the setting counts
+        return _given(spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")).rstrip("/")
+    root = sc.getCheckpointDir() or _given(sc.getConf().get("spark.checkpoint.dir", None), sc.master)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    root = sc.getCheckpointDir() or root
-    return root.rstrip("/")
+    return (sc.getCheckpointDir() or root).rstrip("/")
+
+
+def _given(root: str | None, master: str) -> str:
+    if root:
+        return root
+    if re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:

@@ -43,7 +43,7 @@ def derive_teams(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
     prefix = _case(k % 5, dict(enumerate(NAME_PREFIXES[:4])), F.lit(NAME_PREFIXES[4]))
     return supplier.select(
-        (k + 1).cast("int").alias("id"),
+        (k + 1).cast("long").alias("id"),
         F.concat(F.lit("ext-"), k.cast("string")).alias("external_id"),
         F.concat(prefix, k.cast("string")).alias("name"),
         F.concat(F.lit("S"), k.cast("string")).alias("short_name"),
@@ -79,16 +79,16 @@ def derive_matches(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     played = s.isin("finished", "live")
     scheduled_nil = (s == "scheduled") & (k % 7 == 0)
     return base.select(
-        (k + 1).cast("int").alias("id"),
+        (k + 1).cast("long").alias("id"),
         F.concat(F.lit("m-"), k.cast("string")).alias("external_id"),
         F.concat(F.lit("lg."), F.floor(hh / LEAGUE_SIZE).cast("int").cast("string")).alias("competition"),
         "season",
         F.lit(None).cast("int").alias("matchweek"),
         F.col("o_orderdate").alias("kicks_off_at"),
         "status",
-        (hh + 1).cast("int").alias("home_team_id"),
+        (hh + 1).cast("long").alias("home_team_id"),
         ((hh - hh % LEAGUE_SIZE) + (hh % LEAGUE_SIZE + 1 + F.col("o_custkey") % (l - 1)) % l + 1)
-        .cast("int").alias("away_team_id"),
+        .cast("long").alias("away_team_id"),
         F.when(played, F.col("hg")).when(scheduled_nil, F.lit(0)).alias("home_goals"),
         F.when((s == "finished") & (k % 97 == 0), F.lit(None).cast("int"))
         .when(played, F.col("ag")).when(scheduled_nil, F.lit(0)).alias("away_goals"),

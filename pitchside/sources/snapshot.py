@@ -1,118 +1,157 @@
-"""Versioned parquet snapshots of ``teams`` and ``matches``, written by
-partition.
-
-Plain parquet has no MERGE, and a plan must never overwrite the path it
-reads. A commit writes a fresh ``v=<n>`` folder holding the teams table and
-**only the match partitions** ``(season, bucket)`` the ingest rewrote, then
-appends one row to a small commit log: the partitions written, the batch id
-(so a replayed stream batch is skipped) and the largest ids (so new ids never
-need a scan of the table). Readers take, per partition, the newest version
-that wrote it.
+"""The sink for ``teams`` and ``matches``, and its commits.
+
+Plain parquet has no MERGE, and a plan must never overwrite what it reads. So
+every attempt writes into a new folder of its own, and becomes visible by one
+small file: the commit ``_log/<version>.json``, created only if absent.
+
+* A commit names the folder of the teams table and, per match partition
+  ``(season, bucket)``, the folder that holds it. It is the whole state, so a
+  reader opens the newest commit and nothing else.
+* An attempt that fails leaves a folder that no commit names. Its retry writes
+  another one; nothing is left over in it.
+* Of two writers that start from the same version one creates the next commit;
+  the other gets ``ConcurrentCommit`` and has to start again from the new state.
+* A log that cannot be read raises; only a missing folder means "no commit".
+* ``compact`` brings many folders back to one, ``vacuum`` removes what no kept
+  commit names.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pitchside.schema import MATCHES, TEAM_COLUMNS, TEAMS
-from pitchside.sources.storage import BUCKETS, PARTITION, bucket_of, read_matches, write_matches
+from pitchside.sources import files
+from pitchside.sources.storage import BUCKETS, bucket_of, partition_key, read_matches, write_matches
 
-LOG_SCHEMA = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("committed_at", T.StringType()),
-    T.StructField("partitions", T.ArrayType(T.IntegerType())),   # season * BUCKETS + bucket
-    T.StructField("max_team_id", T.IntegerType()),
-    T.StructField("max_match_id", T.IntegerType()),
-])
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed the version first."""
 
-def _key(season, bucket):
-    return season * BUCKETS + bucket
 
+@dataclass
+class Commit:
+    version: int = 0
+    batch_id: int = -1                      # largest stream batch applied so far
+    committed_at: str = ""
+    teams: str = ""                         # folder of the teams table
+    folders: dict[str, list[int]] = field(default_factory=dict)   # folder -> partitions it holds
+    buckets: int = BUCKETS
+    max_team_id: int = 0
+    max_match_id: int = 0
 
-def log(spark: SparkSession, root: str) -> list:
-    """The commit log (one small row per commit)."""
-    try:
-        return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log").orderBy("version").collect()
-    except Exception:  # nothing committed yet: the folder does not exist
-        return []
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.removesuffix(".json")) for n in files.names(spark, f"{root}/_log") if n.endswith(".json")]
+
+
+def read_commit(spark: SparkSession, root: str, version: int) -> Commit:
+    return Commit(**json.loads(files.read_text(spark, f"{root}/_log/{version:012d}.json")))
+
+
+def latest(spark: SparkSession, root: str) -> Commit | None:
+    """The newest commit, or None where nothing was committed."""
+    found = versions(spark, root)
+    return read_commit(spark, root, found[-1]) if found else None
 
 
 def committed_batch(spark: SparkSession, root: str, batch_id: int) -> bool:
-    return any(r.batch_id == batch_id for r in log(spark, root))
+    """Stream batches are applied in order, so the largest one tells."""
+    last = latest(spark, root)
+    return last is not None and last.batch_id >= batch_id
 
 
 def max_ids(spark: SparkSession, root: str) -> tuple[int, int]:
-    entries = log(spark, root)
-    return (entries[-1].max_team_id or 0, entries[-1].max_match_id or 0) if entries else (0, 0)
+    last = latest(spark, root)
+    return (last.max_team_id, last.max_match_id) if last else (0, 0)
 
 
-def next_version_path(spark: SparkSession, root: str) -> str:
-    """Folder of the next version. Writing into it before ``commit`` is safe:
-    readers follow the log only, and a retry overwrites a half-written folder."""
-    entries = log(spark, root)
-    return f"{root}/v={(entries[-1].version if entries else 0) + 1}"
+def attempt(root: str) -> str:
+    """A new folder for the tables of one attempt."""
+    return f"{root}/data/{uuid.uuid4().hex}"
 
 
-def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame,
-           batch_id: int = -1, partitions: DataFrame | None = None, matches_written: bool = False,
-           partition_keys: list[int] | None = None) -> int:
-    """Write teams and the given match partitions as a new version.
+def commit(spark: SparkSession, root: str, teams: DataFrame, matches: DataFrame, batch_id: int = -1,
+           partition_keys: list[int] | None = None, folder: str | None = None, base: Commit | None = None,
+           buckets: int = BUCKETS) -> int:
+    """Make a new version of the teams table and of the match partitions that
+    ``matches`` replaces (by default those its rows fall in; a listed one
+    without rows reads as empty).
 
-    ``partitions`` (season, bucket) -- or ``partition_keys`` already encoded
-    as season * BUCKETS + bucket -- lists what ``matches`` replaces; by
-    default the partitions its rows fall in. A listed partition with no rows
-    left is recorded too, so it reads as empty. ``matches_written`` means the
-    rows already sit in the version folder (written there by the ingest).
+    ``folder`` is an attempt folder that holds both tables already; ``base`` is
+    the commit that the caller read its state from.
     """
-    entries = log(spark, root)
-    version = (entries[-1].version if entries else 0) + 1
-    path = f"{root}/v={version}"
-    teams = teams.select(TEAM_COLUMNS)
-    teams.write.mode("overwrite").parquet(f"{path}/teams")
-    if not matches_written:
-        write_matches(matches, f"{path}/matches")
-    written = spark.read.parquet(f"{path}/teams").agg(F.max("id")).first()[0]
-    if partition_keys is not None:
-        keys = sorted(partition_keys)
-    else:
-        if partitions is None:
-            partitions = matches.select("season", bucket_of(F.col("competition")).alias("bucket"))
-        keys = sorted({_key(r.season, r.bucket) for r in partitions.distinct().collect()})  # <= seasons x 16
-    m = read_matches(spark, f"{path}/matches").agg(F.max("id")).first()[0]
-    prev_team, prev_match = max_ids(spark, root)
-    row = [(version, batch_id, dt.datetime.now(dt.timezone.utc).isoformat(), keys,
-            max(written or 0, prev_team), max(m or 0, prev_match))]
-    spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_log")
-    return version
+    base = base or latest(spark, root) or Commit(buckets=buckets)
+    if folder is None:
+        folder = attempt(root)
+        teams.select(TEAM_COLUMNS).write.parquet(f"{folder}/teams")
+        write_matches(matches, f"{folder}/matches", buckets=base.buckets)
+    written = read_matches(spark, f"{folder}/matches", keep_partition=True)
+    if partition_keys is None:
+        keys = written.select(partition_key(F.col("season"), F.col("bucket"), base.buckets).alias("k")).distinct()
+        partition_keys = [r.k for r in keys.collect()]                 # at most seasons x buckets
+    new = set(partition_keys)
+    kept = {f: [k for k in ks if k not in new] for f, ks in base.folders.items()}
+    kept = {f: ks for f, ks in kept.items() if ks}
+    if new:
+        kept[folder] = sorted(new)
+    top_team = spark.read.schema(TEAMS).parquet(f"{folder}/teams").agg(F.max("id")).first()[0]
+    top_match = written.agg(F.max("id")).first()[0]
+    entry = Commit(base.version + 1, max(batch_id, base.batch_id), dt.datetime.now(dt.timezone.utc).isoformat(), f"{folder}/teams",
+                   kept, base.buckets, max(top_team or 0, base.max_team_id), max(top_match or 0, base.max_match_id))
+    if not files.create_new(spark, f"{root}/_log/{entry.version:012d}.json", json.dumps(asdict(entry))):
+        raise ConcurrentCommit(f"version {entry.version} of {root} was committed by another writer")
+    return entry.version
+
+
+def tables(spark: SparkSession, state: Commit) -> tuple[DataFrame, DataFrame]:
+    """Teams and matches of a commit: each match partition from its folder."""
+    key = partition_key(F.col("season"), F.col("bucket"), state.buckets)
+    parts = [read_matches(spark, f"{folder}/matches", keep_partition=True)
+             .filter(F.col("season").isin(sorted({k // state.buckets for k in keys})) & key.isin(keys)).drop("bucket")
+             for folder, keys in sorted(state.folders.items())]
+    teams = spark.read.schema(TEAMS).parquet(state.teams).select(TEAM_COLUMNS)
+    return teams, reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], MATCHES)
 
 
 def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Teams of the newest version; each match partition from the newest
-    version that wrote it."""
-    entries = log(spark, root)
-    if not entries:
+    state = latest(spark, root)
+    if state is None:
+        raise FileNotFoundError(f"no snapshot committed under {root}")
+    return tables(spark, state)
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Rewrite all live partitions into one folder, as a commit of its own."""
+    state = latest(spark, root)
+    if state is None:
         raise FileNotFoundError(f"no snapshot committed under {root}")
-    owner: dict[int, int] = {}
-    for e in entries:
-        for k in e.partitions or []:
-            owner[k] = e.version
-    by_version: dict[int, list[int]] = {}
-    for k, v in owner.items():
-        by_version.setdefault(v, []).append(k)
-    parts = [read_matches(spark, f"{root}/v={v}/matches", keep_partition=True)
-             .filter((F.col("season") * BUCKETS + F.col("bucket")).isin(keys)).drop("bucket")
-             for v, keys in sorted(by_version.items())]
-    teams = spark.read.schema(TEAMS).parquet(f"{root}/v={entries[-1].version}/teams").select(TEAM_COLUMNS)
-    if not parts:
-        return teams, spark.createDataFrame([], MATCHES)
-    return teams, reduce(DataFrame.unionByName, parts)
-
-
-__all__ = ["commit", "current", "next_version_path", "committed_batch", "max_ids", "log", "PARTITION"]
+    teams, matches = tables(spark, state)
+    return commit(spark, root, teams, matches, state.batch_id, base=state,
+                  partition_keys=sorted(k for ks in state.folders.values() for k in ks))
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 10) -> int:
+    """Remove commits older than the newest ``keep`` and the folders that no
+    kept commit names; returns how many folders went. Not while a writer runs:
+    its attempt has no commit yet."""
+    found = versions(spark, root)
+    kept = [read_commit(spark, root, v) for v in found[-keep:]]
+    named = {f.rstrip("/").rsplit("/", 1)[-1] for c in kept for f in [*c.folders, c.teams.removesuffix("/teams")]}
+    for v in found[:-keep]:
+        files.delete(spark, f"{root}/_log/{v:012d}.json")
+    gone = [n for n in files.names(spark, f"{root}/data") if n not in named]
+    for n in gone:
+        files.delete(spark, f"{root}/data/{n}")
+    return len(gone)
+
+
+__all__ = ["Commit", "ConcurrentCommit", "attempt", "bucket_of", "commit", "committed_batch", "compact", "current",
+           "latest", "max_ids", "tables", "vacuum", "versions", "write_matches"]

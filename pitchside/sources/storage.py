@@ -1,7 +1,8 @@
 """Physical layout of the ``matches`` table.
 
-Directories: ``season=<s>/bucket=<b>`` with ``bucket = pmod(xxhash64(competition), 16)``.
-A league-season therefore lives in exactly one directory, so
+Directories: ``season=<s>/bucket=<b>`` with ``bucket = pmod(xxhash64(competition), buckets)``.
+The number of buckets is a property of the table. A league-season lives in
+exactly one directory, so
 
 * an ingest rewrites only the directories its rows touch (a poll reads one
   competition, hence one bucket of one or two seasons), and
@@ -9,7 +10,7 @@ A league-season therefore lives in exactly one directory, so
 
 Inside a directory rows are sorted by (competition, kickoff), so filters on
 competition and dates prune parquet row groups. The directory count is
-bounded by seasons x 16, whatever the number of competitions.
+bounded by seasons x buckets, whatever the number of competitions.
 """
 
 from __future__ import annotations
@@ -24,26 +25,29 @@ BUCKETS = 16
 PARTITION = ["season", "bucket"]
 
 
-def bucket_of(competition: Column) -> Column:
-    return F.pmod(F.xxhash64(competition), F.lit(BUCKETS)).cast("int")
+def bucket_of(competition: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(competition), F.lit(buckets)).cast("int")
 
 
-def with_bucket(matches: DataFrame) -> DataFrame:
-    return matches.withColumn("bucket", bucket_of(F.col("competition")))
+def partition_key(season: Column, bucket: Column, buckets: int = BUCKETS) -> Column:
+    """One number per directory."""
+    return season * buckets + bucket
 
 
-def write_matches(matches: DataFrame, path: str, buckets: bool = True) -> None:
-    """Write rows into ``path`` (a new folder). Range partitioning spreads a hot
-    season or competition over many writers; each writer holds few folders.
+def write_matches(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write rows into ``path``, which must be new. Range partitioning spreads a
+    hot season or competition over many writers; each writer holds few folders.
 
-    ``buckets=False`` is the read-optimised layout of a table that is built
-    once and never rewritten in part (season folders only, fewer files).
+    ``buckets=0`` is the read-optimised layout of a table that is built once
+    and never rewritten in part (season folders only, fewer files).
     """
     parts = PARTITION if buckets else ["season"]
-    df = with_bucket(matches.select(MATCH_COLUMNS)) if buckets else matches.select(MATCH_COLUMNS)
+    df = matches.select(MATCH_COLUMNS)
+    if buckets:
+        df = df.withColumn("bucket", bucket_of(F.col("competition"), buckets))
     (df.repartitionByRange(*parts, "competition", "kicks_off_at")
      .sortWithinPartitions(*parts, "competition", "kicks_off_at", "id")
-     .write.mode("overwrite").partitionBy(*parts).parquet(path))
+     .write.mode("errorifexists").partitionBy(*parts).parquet(path))
 
 
 STORED = T.StructType(MATCHES.fields + [T.StructField("bucket", T.IntegerType())])

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import colour as co
 from pitchside.functions.slug import slugify, slugify_py
-from pitchside.operators.ranking import dense_index
 from pitchside.plans.options import parse_view_params, resolve_sort
 
 SLUGS = {
@@ -63,13 +62,3 @@ def test_view_params():
     assert parse_view_params({"season": ["2001", "2002"]}).season == 2001
     assert resolve_sort(("nonsense", "desc")) == ("position", False)
     assert resolve_sort(None) == ("position", True)
-
-
-def test_dense_index(spark):
-    df = spark.range(0, 1000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"),
-                                     (F.col("id") % 3).alias("grp"))
-    out = dense_index(df, ["grp", "key"], 100, partitions=7).collect()
-    ids = sorted(r.idx for r in out)
-    assert ids == list(range(101, 1101))
-    expected = {k: i + 101 for i, (g, k) in enumerate(sorted((r.grp, r.key) for r in out))}
-    assert all(expected[r.key] == r.idx for r in out)

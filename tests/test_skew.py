@@ -1,57 +1,71 @@
-"""The skew-split numbering gives the plain window's answer, with any mix of
-hot and ordinary groups, and whole queries agree when every group is hot."""
+"""Sliced numbering and sums give the plain window's answer: with payload
+columns, a group that holds a third of all rows, ties, null group keys, several
+partition counts, and after a write."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitchside.operators.matchweek import derived_matchweeks
-from pitchside.operators.ranking import running_number
-from pitchside.operators.streaks import streaks
-from pitchside.plans.options import StandingsOptions
+from pitchside.operators.ranking import dense_index, kickoff_slice, running_number, running_sums, week_slice
 
 
-def test_running_number_mixed(spark):
-    # group 0 holds a third of all rows, the rest are many small groups
-    df = spark.range(0, 9000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("g"),
-        (F.col("id") * 7919 % 9001).alias("k"), "id")
-    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc(), "id")))
-    got = running_number(df, ["g"], [F.col("k").desc(), F.col("id")], "rn", threshold=500)
-    assert sorted(map(tuple, got.select("id", "rn").collect())) == \
-        sorted(map(tuple, plain.select("id", "rn").collect()))
+@pytest.fixture(params=[4, 8])
+def partitions(request, spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_queries_agree_when_every_group_is_hot(spark, handmade):
-    teams, matches = handmade
-    base_mw = sorted(map(tuple, derived_matchweeks(matches).collect()))
-    base_st = sorted(map(tuple, streaks(matches, teams, StandingsOptions()).collect()))
-    spark.conf.set("pitchside.skew.hotGroupRows", "1")
-    try:
-        assert sorted(map(tuple, derived_matchweeks(matches).collect())) == base_mw
-        assert sorted(map(tuple, streaks(matches, teams, StandingsOptions()).collect())) == base_st
-    finally:
-        spark.conf.unset("pitchside.skew.hotGroupRows")
+def rows(spark, n):
+    group = F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 997 + 1)
+    return spark.range(0, n).select(
+        group.cast("int").alias("g"), "id", F.concat(F.lit("payload "), F.col("id").cast("string")).alias("payload"),
+        (F.lit("2001-08-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("id") * 7919 % 400).cast("int"))).alias("at"),
+        (F.col("id") * 31 % 60).cast("int").alias("week"), (F.col("id") % 7 - 3).alias("v"))
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_running_number(spark, partitions, tmp_path, falling):
+    df = rows(spark, 300_000)
+    order = [F.col("at").desc(), F.col("id").desc()] if falling else [F.col("at"), F.col("id")]
+    running_number(df, ["g"], order, "rn", kickoff_slice(F.col("at")), falling).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+    assert got.count() == 300_000 and got.select("id").distinct().count() == 300_000
+    assert got.select(want.columns).exceptAll(want).count() == 0
 
 
-def test_running_sums_mixed(spark):
-    from pitchside.operators.ranking import running_sums
+def test_running_sums(spark, partitions, tmp_path):
+    df = rows(spark, 300_000)
+    sums = {"s": F.col("v"), "t": F.col("v") * 2}
+    running_sums(df, ["g"], [F.col("week"), F.col("id")], sums, week_slice(F.col("week"))).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    w = Window.partitionBy("g").orderBy("week", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(w).alias("s"), F.sum(F.col("v") * 2).over(w).alias("t"))
+    assert got.count() == 300_000
+    assert got.select(want.columns).exceptAll(want).count() == 0
 
-    df = spark.range(0, 6000).select(
-        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 37 + 1).alias("g"),
-        "id", (F.col("id") % 7 - 3).alias("v"))
-    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    plain = df.select("id", F.sum("v").over(w).alias("s"), F.sum(F.col("v") * 2).over(w).alias("t"))
-    got = running_sums(df, ["g"], [F.col("id")], {"s": F.col("v"), "t": F.col("v") * 2}, threshold=1000)
-    assert sorted(map(tuple, got.select("id", "s", "t").collect())) == sorted(map(tuple, plain.collect()))
 
+@pytest.mark.parametrize("n", [0, 1, 300, 1500, 300_000])
+def test_dense_index(spark, partitions, tmp_path, n):
+    df = spark.range(0, n).select((F.col("id") % 2).alias("first"), F.concat(F.lit("m-"), F.col("id").cast("string")).alias("key"),
+                                  (F.col("id") * 3).alias("payload"))
+    dense_index(df, "key", "first", 500).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = df.withColumn("idx", 500 + F.row_number().over(Window.orderBy("first", F.md5(F.col("key").cast("binary")), "key")).cast("long"))
+    assert got.count() == n and got.agg(F.countDistinct("idx")).first()[0] == n
+    assert got.select(want.columns).exceptAll(want).count() == 0
 
-def test_history_agrees_when_every_group_is_hot(spark, handmade):
-    from pitchside.operators.history import position_history
 
-    teams, matches = handmade
-    base = sorted(map(tuple, position_history(matches, teams).collect()))
-    spark.conf.set("pitchside.skew.hotGroupRows", "1")
+def test_no_job_runs_while_a_plan_is_made(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
     try:
-        assert sorted(map(tuple, position_history(matches, teams).collect())) == base
+        df = rows(spark, 1000)
+        running_number(df, ["g"], [F.col("at"), F.col("id")], "rn", kickoff_slice(F.col("at")))
+        running_sums(df, ["g"], [F.col("week"), F.col("id")], {"s": F.col("v")}, week_slice(F.col("week")))
+        dense_index(df, "id", "week")
+        assert list(tracker.getJobIdsForGroup("planning")) == []
     finally:
-        spark.conf.unset("pitchside.skew.hotGroupRows")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
