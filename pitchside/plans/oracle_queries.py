@@ -47,6 +47,13 @@ SELECT {ST_COLS},
             ORDER BY goals_against ASC, points DESC, goal_difference DESC, goals_for DESC, name ASC) AS INTEGER)
        AS display_rank
 FROM st""")
+ORACLES["standings_sorted_unknown"] = with_base(_st() + f"""
+SELECT {ST_COLS},
+       CAST(row_number() OVER (PARTITION BY competition, season ORDER BY position DESC) AS INTEGER) AS display_rank
+FROM st""")
+ORACLES["standings_filtered"] = with_base(
+    ",\ncm_f AS (SELECT * FROM cm WHERE competition = 'lg.0' AND season = 1996 AND team_id BETWEEN 1 AND 6"
+    " AND opponent_id BETWEEN 1 AND 6)" + _st(cm="cm_f") + f"\nSELECT {ST_COLS} FROM st")
 ORACLES["standings_views"] = with_base(
     _st()
     + _st(last_n=6, name="st_form")
@@ -85,42 +92,43 @@ FROM ph p JOIN grp g ON g.competition = p.competition AND g.season = p.season AN
 
 # ---- streaks, head-to-head, history ---------------------------------------
 
+# Streaks from one ordered list per club: the place of the first result that
+# breaks the run, or the whole list.
+def _run(column: str, test: str) -> str:
+    return (f"CAST(coalesce(nullif(list_position(list_transform({column}, lambda x: {test}), true), 0), len({column}) + 1) - 1 "
+            "AS INTEGER)")
+
+
 _STREAKS = """,
-r AS (SELECT *, row_number() OVER (PARTITION BY competition, season, team_id
-                                   ORDER BY kicks_off_at DESC, id DESC) AS recency FROM {cm})
-SELECT r.competition, r.season, t.id AS team_id, t.name, t.short_name,
-       CAST(count(*) AS INTEGER) AS played,
-       CAST(coalesce(min(recency) FILTER (WHERE outcome <> 'W'), count(*) + 1) - 1 AS INTEGER) AS win_streak,
-       CAST(coalesce(min(recency) FILTER (WHERE outcome = 'L'), count(*) + 1) - 1 AS INTEGER) AS unbeaten_streak,
-       CAST(coalesce(min(recency) FILTER (WHERE outcome = 'W'), count(*) + 1) - 1 AS INTEGER) AS winless_streak,
-       CAST(coalesce(min(recency) FILTER (WHERE goals_against <> 0), count(*) + 1) - 1 AS INTEGER)
-         AS clean_sheet_streak
-FROM r JOIN teams t ON t.id = r.team_id
-GROUP BY r.competition, r.season, t.id, t.name, t.short_name"""
+lists AS (
+  SELECT competition, season, team_id, list(outcome ORDER BY kicks_off_at DESC, id DESC) AS res,
+         list(goals_against ORDER BY kicks_off_at DESC, id DESC) AS conceded
+  FROM {cm} GROUP BY competition, season, team_id)
+SELECT r.competition, r.season, t.id AS team_id, t.name, t.short_name, CAST(len(res) AS INTEGER) AS played,
+       """ + _run("res", "x <> 'W'") + """ AS win_streak,
+       """ + _run("res", "x = 'L'") + """ AS unbeaten_streak,
+       """ + _run("res", "x = 'W'") + """ AS winless_streak,
+       """ + _run("conceded", "x > 0") + """ AS clean_sheet_streak
+FROM lists r JOIN teams t ON t.id = r.team_id"""
 ORACLES["streaks"] = with_base(_STREAKS.format(cm="cm"))
 ORACLES["streaks_home"] = with_base(
     ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _STREAKS.format(cm="cm_h"))
 
-# Independent of the fan-out: every ordered pair straight from the matches.
+# Independent of the fan-out: one sum per fixture direction, then both
+# directions of a pair added up.
 ORACLES["head_to_head"] = with_base("""
-, pm AS (SELECT * FROM matches WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL),
-pairs AS (SELECT DISTINCT competition, home_team_id AS a, away_team_id AS b FROM pm
-          UNION SELECT DISTINCT competition, away_team_id, home_team_id FROM pm)
-SELECT p.competition, p.a AS team_a_id, p.b AS team_b_id,
-       CAST(count(*) AS INTEGER) AS played,
-       CAST(count(*) FILTER (WHERE a_goals > b_goals) AS INTEGER) AS team_a_wins,
-       CAST(count(*) FILTER (WHERE a_goals = b_goals) AS INTEGER) AS draws,
-       CAST(count(*) FILTER (WHERE a_goals < b_goals) AS INTEGER) AS team_b_wins,
-       CAST(coalesce(sum(a_goals), 0) AS INTEGER) AS team_a_goals,
-       CAST(coalesce(sum(b_goals), 0) AS INTEGER) AS team_b_goals
-FROM pairs p JOIN (
-  SELECT m.*, p2.a, p2.b,
-         CASE WHEN m.home_team_id = p2.a THEN m.home_goals ELSE m.away_goals END AS a_goals,
-         CASE WHEN m.home_team_id = p2.a THEN m.away_goals ELSE m.home_goals END AS b_goals
-  FROM pm m JOIN pairs p2 ON p2.competition = m.competition
-   AND ((m.home_team_id = p2.a AND m.away_team_id = p2.b) OR (m.home_team_id = p2.b AND m.away_team_id = p2.a))
-) x ON x.competition = p.competition AND x.a = p.a AND x.b = p.b
-GROUP BY p.competition, p.a, p.b""")
+, way AS (
+  SELECT competition, home_team_id AS h, away_team_id AS a, count(*) AS n,
+         sum(CASE WHEN home_goals > away_goals THEN 1 ELSE 0 END) AS hw, sum(CASE WHEN home_goals < away_goals THEN 1 ELSE 0 END) AS aw,
+         sum(home_goals) AS hg, sum(away_goals) AS ag
+  FROM matches WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL
+  GROUP BY competition, home_team_id, away_team_id),
+sides AS (SELECT competition, h AS x, a AS y, n, hw AS w, aw AS l, hg AS f, ag AS c FROM way
+          UNION ALL SELECT competition, a, h, n, aw, hw, ag, hg FROM way)
+SELECT competition, x AS team_a_id, y AS team_b_id, CAST(sum(n) AS INTEGER) AS played, CAST(sum(w) AS INTEGER) AS team_a_wins,
+       CAST(sum(n) - sum(w) - sum(l) AS INTEGER) AS draws, CAST(sum(l) AS INTEGER) AS team_b_wins,
+       CAST(sum(f) AS INTEGER) AS team_a_goals, CAST(sum(c) AS INTEGER) AS team_b_goals
+FROM sides GROUP BY competition, x, y""")
 ORACLES["meetings"] = with_base("""
 , pm AS (SELECT *, least(home_team_id, away_team_id) AS team_a_id, greatest(home_team_id, away_team_id) AS team_b_id
          FROM matches WHERE status = 'finished' AND home_goals IS NOT NULL AND away_goals IS NOT NULL),
@@ -176,21 +184,20 @@ ORACLES["club_profile"] = with_base(
     + ",\ncm_h AS (SELECT * FROM cm WHERE venue = 'home')" + _st(cm="cm_h", name="sh")
     + ",\ncm_a AS (SELECT * FROM cm WHERE venue = 'away')" + _st(cm="cm_a", name="sa")
     + _NEXT + """,
-rr AS (SELECT *, row_number() OVER (PARTITION BY competition, season, team_id
-                                    ORDER BY kicks_off_at DESC, id DESC) AS recency FROM cm),
+lists AS (
+  SELECT competition, season, team_id, list(outcome ORDER BY kicks_off_at DESC, id DESC) AS res,
+         list(goals_against ORDER BY kicks_off_at DESC, id DESC) AS conceded
+  FROM cm GROUP BY competition, season, team_id),
 sk AS (
-  SELECT competition, season, team_id,
-         CAST(coalesce(min(recency) FILTER (WHERE outcome <> 'W'), count(*) + 1) - 1 AS INTEGER) AS win_streak,
-         CAST(coalesce(min(recency) FILTER (WHERE outcome = 'L'), count(*) + 1) - 1 AS INTEGER) AS unbeaten_streak,
-         CAST(coalesce(min(recency) FILTER (WHERE outcome = 'W'), count(*) + 1) - 1 AS INTEGER) AS winless_streak,
-         CAST(coalesce(min(recency) FILTER (WHERE goals_against <> 0), count(*) + 1) - 1 AS INTEGER)
-           AS clean_sheet_streak
-  FROM rr GROUP BY competition, season, team_id),
+  SELECT competition, season, team_id, """ + _run("res", "x <> 'W'") + """ AS win_streak,
+         """ + _run("res", "x = 'L'") + """ AS unbeaten_streak, """ + _run("res", "x = 'W'") + """ AS winless_streak,
+         """ + _run("conceded", "x > 0") + """ AS clean_sheet_streak
+  FROM lists),
 hh AS (
   SELECT competition, team_id AS a, opponent_id AS b, CAST(count(*) AS INTEGER) AS played,
-         CAST(count(*) FILTER (WHERE goals_for > goals_against) AS INTEGER) AS w,
-         CAST(count(*) FILTER (WHERE goals_for = goals_against) AS INTEGER) AS d,
-         CAST(count(*) FILTER (WHERE goals_for < goals_against) AS INTEGER) AS l
+         CAST(sum(CASE outcome WHEN 'W' THEN 1 ELSE 0 END) AS INTEGER) AS w,
+         CAST(sum(CASE outcome WHEN 'D' THEN 1 ELSE 0 END) AS INTEGER) AS d,
+         CAST(sum(CASE outcome WHEN 'L' THEN 1 ELSE 0 END) AS INTEGER) AS l
   FROM cm GROUP BY competition, team_id, opponent_id)
 SELECT s.competition, s.season, s.team_id, s.name, s.slug, s.position, s.played, s.points, s.form,
        CAST(count(*) OVER (PARTITION BY s.competition, s.season) AS INTEGER) AS clubs,
@@ -331,19 +338,20 @@ _DCM = """
   UNION ALL
   SELECT d.competition, d.season, d.matchweek, m.id, m.kicks_off_at, m.away_team_id
   FROM dmw d JOIN matches m ON m.id = d.id)"""
+# Each club match against the one before it, by a self-join on its number.
 ORACLES["matchweek_monotonic"] = with_base(_DCM + """
-, s AS (SELECT competition, season, matchweek,
-               lag(matchweek) OVER (PARTITION BY competition, season, team_id ORDER BY kicks_off_at, id) AS prev
-        FROM dcm)
-SELECT competition, season, CAST(count(*) FILTER (WHERE prev IS NOT NULL AND matchweek < prev) AS INTEGER)
-       AS violations
-FROM s GROUP BY competition, season""")
+, s AS (SELECT *, row_number() OVER (PARTITION BY competition, season, team_id ORDER BY kicks_off_at, id) AS k FROM dcm)
+SELECT x.competition, x.season, CAST(sum(CASE WHEN x.matchweek < y.matchweek THEN 1 ELSE 0 END) AS INTEGER) AS violations
+FROM s x LEFT JOIN s y ON y.competition = x.competition AND y.season = x.season AND y.team_id = x.team_id AND y.k = x.k - 1
+GROUP BY x.competition, x.season""")
+# Games of the club up to each row, counted by a join to the rows not after it.
 ORACLES["matchweek_overplayed"] = with_base(_DCM + """
-, c AS (SELECT competition, season, matchweek,
-               count(*) OVER (PARTITION BY competition, season, team_id ORDER BY matchweek
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS games
-        FROM dcm)
-SELECT competition, season, CAST(count(*) FILTER (WHERE games > matchweek) AS INTEGER) AS violations
+, c AS (
+  SELECT x.competition, x.season, x.team_id, x.id, x.matchweek, count(*) AS upto
+  FROM dcm x JOIN dcm y ON y.competition = x.competition AND y.season = x.season AND y.team_id = x.team_id
+   AND (y.matchweek < x.matchweek OR (y.matchweek = x.matchweek AND y.id <= x.id))
+  GROUP BY ALL)
+SELECT competition, season, CAST(sum(CASE WHEN upto > matchweek THEN 1 ELSE 0 END) AS INTEGER) AS violations
 FROM c GROUP BY competition, season""")
 ORACLES["games_per_club"] = with_base(_DCM + """
 , g AS (SELECT competition, season, team_id, count(*) AS games FROM dcm GROUP BY ALL)
@@ -383,15 +391,27 @@ SELECT competition, season, rank, team_id, short_name, unbeaten_streak, win_stre
 
 # ---- feed, normalisation, upsert ------------------------------------------------
 
-ORACLES["normalize_events"] = with_base("""
-SELECT m.external_id, m.competition, m.season, m.kicks_off_at, m.status,
-       h.external_id AS home_external_id, h.name AS home_name, h.short_name AS home_short_name,
-       h.primary_color AS home_primary_color, a.external_id AS away_external_id,
-       a.secondary_color AS away_secondary_color, m.home_goals, m.away_goals,
-       CASE WHEN m.status = 'live' THEN m.minute END AS minute,
-       CASE WHEN m.status = 'live' THEN m.stoppage_minute END AS stoppage_minute
-FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id
-WHERE m.id % 211 <> 0 AND m.id % 223 <> 0""")
+# What the damaged feed says, after the fallbacks.
+_FEED = """,
+said AS (
+  SELECT m.id, m.external_id, m.competition, m.kicks_off_at, m.minute AS shown_minute, m.stoppage_minute AS shown_stoppage,
+         m.id % 211 = 0 OR m.id % 223 = 0 AS unparseable, m.id % 223 = 0 AS no_date,
+         CASE WHEN m.id % 13 <> 5 THEN m.status WHEN m.status IN ('scheduled', 'live') THEN m.status ELSE 'finished' END AS status,
+         CASE WHEN m.id % 193 = 0 THEN 1066 ELSE m.season END AS season,
+         CASE WHEN m.id % 199 = 0 THEN concat('ghost-', m.id) ELSE h.external_id END AS home_ext,
+         CASE WHEN m.id % 199 = 0 THEN '' ELSE h.name END AS home_name,
+         CASE WHEN m.id % 17 <> 4 THEN h.short_name WHEN m.id % 199 = 0 THEN '' ELSE h.name END AS home_short,
+         h.primary_color AS home_primary, a.external_id AS away_ext, CASE WHEN m.id % 197 = 0 THEN '' ELSE a.name END AS away_name,
+         a.secondary_color AS away_secondary,
+         CASE WHEN m.id % 191 = 0 THEN -1 ELSE m.home_goals END AS home_goals, m.away_goals
+  FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id)"""
+ORACLES["normalize_events"] = with_base(_FEED + """
+SELECT external_id, competition, season, kicks_off_at, status, home_ext AS home_external_id, home_name,
+       home_short AS home_short_name, home_primary AS home_primary_color, away_ext AS away_external_id,
+       away_secondary AS away_secondary_color, home_goals, away_goals,
+       CASE WHEN status = 'live' THEN shown_minute END AS minute,
+       CASE WHEN status = 'live' THEN shown_stoppage END AS stoppage_minute
+FROM said WHERE NOT unparseable""")
 ORACLES["quarantine"] = with_base(
     "SELECT external_id, 'unparseable event' AS reason FROM raw WHERE id % 211 = 0 OR id % 223 = 0")
 
@@ -439,13 +459,65 @@ changes AS (SELECT u.id, u.competition, u.season, u.matchweek AS old_matchweek,
 ORACLES["upsert_teams"] = with_base(UPSERT_CTES + "\nSELECT * FROM up_teams")
 ORACLES["upsert_matches"] = with_base(UPSERT_CTES + "\nSELECT * FROM up_matches")
 ORACLES["refresh_matchweeks"] = with_base(UPSERT_CTES + "\nSELECT * FROM changes")
-ORACLES["ingest_report"] = with_base(UPSERT_CTES + """
+# The same stored state, and the damaged feed's events of 1996 (and those whose
+# date does not parse, which the quarantine has to see).
+_WINDOW = _FEED + """,
+w AS (SELECT * FROM said WHERE no_date OR (kicks_off_at >= TIMESTAMP '1996-01-01' AND kicks_off_at < TIMESTAMP '1997-01-01')),
+good AS (SELECT * FROM w WHERE NOT unparseable),
+held AS (SELECT id, external_id FROM teams0 WHERE id % 4 <> 1),
+named AS (SELECT home_ext AS e FROM good WHERE home_name <> '' UNION SELECT away_ext FROM good WHERE away_name <> ''),
+clubs AS (
+  SELECT id, external_id FROM held
+  UNION ALL
+  SELECT CAST((SELECT max(id) FROM held) + row_number() OVER (ORDER BY md5(e), e) AS BIGINT), e
+  FROM named WHERE e NOT IN (SELECT external_id FROM held)),
+met AS (SELECT g.*, h.id AS hid, a.id AS aid FROM good g LEFT JOIN clubs h ON h.external_id = home_ext
+        LEFT JOIN clubs a ON a.external_id = away_ext),
+judged AS (SELECT *, CASE WHEN season = 1066 THEN 'season outside 1870-2100' WHEN home_goals < 0 THEN 'goals outside 0-1000' END AS refused
+           FROM met WHERE hid IS NOT NULL AND aid IS NOT NULL),
+taken AS (SELECT * FROM judged WHERE refused IS NULL),
+fresh AS (SELECT external_id, CAST((SELECT max(id) FROM raw WHERE id % 10 <> 3)
+                                   + row_number() OVER (ORDER BY md5(external_id), external_id) AS BIGINT) AS new_id
+          FROM taken WHERE id % 10 = 3),
+state AS (
+  SELECT coalesce(f.new_id, t.id) AS id, t.external_id, t.competition, t.season, CASE WHEN f.new_id IS NULL THEN m.matchweek END AS old_week,
+         t.kicks_off_at, t.status, t.hid AS home_team_id, t.aid AS away_team_id, t.home_goals, t.away_goals,
+         CASE WHEN t.status = 'live' THEN shown_minute END AS minute, CASE WHEN t.status = 'live' THEN shown_stoppage END AS stoppage_minute,
+         TIMESTAMP '2001-09-01 12:00:00' AS updated_at
+  FROM taken t JOIN matches m ON m.id = t.id LEFT JOIN fresh f ON f.external_id = t.external_id
+  UNION ALL
+  SELECT id, external_id, competition, season, matchweek, kicks_off_at, status, home_team_id, away_team_id, home_goals, away_goals,
+         minute, stoppage_minute, updated_at
+  FROM matches WHERE id % 10 <> 3 AND id NOT IN (SELECT id FROM taken)),
+touched AS (SELECT DISTINCT competition, season FROM taken),
+both_sides AS (SELECT id, competition, season, kicks_off_at, home_team_id AS club FROM state WHERE status <> 'cancelled'
+               UNION ALL SELECT id, competition, season, kicks_off_at, away_team_id FROM state WHERE status <> 'cancelled'),
+week AS (SELECT id, CAST(max(k) AS INTEGER) AS new_week FROM (
+           SELECT id, row_number() OVER (PARTITION BY competition, season, club ORDER BY kicks_off_at, id) AS k
+           FROM both_sides JOIN touched USING (competition, season)) GROUP BY id),
+done AS (SELECT s.*, coalesce(new_week, old_week) AS matchweek FROM state s LEFT JOIN week ON week.id = s.id),
+refusals AS (
+  SELECT external_id, 'unparseable event' AS reason FROM w WHERE unparseable
+  UNION ALL SELECT external_id, concat('team without a name (team=', home_ext, ')') FROM good WHERE home_name = ''
+  UNION ALL SELECT external_id, concat('team without a name (team=', away_ext, ')') FROM good WHERE away_name = ''
+  UNION ALL SELECT external_id, concat('unresolved club (home=', home_ext, ' away=', away_ext, ')') FROM met
+            WHERE hid IS NULL OR aid IS NULL
+  UNION ALL SELECT external_id, refused FROM judged WHERE refused IS NOT NULL)"""
+ORACLES["ingest_window"] = with_base(_WINDOW + """
+SELECT id, external_id, competition, season, matchweek, kicks_off_at, status, home_team_id, away_team_id, home_goals, away_goals,
+       minute, stoppage_minute, updated_at
+FROM done""")
+ORACLES["ingest_quarantine"] = with_base(_WINDOW + "\nSELECT * FROM refusals")
+ORACLES["ingest_report"] = with_base(UPSERT_CTES + _WINDOW + """
 SELECT 'backfill' AS window,
        CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS BIGINT) AS fetched,
        CAST((SELECT count(*) FROM appear) AS BIGINT) AS teams_upserted,
        CAST((SELECT count(*) FROM raw) + (SELECT count(*) FROM raw WHERE id % 10 <> 0) AS BIGINT) AS matches_upserted,
        CAST((SELECT count(*) FROM changes) AS BIGINT) AS matchweeks_updated,
-       CAST(0 AS BIGINT) AS skipped""")
+       CAST(0 AS BIGINT) AS skipped
+UNION ALL
+SELECT '19960101-19961231', (SELECT count(*) FROM w), (SELECT count(*) FROM named), (SELECT count(*) FROM taken),
+       (SELECT count(*) FROM done WHERE matchweek IS DISTINCT FROM old_week), (SELECT count(*) FROM refusals)""")
 # Stream: delivery 1 then delivery 2, each followed by a matchweek refresh;
 # a match cancelled in delivery 2 keeps the number delivery 1 gave it.
 ORACLES["ingest_stream"] = with_base(UPSERT_CTES + """,

@@ -37,6 +37,8 @@ REGISTRY: dict[str, Query] = {}
 UPTO_WEEK = 19
 HISTORY_WEEK = 19
 SORT = ("goalsAgainst", "asc")
+UNKNOWN_SORT = ("drop table", "desc")
+FILTER = {"competition": "lg.0", "season": 1996, "opponents": [1, 2, 3, 4, 5, 6]}
 NOW_FIXTURES = dt.datetime(1998, 1, 1)
 NOW_HEALTH = dt.datetime(2001, 9, 1)
 
@@ -108,6 +110,16 @@ def standings_sorted(spark, sf_dir):
     return st.display_order(_standings(spark, sf_dir), SORT)
 
 
+@query
+def standings_sorted_unknown(spark, sf_dir):
+    return st.display_order(_standings(spark, sf_dir), UNKNOWN_SORT)
+
+
+@query
+def standings_filtered(spark, sf_dir):
+    return _standings(spark, sf_dir, **FILTER)
+
+
 @query
 def standings_views(spark, sf_dir):
     lg = league(spark, sf_dir)
@@ -347,7 +359,17 @@ def refresh_matchweeks(spark, sf_dir):
 
 @query
 def ingest_report(spark, sf_dir):
-    return _ingest(spark, sf_dir).report
+    return _ingest(spark, sf_dir).report.unionByName(dl.window_ingest(spark, sf_dir).report)
+
+
+@query
+def ingest_window(spark, sf_dir):
+    return dl.window_ingest(spark, sf_dir).matches
+
+
+@query
+def ingest_quarantine(spark, sf_dir):
+    return dl.window_ingest(spark, sf_dir).quarantine.select("external_id", "reason")
 
 
 @query
