@@ -36,9 +36,8 @@ def clean_hex(raw: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{6}$"), h)
 
 
-def parse_hex(raw: Column) -> Column:
-    """hex -> struct(r, g, b) as doubles, null if not six hex digits."""
-    h = clean_hex(raw)
+def rgb_of(h: Column) -> Column:
+    """six clean hex digits -> struct(r, g, b) as doubles; null stays null."""
     part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("double")
     return F.when(h.isNotNull(), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
 
@@ -63,11 +62,6 @@ def contrast_lum(la: Column, lb: Column) -> Column:
     return (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05)
 
 
-def contrast(a: Column, b: Column) -> Column:
-    """contrast ratio, 1 to 21."""
-    return contrast_lum(luminance(a), luminance(b))
-
-
 def is_achromatic(rgb: Column) -> Column:
     """HSL saturation below 0.15."""
     mx = F.greatest(rgb["r"], rgb["g"], rgb["b"]) / 255.0
@@ -79,52 +73,10 @@ def is_achromatic(rgb: Column) -> Column:
     return sat < ACHROMATIC_SATURATION
 
 
-def adjust_to_contrast(rgb: Column, ground: Column, ground_is_light: bool) -> Column:
-    """at most 40 steps until 3:1 — darken x0.95 on a light ground,
-    lighten 8 % of the way to white on a dark one."""
-    lg = luminance(ground)
-
-    def step(acc, _i):
-        if ground_is_light:
-            moved = F.struct(*(F.lit(DARKEN_FACTOR) * acc[c] for c in "rgb"))
-        else:
-            moved = F.struct(*(acc[c] + (F.lit(255.0) - acc[c]) * LIGHTEN_SHARE for c in "rgb"))
-        moved = moved.cast("struct<r:double,g:double,b:double>")
-        return F.when(contrast_lum(luminance(acc), lg) < MIN_CONTRAST, moved).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_STEPS)), rgb, step)
-
-
-def resolve_club_color(primary: Column, secondary: Column, ground_hex: str = GROUND_LIGHT) -> Column:
-    """F6 -> struct(hex, source, contrast) as one expression (for a few rows;
-    ``resolve_colours`` stages the same rules for a whole table)."""
-    ground = parse_hex(F.lit(ground_hex))
-    ground_is_light = _py_lum(ground_hex) > 0.5
-    p, s = parse_hex(primary), parse_hex(secondary)
-    p_ok = p.isNotNull() & (contrast(p, ground) >= MIN_CONTRAST)
-    p_achromatic = F.when(p.isNull(), F.lit(True)).otherwise(is_achromatic(p))
-    s_ok = p_achromatic & s.isNotNull() & (contrast(s, ground) >= MIN_CONTRAST)
-    use_secondary = p_achromatic & s.isNotNull()
-    base = F.when(use_secondary, s).otherwise(p)
-    adjusted = adjust_to_contrast(base, ground, ground_is_light)
-    fallback = FALLBACK_ON_LIGHT if ground_is_light else FALLBACK_ON_DARK
-    return (F.when(p_ok, _pick(to_hex(p), F.lit("primary"), contrast(p, ground)))
-            .when(s_ok, _pick(to_hex(s), F.lit("secondary"), contrast(s, ground)))
-            .when(base.isNull(), _pick(F.lit(fallback), F.lit("fallback"),
-                                       contrast(parse_hex(F.lit(fallback)), ground)))
-            .otherwise(_pick(to_hex(adjusted), F.when(use_secondary, F.lit("adjusted-secondary"))
-                             .otherwise(F.lit("adjusted-primary")), contrast(adjusted, ground))))
-
-
 def _pick(hex_: Column, source: Column, ratio: Column) -> Column:
     return F.struct(hex_.alias("hex"), source.alias("source"), ratio.alias("contrast"))
 
 
-def _rgb_of(h: Column) -> Column:
-    part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("double")
-    return F.when(h.isNotNull(), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
-
-
 def _step_towards(ground_lum: float) -> "callable":
     light = ground_lum > 0.5
     lg = F.lit(ground_lum)
@@ -154,7 +106,7 @@ def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str
     fallback_ratio = (max(fl, gl) + 0.05) / (min(fl, gl) + 0.05)
     keep = df.columns
     t = df.select("*", clean_hex(F.col(primary)).alias("_ph"), clean_hex(F.col(secondary)).alias("_sh"))
-    t = t.select(*keep, _rgb_of(F.col("_ph")).alias("_p"), _rgb_of(F.col("_sh")).alias("_s"))
+    t = t.select(*keep, rgb_of(F.col("_ph")).alias("_p"), rgb_of(F.col("_sh")).alias("_s"))
     p, s = F.col("_p"), F.col("_s")
     p_achro = F.when(p.isNull(), F.lit(True)).otherwise(is_achromatic(p))
     t = t.select(*keep, "_p", "_s",
@@ -162,7 +114,10 @@ def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str
                  contrast_lum(luminance(s), lg).alias("_s_con"),
                  (p_achro & s.isNotNull()).alias("_use_s"))
     base = F.when(F.col("_use_s"), s).otherwise(p)
-    t = t.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_STEPS)), base, _step_towards(gl)).alias("_adj"))
+    fits = (F.col("_p_con") >= MIN_CONTRAST) | (F.col("_use_s") & (F.col("_s_con") >= MIN_CONTRAST))
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_STEPS)), base, _step_towards(gl))
+    # the steps are taken only for a colour that does not fit the ground yet
+    t = t.select("*", F.when(F.coalesce(fits, F.lit(False)), base).otherwise(moved).alias("_adj"))
     adj = F.col("_adj")
     rule = (F.when(p.isNotNull() & (F.col("_p_con") >= MIN_CONTRAST),
                    _pick(to_hex(p), F.lit("primary"), F.col("_p_con")))
@@ -176,8 +131,10 @@ def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str
     return t.select(*keep, rule.alias(out))
 
 
-def club_color_pair(primary: Column, secondary: Column) -> Column:
-    """'#'-prefixed colours for the light and the dark ground."""
-    return F.struct(
-        F.concat(F.lit("#"), resolve_club_color(primary, secondary, GROUND_LIGHT)["hex"]).alias("light"),
-        F.concat(F.lit("#"), resolve_club_color(primary, secondary, GROUND_DARK)["hex"]).alias("dark"))
+def club_colour_pair(df: DataFrame, primary: str = "primary_color", secondary: str = "secondary_color") -> DataFrame:
+    """struct columns ``light`` and ``dark`` and the '#'-prefixed colours
+    ``css_light`` and ``css_dark`` for the two grounds."""
+    for label, ground in (("light", GROUND_LIGHT), ("dark", GROUND_DARK)):
+        df = resolve_colours(df, primary, secondary, ground, label)
+        df = df.withColumn(f"css_{label}", F.concat(F.lit("#"), F.col(f"{label}.hex")))
+    return df

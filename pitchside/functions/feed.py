@@ -29,6 +29,7 @@ STATUS_MAP = {
     "STATUS_CANCELLED": "cancelled",
     "STATUS_FORFEIT": "cancelled",
 }
+# Fixed value that must equal the reference's.
 CLOCK_PATTERN = r"(\d+)\s*'?\s*(?:\+\s*(\d+))?"
 HEX_PATTERN = "^[0-9a-f]{6}$"
 

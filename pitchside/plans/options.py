@@ -7,7 +7,6 @@ expression from user text.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, replace
 from typing import Any, Mapping, Sequence
@@ -72,44 +71,30 @@ class ViewParams:
     direction: str = "asc"
 
 
-def _one(raw: Mapping[str, Any], key: str):
-    v = raw.get(key)
-    if isinstance(v, (list, tuple)):
-        return v[0] if v else None
-    return v
-
-
-def _number(text) -> float:
-    """Numeric reading of a request value: decimal text only, else NaN."""
-    if text is None:
-        return math.nan
-    t = str(text).strip()
-    if t == "":
-        return 0.0
-    try:
-        return float(t) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t) else math.nan
-    except ValueError:
-        return math.nan
+#: Rules of a request, shared with the column job (``plans/views.py``): fields
+#: with allowed values and what stands for any other.
+CHOICES: dict[str, tuple[Sequence[str], str]] = {
+    "venue": (VENUES, "all"),
+    "opponents": (OPPONENT_SETS, "all"),
+    "sort": (tuple(SORT_COLUMNS), "position"),
+    "dir": (("asc", "desc"), "asc"),
+}
+#: How a season is written: decimal text; a blank counts as zero.
+NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
 def parse_view_params(raw: Mapping[str, Any], default_season: int = DEFAULT_SEASON) -> ViewParams:
-    """Untrusted request -> valid view; anything unrecognised falls back."""
-    season = _number(_one(raw, "season"))
-    venue = _one(raw, "venue")
-    last = _one(raw, "last")
-    opponents = _one(raw, "opponents")
-    sort = _one(raw, "sort")
-    direction = _one(raw, "dir")
-    last_n = min(MAX_LAST_N, int(last)) if last and re.fullmatch(r"\d+", last) else None
-    return ViewParams(
-        season=int(season) if season == season and season.is_integer()
-        and SEASON_MIN <= season <= SEASON_MAX else default_season,
-        venue=venue if venue in VENUES else "all",
-        last_n=last_n if last_n else None,
-        opponents=opponents if opponents in OPPONENT_SETS else "all",
-        sort=sort if sort in SORT_COLUMNS else "position",
-        direction="desc" if direction == "desc" else "asc",
-    )
+    """Untrusted request -> valid view; of a repeated field the first value
+    counts, and what no rule allows falls back."""
+    given = {k: (v[0] if v else None) if isinstance(v, (list, tuple)) else v for k, v in raw.items()}
+    chosen = {k: given.get(k) if given.get(k) in allowed else fallback for k, (allowed, fallback) in CHOICES.items()}
+    digits = str(given.get("season") if given.get("season") is not None else "x").strip()
+    number = float(digits or 0) if digits == "" or re.fullmatch(NUMBER, digits) else None
+    whole = number is not None and number.is_integer() and SEASON_MIN <= number <= SEASON_MAX
+    last = given.get("last") or ""
+    count = min(MAX_LAST_N, int(last)) if re.fullmatch(r"\d+", last) else 0
+    return ViewParams(int(number) if whole else default_season, chosen["venue"], count or None, chosen["opponents"],
+                      chosen["sort"], chosen["dir"])
 
 
 # The one-click presets (B17), as option changes.
@@ -121,5 +106,5 @@ PRESET_VIEWS: Sequence[tuple[str, dict]] = (
     ("top6", {"venue": "all", "last_n": None, "opponents": "top6"}),
 )
 
-__all__ = ["StandingsOptions", "ViewParams", "parse_view_params", "resolve_sort",
+__all__ = ["CHOICES", "NUMBER", "StandingsOptions", "ViewParams", "parse_view_params", "resolve_sort",
            "SORT_COLUMNS", "VENUES", "OPPONENT_SETS", "PRESET_VIEWS"]

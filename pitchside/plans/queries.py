@@ -225,17 +225,14 @@ def slugs(spark, sf_dir):
 
 @query
 def club_colours(spark, sf_dir):
-    out = league(spark, sf_dir).teams.select("id", "name", "primary_color", "secondary_color")
-    for label, ground in (("light", co.GROUND_LIGHT), ("dark", co.GROUND_DARK)):
-        out = co.resolve_colours(out, "primary_color", "secondary_color", ground, label)
+    out = co.club_colour_pair(league(spark, sf_dir).teams.select("id", "name", "primary_color", "secondary_color"))
     return out.select(
         "id", "name",
         F.col("light.hex").alias("light_hex"), F.col("light.source").alias("light_source"),
         F.round("light.contrast", 6).alias("light_contrast"),
         F.col("dark.hex").alias("dark_hex"), F.col("dark.source").alias("dark_source"),
         F.round("dark.contrast", 6).alias("dark_contrast"),
-        F.concat(F.lit("#"), F.col("light.hex")).alias("css_light"),
-        F.concat(F.lit("#"), F.col("dark.hex")).alias("css_dark"))
+        "css_light", "css_dark")
 
 
 @query

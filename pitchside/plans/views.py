@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.operators.club import latest_season
-from pitchside.plans.options import OPPONENT_SETS, SORT_COLUMNS, VENUES
+from pitchside.plans.options import CHOICES, NUMBER, SORT_COLUMNS
 from pitchside.schema import DEFAULT_SEASON, MAX_LAST_N, SEASON_MAX, SEASON_MIN
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+def _choice(field: str) -> Column:
+    allowed, fallback = CHOICES[field]
+    return F.when(F.col(f"{field}_raw").isin(*allowed), F.col(f"{field}_raw")).otherwise(F.lit(fallback))
 
 
 def _numeric(raw: Column) -> Column:
     t = F.trim(raw)
     return (F.when(t == "", F.lit(0.0))
-            .when(t.rlike(NUMBER), t.try_cast("double")))
+            .when(t.rlike(f"^{NUMBER}$"), t.try_cast("double")))
 
 
 def validate_requests(raw: DataFrame, matches: DataFrame) -> DataFrame:
@@ -36,12 +39,8 @@ def validate_requests(raw: DataFrame, matches: DataFrame) -> DataFrame:
     return (raw.join(default, "competition", "left").select(
         "id", "competition",
         F.when(season_ok, n.cast("int")).otherwise(F.coalesce("_default", F.lit(DEFAULT_SEASON))).alias("season"),
-        F.when(F.col("venue_raw").isin(*VENUES), F.col("venue_raw")).otherwise(F.lit("all")).alias("venue"),
-        F.when(last_n > 0, last_n).alias("last_n"),
-        F.when(F.col("opponents_raw").isin(*OPPONENT_SETS), F.col("opponents_raw"))
-        .otherwise(F.lit("all")).alias("opponents"),
-        F.when(F.col("sort_raw").isin(*SORT_COLUMNS), F.col("sort_raw")).otherwise(F.lit("position")).alias("sort"),
-        F.when(F.col("dir_raw") == "desc", F.lit("desc")).otherwise(F.lit("asc")).alias("direction")))
+        _choice("venue").alias("venue"), F.when(last_n > 0, last_n).alias("last_n"),
+        _choice("opponents").alias("opponents"), _choice("sort").alias("sort"), _choice("dir").alias("direction")))
 
 
 def _pick(key: Column, values: list) -> Column:

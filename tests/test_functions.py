@@ -43,9 +43,8 @@ def test_colour_rules(spark):
     for p, s in [("99c5ea", "000000"), ("fdb913", "32a8dd"), ("ffffff", "ffcd00"), ("660e36", "333333")]:
         for ground in (co.GROUND_LIGHT, co.GROUND_DARK):
             assert _resolve(spark, p, s, ground)[2] >= 3
-    # the single-expression form agrees with the staged one
-    one = spark.range(1).select(co.resolve_club_color(F.lit("fdb913"), F.lit("32a8dd")).alias("c")).first().c
-    assert (one.hex, one.source) == _resolve(spark, "fdb913", "32a8dd")[:2]
+    pair = co.club_colour_pair(spark.createDataFrame([("000000", "ffffff")], "primary_color string, secondary_color string")).first()
+    assert (pair.css_light, pair.css_dark) == ("#000000", "#ffffff")
 
 
 def test_view_params():
