@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions.feed import season_label
-from pitchside.operators.club_matches import CLUB, LEAGUE, fan_out, outcome
+from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, fan_out, outcome
 from pitchside.operators.head_to_head import head_to_head, pair_record
-from pitchside.operators.standings import home_away_split, standings
-from pitchside.operators.streaks import streaks
+from pitchside.operators.standings import (
+    attach_teams, form_agg, points, rank_league, side_aggs, side_positions, total_aggs)
+from pitchside.operators.streaks import streak_aggs
 from pitchside.plans.options import StandingsOptions
 from pitchside.schema import FORM_WINDOW
 
@@ -89,26 +90,34 @@ def club_profile(matches: DataFrame, teams: DataFrame, now: dt.datetime,
     """C4: position of n, points, form-6 record, streaks, home/away split and
     the next opponent's head-to-head, one row per club and league-season.
 
-    Every input is a per-club frame keyed by (competition, season, team_id);
-    the joins are between pre-aggregated rows only.
+    One fan-out with recency, and one aggregate per club with conditional
+    columns for everything that a club's own matches say; positions are ranked
+    over these per-club rows. Only the next fixture and the pair records are
+    frames of their own.
     """
-    table = standings(matches, teams, opts).select(
+    cm = club_matches(matches, opts.with_(upto_match=None, last_n=None, venue="all"), recency=True)
+    o, v, r = F.col("outcome"), F.col("venue"), F.col("recency")
+    last6 = r <= FORM_WINDOW
+    count = lambda c: F.count_if(c).cast("int")
+    per_club = cm.groupBy(*CLUB).agg(
+        *total_aggs(), form_agg().alias("form"), *streak_aggs(), *side_aggs(),
+        count(last6 & (o == "W")).alias("form6_won"), count(last6 & (o == "D")).alias("form6_drawn"),
+        count(last6 & (o == "L")).alias("form6_lost"))
+    per_club = per_club.withColumns({
+        "goal_difference": (F.col("goals_for") - F.col("goals_against")).cast("int"),
+        "points": points(F.col("won"), F.col("drawn")),
+        "form6_points": points(F.col("form6_won"), F.col("form6_drawn"))})
+    ranked = side_positions(rank_league(attach_teams(per_club, teams, ["name", "slug"])))
+    both = (F.col("home_played") > 0) & (F.col("away_played") > 0)
+    table = ranked.select(
         *CLUB, "name", "slug", "position", "played", "points", "form",
-        F.count(F.lit(1)).over(Window.partitionBy(*LEAGUE)).cast("int").alias("clubs"))
-    form6 = standings(matches, teams, opts.with_(last_n=FORM_WINDOW)).select(
-        *CLUB, F.col("won").alias("form6_won"), F.col("drawn").alias("form6_drawn"),
-        F.col("lost").alias("form6_lost"), F.col("points").alias("form6_points"))
-    stk = streaks(matches, teams, opts).select(
-        *CLUB, "win_streak", "unbeaten_streak", "winless_streak", "clean_sheet_streak")
-    split = home_away_split(matches, teams, opts).select(
-        *CLUB, "home_position", "home_points", "away_position", "away_points")
+        F.count(F.lit(1)).over(Window.partitionBy(*LEAGUE)).cast("int").alias("clubs"),
+        "form6_won", "form6_drawn", "form6_lost", "form6_points",
+        "win_streak", "unbeaten_streak", "winless_streak", "clean_sheet_streak",
+        *[F.when(both, F.col(c)).alias(c) for c in ("home_position", "home_points", "away_position", "away_points")])
     nxt = next_fixture(matches, teams, now).select(
         "competition", "team_id", F.col("opponent_id").alias("next_opponent_id"),
         F.col("kicks_off_at").alias("next_kicks_off_at"), F.col("venue").alias("next_venue"))
-    prof = (table.join(form6, CLUB, "left").join(stk, CLUB, "left").join(split, CLUB, "left")
-            .join(nxt, ["competition", "team_id"], "left"))
-    # pairs straight from the next-fixture frame (one per club), not from
-    # the assembled profile, so nothing above is planned twice
     pairs = nxt.select("competition", F.col("team_id").alias("team_a_id"),
                        F.col("next_opponent_id").alias("team_b_id"))
     rec = pair_record(head_to_head(matches), pairs).select(
@@ -116,4 +125,5 @@ def club_profile(matches: DataFrame, teams: DataFrame, now: dt.datetime,
         F.col("team_b_id").alias("next_opponent_id"),
         F.col("played").alias("h2h_played"), F.col("team_a_wins").alias("h2h_wins"),
         F.col("draws").alias("h2h_draws"), F.col("team_b_wins").alias("h2h_losses"))
-    return prof.join(rec, ["competition", "team_id", "next_opponent_id"], "left")
+    ahead = nxt.join(rec, ["competition", "team_id", "next_opponent_id"], "left")
+    return table.join(ahead, ["competition", "team_id"], "left")

@@ -35,7 +35,7 @@ def points(won: Column, drawn: Column) -> Column:
     return (won * POINTS_WIN + drawn * POINTS_DRAW).cast("int")
 
 
-def _total_aggs() -> list[Column]:
+def total_aggs() -> list[Column]:
     o = F.col("outcome")
     return [F.count(F.lit(1)).cast("int").alias("played"),
             F.count_if(o == "W").cast("int").alias("won"),
@@ -50,7 +50,7 @@ def _derived(agg: DataFrame) -> DataFrame:
                       points(F.col("won"), F.col("drawn")).alias("points"))
 
 
-def _form_agg(width: int = FORM_STRIP) -> Column:
+def form_agg(width: int = FORM_STRIP) -> Column:
     """B12 as a plain aggregate over rows carrying ``recency``: the i-th most
     recent outcome is max(outcome where recency = i); concat_ws skips the
     missing ones, so a club with no row in range gets ''."""
@@ -59,12 +59,12 @@ def _form_agg(width: int = FORM_STRIP) -> Column:
 
 def totals(cm: DataFrame, keys=CLUB) -> DataFrame:
     """B10/B11 per club; clubs with no surviving row are simply absent."""
-    return _derived(cm.groupBy(*keys).agg(*_total_aggs()))
+    return _derived(cm.groupBy(*keys).agg(*total_aggs()))
 
 
 def form_strip(recent: DataFrame, keys=CLUB, width: int = FORM_STRIP) -> DataFrame:
     """B12 from rows that carry ``recency``: last ``width`` outcomes, newest first."""
-    return recent.filter(F.col("recency") <= width).groupBy(*keys).agg(_form_agg(width).alias("form"))
+    return recent.filter(F.col("recency") <= width).groupBy(*keys).agg(form_agg(width).alias("form"))
 
 
 def rank_league(df: DataFrame, order=None, keys=LEAGUE, name: str = "position") -> DataFrame:
@@ -85,7 +85,7 @@ def standings(matches: DataFrame, teams: DataFrame,
     cm = club_matches(matches, opts)
     if opts.last_n is not None:
         # cm holds only each club's last N rows, ranked: one aggregate does all
-        agg = _derived(cm.groupBy(*CLUB).agg(*_total_aggs(), _form_agg().alias("form")))
+        agg = _derived(cm.groupBy(*CLUB).agg(*total_aggs(), form_agg().alias("form")))
     else:
         # totals over every row (partial aggregation), form over the top 5
         # per club (WindowGroupLimit), joined on the club key
@@ -127,17 +127,30 @@ def standings_with_preset(matches, teams, opts: StandingsOptions, preset: str,
 
 def standings_views(matches: DataFrame, teams: DataFrame,
                     opts: StandingsOptions = StandingsOptions()) -> DataFrame:
-    """The five presets tagged with ``view`` in one job."""
-    base = standings(matches, teams, opts)
-    out = []
-    for view, changes in PRESET_VIEWS:
-        o = opts.with_(venue=changes["venue"], last_n=changes["last_n"])
-        t = base if view == "full" else standings_with_preset(matches, teams, o, changes["opponents"], base)
-        out.append(t.withColumn("view", F.lit(view)))
-    result = out[0]
-    for t in out[1:]:
-        result = result.unionByName(t)
-    return result
+    """The five presets tagged with ``view`` in one job.
+
+    Full, home and away tables and the last-N one come from one fan-out: a club
+    row counts for ``full`` and for its venue; totals are one aggregate by
+    (view, club), and the newest rows of each (cut to N before the shuffle)
+    give both the form strips and the last-N table. Only the opponents preset
+    needs a second pass, since it depends on the full table.
+    """
+    presets = dict(PRESET_VIEWS)
+    n = presets["form"]["last_n"]
+    keys = ["view", *CLUB]
+    cm = club_matches(matches, opts.with_(venue="all", last_n=None))
+    cm = cm.withColumn("view", F.explode(F.array(F.lit("full"), F.col("venue"))))
+    newest = Window.partitionBy(*keys).orderBy(F.col("kicks_off_at").desc(), F.col("id").desc())
+    recent = cm.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= max(n, FORM_STRIP))
+    lastn = (recent.filter((F.col("view") == "full") & (F.col("recency") <= n)).groupBy(*CLUB)
+             .agg(*total_aggs(), form_agg().alias("form")).withColumn("view", F.lit("form")))
+    strips = form_strip(recent, keys)
+    per_club = totals(cm, keys).join(strips, keys, "left").withColumn("form", F.coalesce("form", F.lit("")))
+    tables = attach_teams(per_club.unionByName(_derived(lastn)), teams)
+    tables = rank_league(tables, keys=["view", *LEAGUE]).select(*STANDINGS_COLUMNS, "view")
+    base = tables.filter(F.col("view") == "full").drop("view")
+    top = standings_with_preset(matches, teams, opts, presets["top6"]["opponents"], base)
+    return tables.unionByName(top.withColumn("view", F.lit("top6")))
 
 
 def points_gaps(table: DataFrame) -> DataFrame:
@@ -149,18 +162,11 @@ def points_gaps(table: DataFrame) -> DataFrame:
     return spine.join(clubs, [*LEAGUE, "points"], "left")
 
 
-def home_away_split(matches: DataFrame, teams: DataFrame,
-                    opts: StandingsOptions = StandingsOptions()) -> DataFrame:
-    """Home and away records side by side, only where both exist.
-
-    One pass: conditional aggregation by venue over the full fan-out, then the
-    home and away positions inside their own tables (clubs with rows there).
-    """
-    cm = club_matches(matches, opts.with_(venue="all", last_n=None))
-    o, v = F.col("outcome"), F.col("venue")
-    aggs = []
+def side_aggs() -> list[Column]:
+    """Home and away records as conditional aggregates."""
+    o, aggs = F.col("outcome"), []
     for side in ("home", "away"):
-        on = v == side
+        on = F.col("venue") == side
         aggs += [
             F.count_if(on).cast("int").alias(f"{side}_played"),
             F.count_if(on & (o == "W")).cast("int").alias(f"{side}_won"),
@@ -169,16 +175,31 @@ def home_away_split(matches: DataFrame, teams: DataFrame,
             F.coalesce(F.sum(F.when(on, F.col("goals_for"))), F.lit(0)).cast("int").alias(f"{side}_goals_for"),
             F.coalesce(F.sum(F.when(on, F.col("goals_against"))), F.lit(0)).cast("int").alias(f"{side}_goals_against"),
         ]
-    per_club = cm.groupBy(*CLUB).agg(*aggs)
+    return aggs
+
+
+def side_positions(per_club: DataFrame) -> DataFrame:
+    """Points and positions inside the home and the away table, over clubs with
+    rows there; needs ``side_aggs`` and ``name``."""
     for side in ("home", "away"):
         per_club = per_club.withColumn(f"{side}_points", points(F.col(f"{side}_won"), F.col(f"{side}_drawn")))
-    per_club = attach_teams(per_club, teams, ["name"])
-    for side in ("home", "away"):
         order = [F.col(f"{side}_points").desc(),
                  (F.col(f"{side}_goals_for") - F.col(f"{side}_goals_against")).desc(),
                  F.col(f"{side}_goals_for").desc(), F.col("name").asc()]
-        w = Window.partitionBy(*LEAGUE, (F.col(f"{side}_played") > 0).alias("_has")).orderBy(*order)
+        w = Window.partitionBy(*LEAGUE).orderBy((F.col(f"{side}_played") > 0).desc(), *order)
         per_club = per_club.withColumn(f"{side}_position", F.row_number().over(w))
+    return per_club
+
+
+def home_away_split(matches: DataFrame, teams: DataFrame,
+                    opts: StandingsOptions = StandingsOptions()) -> DataFrame:
+    """Home and away records side by side, only where both exist.
+
+    One pass: conditional aggregation by venue over the full fan-out, then the
+    home and away positions inside their own tables (clubs with rows there).
+    """
+    cm = club_matches(matches, opts.with_(venue="all", last_n=None))
+    per_club = side_positions(attach_teams(cm.groupBy(*CLUB).agg(*side_aggs()), teams, ["name"]))
     return per_club.filter((F.col("home_played") > 0) & (F.col("away_played") > 0))
 
 

@@ -20,18 +20,18 @@ def _streak(breaks: Column) -> Column:
     return (F.coalesce(F.min(F.when(breaks, F.col("recency"))), n + 1) - 1).cast("int")
 
 
+def streak_aggs() -> list[Column]:
+    """The four streaks, over rows that carry ``recency``."""
+    o = F.col("outcome")
+    return [_streak(o != "W").alias("win_streak"), _streak(o == "L").alias("unbeaten_streak"),
+            _streak(o == "W").alias("winless_streak"), _streak(F.col("goals_against") != 0).alias("clean_sheet_streak")]
+
+
 def streaks(matches: DataFrame, teams: DataFrame,
             opts: StandingsOptions = StandingsOptions()) -> DataFrame:
     """Options used: competition, season, venue, opponents (no upto, no last N)."""
     cm = club_matches(matches, opts.with_(upto_match=None, last_n=None), recency=True)
-    o = F.col("outcome")
-    agg = cm.groupBy(*CLUB).agg(
-        F.count(F.lit(1)).cast("int").alias("played"),
-        _streak(o != "W").alias("win_streak"),
-        _streak(o == "L").alias("unbeaten_streak"),
-        _streak(o == "W").alias("winless_streak"),
-        _streak(F.col("goals_against") != 0).alias("clean_sheet_streak"),
-    )
+    agg = cm.groupBy(*CLUB).agg(F.count(F.lit(1)).cast("int").alias("played"), *streak_aggs())
     return attach_teams(agg, teams, ["name", "short_name"]).select(
         *CLUB, "name", "short_name", "played", "win_streak", "unbeaten_streak",
         "winless_streak", "clean_sheet_streak")
