@@ -14,9 +14,10 @@ Fitting, on the rows with a label that are not held out:
 3. centroids anew from all training rows, each given to the nearest cluster of
    its language, and a histogram of these rows' cosines per language (one pass).
 
-Rejection is by distance: a text is rejected if its cosine is below half the
-0.1 % quantile of the cosines of its language's training rows, so texts of the
-training kind stay; texts without letters are rejected and ``und``.
+Rejection is by distance: a text is rejected if its cosine is below a quarter of
+the 0.1 % quantile of the cosines of its language's training rows, so texts of
+the training kind stay, single words too; texts without letters are rejected
+and ``und``.
 
 The model is ``DIM`` floats a centroid, whatever the corpus; it is bounded by
 the number of distinct labels and broadcast. Text is the only input of a
@@ -44,7 +45,7 @@ from pitchside.llm.common import ship, task_state
 ship(__name__)
 
 DIM, CLUSTERS, SAMPLE, ROUNDS = 4096, 3, 400, 8
-QUANTILE, SLACK, BINS = 0.001, 0.5, 1000
+QUANTILE, SLACK, BINS = 0.001, 0.25, 1000
 UND = "und"
 
 
