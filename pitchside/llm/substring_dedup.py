@@ -51,6 +51,8 @@ WINDOW, GRAM = 20, 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words that are hashed together in a task.
 CHUNK_WORDS = 500_000
+#: Words of the corpus per hash range (about 600,000 entries of 17 bytes).
+RANGE_WORDS = 4_000_000
 MIX = 0xBF58476D1CE4E5B9
 
 
@@ -259,7 +261,10 @@ def changed(docs: DataFrame, base: DataFrame, window: int = WINDOW, gram: int =
     that stay, joined by one space), ``text_left`` (the text less the removed words
     and the white space after them) and ``spans`` (first word and length)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # hash ranges: one per shuffle partition, and more where the corpus asks for
+    # it, so that the entries of a range always fit into a task
+    words = base.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // RANGE_WORDS))
     docs = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "text")
     # 1. whole copies; a hot text is spread over tasks
     full = base.filter(F.col("n_words") >= window).select(*KEY, "n_words", "words_sha256")
