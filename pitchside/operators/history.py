@@ -16,6 +16,7 @@ from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches
 from pitchside.operators.ranking import running_sums, week_slice
 from pitchside.operators.standings import canonical, points
 from pitchside.plans.options import StandingsOptions
+from pitchside.session import materialise
 
 HISTORY_COLUMNS = ["competition", "season", "matchweek", "team_id", "position", "points", "goal_difference"]
 
@@ -28,6 +29,8 @@ def position_history(matches: DataFrame, teams: DataFrame,
         points(F.count_if(o == "W"), F.count_if(o == "D")).alias("wk_points"),
         F.sum("goals_for").alias("wk_gf"),
         F.sum("goals_against").alias("wk_ga"))
+    # pre-aggregated rows that the grid, its ends and the sums all read: written once
+    weekly = materialise(weekly, "weekly")
     # The dense grid: every week from the club's first one to the league's
     # last, met with the weekly totals on (club, week), so that a club with
     # very many weeks is spread over them.
@@ -56,6 +59,8 @@ def table_at_week(history: DataFrame, week: int, clubs: DataFrame | None = None)
 
 def club_line(history: DataFrame) -> DataFrame:
     """Each club's line by week, with its final position (a partial
-    aggregate joined back, not a window over the club's whole line)."""
+    aggregate joined back, not a window over the club's whole line); the history
+    is computed once."""
+    history = materialise(history.select(*CLUB, "matchweek", "position"), "history")
     final = history.groupBy(*CLUB).agg(F.max_by("position", "matchweek").alias("final_position"))
     return history.join(final, CLUB).select(*CLUB, "matchweek", "position", "final_position")

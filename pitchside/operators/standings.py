@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, most_recent
 from pitchside.plans.options import PRESET_VIEWS, StandingsOptions, resolve_sort
 from pitchside.schema import FORM_STRIP, POINTS_DRAW, POINTS_WIN
+from pitchside.session import materialise
 
 
 def canonical() -> list[Column]:
@@ -122,7 +123,9 @@ def standings_with_preset(matches, teams, opts: StandingsOptions, preset: str,
         return standings(matches, teams, opts)
     base = base if base is not None else standings(
         matches, teams, StandingsOptions(competition=opts.competition, season=opts.season))
-    return standings(matches, teams, opts.with_(opponents=opponent_set(base, preset)))
+    # the set is needed by both clubs of a match and by totals and form alike
+    members = materialise(opponent_set(base, preset), "opponents")
+    return standings(matches, teams, opts.with_(opponents=members))
 
 
 def standings_views(matches: DataFrame, teams: DataFrame,
@@ -147,7 +150,8 @@ def standings_views(matches: DataFrame, teams: DataFrame,
     strips = form_strip(recent, keys)
     per_club = totals(cm, keys).join(strips, keys, "left").withColumn("form", F.coalesce("form", F.lit("")))
     tables = attach_teams(per_club.unionByName(_derived(lastn)), teams)
-    tables = rank_league(tables, keys=["view", *LEAGUE]).select(*STANDINGS_COLUMNS, "view")
+    # one row per club and view; the opponents preset starts from them
+    tables = materialise(rank_league(tables, keys=["view", *LEAGUE]).select(*STANDINGS_COLUMNS, "view"), "views")
     base = tables.filter(F.col("view") == "full").drop("view")
     top = standings_with_preset(matches, teams, opts, presets["top6"]["opponents"], base)
     return tables.unionByName(top.withColumn("view", F.lit("top6")))

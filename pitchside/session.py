@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,5 +73,14 @@ def _given(root: str | None, master: str) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def materialise(df, label: str):
+    """Write a small step once under the shared scratch root and read it back:
+    what several branches of a plan need is computed once, and Spark knows how
+    small it is."""
+    path = scratch_path(df.sparkSession, "steps", f"{label}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([scratch_root(spark), *parts])

@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query.
+"""Summarise the physical plan of every registered league query.
 
 Usage: python tools/plans.py [sf_dir] [name ...]  -> markdown table on stdout.
 Counts shuffles (Exchange), joins by strategy, windows, group limits and
@@ -26,7 +26,7 @@ COUNT = {
     "group_limits": r"^\(\d+\) WindowGroupLimit",
     "aggregates": r"^\(\d+\) (Hash|ObjectHash|SortAggregate)",
     "scans": r"^\(\d+\) Scan parquet",
-    "python": r"^\(\d+\) (ArrowEvalPython|BatchEvalPython|MapInPandas)",
+    "python": r"^\(\d+\) (ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInPandas)",
 }
 
 
@@ -44,14 +44,14 @@ def main() -> None:
     args = sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    import __spark_entry__ as entry
+    from pitchside.plans.queries import REGISTRY
     from pitchside.session import local_session
 
     spark = local_session(8)
     cols = list(COUNT) + ["pushed"]
     print("| query | " + " | ".join(cols) + " |")
     print("| --- | " + " | ".join("---" for _ in cols) + " |")
-    for name, fn in entry.queries().items():
+    for name, fn in REGISTRY.items():
         if names and name not in names:
             continue
         s = summarise(fn(spark, sf_dir))
