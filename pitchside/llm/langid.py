@@ -168,12 +168,12 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     if not rows:
         return Model([], np.zeros((0, DIM), "f4"), idf, np.zeros(0))
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    # about the bound by a hash of the row, then cut at the bound; copies of one
-    # text share their draw with equal ids only
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000))
+    # about the bound by a hash of the text, copies once, then cut at the bound
+    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
     first = Window.partitionBy("lang").orderBy("_draw", "text")
-    picked = (train.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").withColumn("_draw", draw)
+    picked = (train.select("text", "lang").join(F.broadcast(sizes), "lang").withColumn("_draw", draw)
               .filter(F.col("_draw") < F.lit(1_500_000 * sample) / F.col("_n"))
+              .select("lang", "text", "_draw").distinct()
               .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
               .select("lang", "text").mapInArrow(_sampled(idf), "lang string, at binary, value binary"))
     groups: dict[str, list[np.ndarray]] = {}
