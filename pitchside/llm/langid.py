@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchside.llm.common import ship, task_state
@@ -56,6 +56,10 @@ class Model:
     idf: np.ndarray
     floors: np.ndarray          # least cosine that is not rejected, per centroid
 
+    def broadcast(self, spark: SparkSession):
+        """As plain values: a worker needs no class of this package for them."""
+        return spark.sparkContext.broadcast((self.langs, self.centroids, self.idf, self.floors))
+
 
 def _letters() -> np.ndarray:
     table = task_state()
@@ -136,14 +140,14 @@ def _sums(model, order: list[str]):
     """Per centroid the sum of its rows' vectors, per language a histogram of
     cosines: rows (kind, which, place, value)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        of = {lang: np.flatnonzero(np.array(m.langs) == lang) for lang in order}
-        total, seen = np.zeros(m.centroids.shape, "f8"), np.zeros((len(order), BINS + 1), "i8")
+        langs, centroids, idf, _ = model.value
+        of = {lang: np.flatnonzero(np.array(langs) == lang) for lang in order}
+        total, seen = np.zeros(centroids.shape, "f8"), np.zeros((len(order), BINS + 1), "i8")
         for batch in batches:
             for lang, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = vector(x.as_py(), m.idf)
+                v = vector(x.as_py(), idf)
                 if v is not None and len(of.get(lang, ())):
-                    cos = m.centroids[of[lang]] @ v
+                    cos = centroids[of[lang]] @ v
                     total[of[lang][cos.argmax()]] += v
                     seen[order.index(lang), int(min(max(cos.max(), 0), 1) * BINS)] += 1
         a, b = np.nonzero(total)
@@ -185,7 +189,7 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     found = {lang: clusters_of(np.stack(groups[lang]), clusters) for lang in order}
     langs = [lang for lang in order for _ in found[lang]]
     model = Model(langs, np.concatenate([found[lang] for lang in order]).astype("f4"), idf, np.zeros(len(langs)))
-    sums = (train.select("lang", "text").mapInArrow(_sums(spark.sparkContext.broadcast(model), order),
+    sums = (train.select("lang", "text").mapInArrow(_sums(model.broadcast(spark), order),
                                                     "kind long, which long, place long, value double")
             .groupBy("kind", "which", "place").agg(F.sum("value").alias("value")))
     total, seen = np.zeros(model.centroids.shape, "f8"), np.zeros((len(order), BINS + 1))
@@ -201,20 +205,20 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.broadcast(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        langs, centroids, idf, floors = shared.value
         for texts in batches:
             lang, score, out = [], [], []
             for x in texts:
-                v = vector(x.as_py(), m.idf) if len(m.langs) else None
+                v = vector(x.as_py(), idf) if langs else None
                 if v is None:
                     lang.append(UND), score.append(0.0), out.append(True)
                     continue
-                cos = m.centroids @ v
+                cos = centroids @ v
                 best = int(cos.argmax())
-                lang.append(m.langs[best]), score.append(float(min(max(cos[best], 0), 1))), out.append(bool(cos[best] < m.floors[best]))
+                lang.append(langs[best]), score.append(float(min(max(cos[best], 0), 1))), out.append(bool(cos[best] < floors[best]))
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
                                              names=["lang_pred", "score", "rejected"])
 
