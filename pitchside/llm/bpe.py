@@ -4,16 +4,16 @@ A text is cut into pre-tokens by the tokenizer's pattern; each pre-token is
 merged on its own. The parts of a pre-token form a doubly linked list over
 byte positions. Every adjacent pair whose bytes are a vocabulary entry waits
 in the bucket of that entry's rank, as the position of its left part. Which
-buckets are filled is kept in a hierarchical bitmap (three levels of 64-bit
-words; the top word grows with the vocabulary), so the lowest rank is found
-with three find-first-set steps however long the pre-token is. A bucket gives
+buckets are filled is kept in a hierarchical bitmap (leaf words of 256 bits
+under a top word that grows with the vocabulary), so the lowest rank is found
+with two find-first-set steps however long the pre-token is. A bucket gives
 its leftmost position first. An entry whose pair has changed since it was
 filed is stale and skipped. The cost is O(n log n) for a pre-token of n
 bytes; a scan for the minimum would be O(n^2).
 
 Spark deals the rows; each Arrow batch is encoded on its own, without a
 shuffle, and a lost executor repeats single tasks. Equal pre-tokens are merged
-once per task and kept in a dictionary of bounded size.
+once per worker and kept in a dictionary of bounded size.
 
 Defined results: a null text encodes as an empty one; an empty text has no
 ids; rows, repeated ones included, stay as many as they were; an empty table
@@ -25,9 +25,9 @@ token and no boxed integers. An unknown id raises an error in ``decode``.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
-import uuid
 from collections.abc import Iterator
 from struct import pack
 
@@ -43,7 +43,7 @@ from pitchside.llm.common import ship, task_state
 ship(__name__)
 
 #: Pre-tokens in each of two generations of a worker's dictionary, and the longest one kept (bytes).
-KEPT_PIECES, KEPT_BYTES = 300_000, 64
+KEPT_PIECES, KEPT_BYTES = 300_000, 48
 
 # Letters and numbers that the ``regex`` module counts as such
 # and the Unicode tables of the tiktoken library do not.
@@ -63,8 +63,8 @@ def _ranges(text: str) -> str:
 
 #: Code points below it take the spelt-out pattern (Latin letters and marks).
 PLAIN = 0x250
-#: The bits of a 64-bit word.
-BIT = [1 << i for i in range(64)]
+#: The bits of a leaf word.
+BIT = [1 << i for i in range(256)]
 
 
 class Splitter:
@@ -97,15 +97,15 @@ class Splitter:
 
 
 class RankQueue:
-    """Positions by rank: buckets, and a bitmap of three levels over them.
+    """Positions by rank: buckets, and a hierarchical bitmap over them. A leaf
+    word has a bit for each of 256 ranks, the top word one for each leaf.
 
     A bucket is one position (the usual case) or a heap of several.
     """
 
     def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, int | list[int]] = {}
-        self.leaf = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+        self.leaf = [0] * ((ranks >> 8) + 1)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
@@ -118,35 +118,30 @@ class RankQueue:
                 heapq.heappush(bucket, position)
             return
         buckets[rank] = position
-        m = rank >> 6
-        if not self.leaf[m]:
-            t = rank >> 12
-            if not self.mid[t]:
-                self.top |= 1 << t
-            self.mid[t] |= BIT[m & 63]
-        self.leaf[m] |= BIT[rank & 63]
+        m = rank >> 8
+        word = self.leaf[m]
+        if not word:
+            self.top |= 1 << m
+        self.leaf[m] = word | BIT[rank & 255]
 
     def pop(self) -> tuple[int, int]:
         """The lowest rank and its leftmost position."""
-        t = (self.top & -self.top).bit_length() - 1
-        word = self.mid[t]
-        m = (t << 6) + (word & -word).bit_length() - 1
+        top = self.top
+        m = (top & -top).bit_length() - 1
         word = self.leaf[m]
         low = word & -word
-        rank = (m << 6) + low.bit_length() - 1
+        rank = (m << 8) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        if bucket.__class__ is not int:
+        if bucket.__class__ is int:
+            position = bucket
+        else:
             position = heapq.heappop(bucket)
             if bucket:
                 return rank, position
-        else:
-            position = bucket
         del self.buckets[rank]
         self.leaf[m] = word = word ^ low
         if not word:
-            self.mid[t] = word = self.mid[t] ^ BIT[m & 63]
-            if not word:
-                self.top ^= 1 << t
+            self.top = top ^ (1 << m)
         return rank, position
 
 
@@ -244,6 +239,13 @@ class _Pieces(dict):
         return ids
 
 
+def vocabulary_key(path: str, pattern: str) -> str:
+    """Names a rank file's contents with a pattern: workers hold one tokenizer
+    for it, however many queries use it."""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read() + pattern.encode("utf-8")).hexdigest()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: per line a token in base64 and its rank. Read on the driver."""
     with open(path, "rb") as f:
@@ -266,7 +268,7 @@ class ByteBPE:
 
     def __init__(self, spark, rank_file: str, pattern: str) -> None:
         self.ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
-        self.name, self.pattern = f"bpe {uuid.uuid4().hex}", pattern
+        self.name, self.pattern = f"bpe {vocabulary_key(rank_file, pattern)}", pattern
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``docs`` with a binary column ``ids``."""

@@ -11,7 +11,7 @@ ship(__name__)
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Words kept in a worker's dictionary.
-KEPT_HASHES = 1_000_000
+KEPT_HASHES = 300_000
 
 
 class _WordHashes(dict):

@@ -48,7 +48,7 @@ ship(__name__)
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 12, 6, 0.999
 #: Words hashed together in a task; rows and shingles of a block.
-CHUNK_WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 200_000, 1024, 1_000_000
+CHUNK_WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 200_000, 512, 500_000
 MIX = 0xBF58476D1CE4E5B9
 ID = ["ra", "rb"]
 

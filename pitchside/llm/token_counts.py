@@ -28,7 +28,6 @@ looked at. Sums of tokens are long.
 
 from __future__ import annotations
 
-import base64
 import json
 import uuid
 from collections.abc import Iterator
@@ -37,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchside.llm.bpe import read_ranks, vocabulary_key
 from pitchside.llm.common import KEY, doc_key, salted_left_join, ship, task_state, written
 from pitchside.sources import files
 
@@ -50,9 +50,8 @@ TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 def token_counter(spark: SparkSession, rank_file: str, pattern: str):
     """A column function: tokens of a text by a rank file, without special
     tokens. The file is read on the driver and broadcast (about a megabyte)."""
-    with open(rank_file, "rb") as f:
-        ranks = spark.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-    name = f"counter {uuid.uuid4().hex}"
+    ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
+    name = f"counter {vocabulary_key(rank_file, pattern)}"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = task_state()
