@@ -124,7 +124,8 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     order = np.argsort(term, kind="stable")
     owner, term = owner[order], term[order]
     out = np.zeros((m, m), "f4")
-    cut = np.searchsorted(term, np.arange(0, (term[-1] if len(term) else -1) + columns, columns))
+    # the last edge lies beyond the last shared term, also where that starts a new run of columns
+    cut = np.searchsorted(term, np.arange(0, (term[-1] if len(term) else -1) + 1 + columns, columns))
     for a, b in zip(cut[:-1], cut[1:]):
         rows, local = np.unique(owner[a:b], return_inverse=True)
         part = np.zeros((len(rows), columns), "f4")

@@ -65,6 +65,24 @@ def test_intersections():
     assert got.tolist() == want
 
 
+@pytest.mark.parametrize("shared", [0, 1, 31, 32, 33, 64, 65])
+def test_intersections_at_the_column_edges(shared):
+    sets = [np.append(np.arange(shared), 1000 + own).astype("u8") for own in (0, 1)]
+    assert jf.intersections(sets, 32)[0, 1] == shared
+
+
+@pytest.mark.parametrize("shared", [1, 4096, 4097])
+def test_intersections_at_the_default_columns(shared):
+    assert jf.intersections([np.arange(shared, dtype="u8")] * 2).tolist() == [[shared] * 2] * 2
+
+
+def test_one_shared_shingle(spark):
+    rows = [(i, " ".join([w] * k)) for i, (w, k) in enumerate([("spam", 5), ("spam", 6), ("spam", 9), ("egg", 7), ("egg", 8), ("ham", 5)])]
+    got = jf.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, 5, 0.8)))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert jf.prefix_length(0.8, 12, 6, 0.999) == 3
     assert jf.prefix_length(0.8, 12, 6, 0.1) == 6
