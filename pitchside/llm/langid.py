@@ -9,8 +9,9 @@ the greatest cosine, which is the score.
 Fitting, on the rows with a label that are not held out:
 
 1. document frequencies of all buckets over all training rows (one pass);
-2. clusters: spherical k-means on a sample of at most ``SAMPLE`` rows a
-   language (the only place where a sample is used), on the driver;
+2. clusters: spherical k-means on a sample of at most ``SAMPLE`` distinct texts
+   with a letter a language, the least by hash (the only place where a sample
+   is used), on the driver; a language with such a text is always in it;
 3. centroids anew from all training rows, each given to the nearest cluster of
    its language, and a histogram of these rows' cosines per language (one pass).
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import ship, task_state
+from pitchside.llm.common import ship, task_state, written
 
 ship(__name__)
 
@@ -94,17 +95,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, rows = np.zeros(DIM, "i8"), 0
-    for batch in batches:
-        for x in batch.column(0):
-            c = counts(x.as_py())
-            if c is not None:
-                total += c > 0
-                rows += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))],
-                                     names=["bucket", "n"])
+def _frequencies(sample: int):
+    """Document frequencies (bucket -1: rows with a letter), and per language
+    the least ``sample`` draws of the task's distinct texts with a letter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, draws = np.zeros(DIM, "i8"), 0, {}
+        for batch in batches:
+            for x, lang, draw in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                c = counts(x.as_py())
+                if c is not None:
+                    total += c > 0
+                    rows += 1
+                    own = draws.setdefault(lang, set())
+                    own.add(draw)
+                    if len(own) > 2 * sample:
+                        draws[lang] = set(sorted(own)[:sample])
+        at = np.flatnonzero(total)
+        least = [(lang, x) for lang, own in draws.items() for x in sorted(own)[:sample]]
+        n, none = len(at) + 1, len(least)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*at.tolist(), -1] + [None] * none, pa.int64()), pa.array([*total[at].tolist(), rows] + [None] * none, pa.int64()),
+             pa.array([None] * n + [lang for lang, _ in least], pa.string()), pa.array([None] * n + [x for _, x in least], pa.int64())],
+            names=["bucket", "n", "lang", "draw"])
+    return run
 
 
 def _sampled(idf: np.ndarray):
@@ -146,7 +159,9 @@ def _sums(model, order: list[str]):
         for batch in batches:
             for lang, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = vector(x.as_py(), idf)
-                if v is not None and len(of.get(lang, ())):
+                if v is not None:
+                    if lang not in of:
+                        raise ValueError(f"the sample has no text of the language {lang!r}")
                     cos = centroids[of[lang]] @ v
                     total[of[lang][cos.argmax()]] += v
                     seen[order.index(lang), int(min(max(cos.max(), 0), 1) * BINS)] += 1
@@ -163,22 +178,23 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     """Learn from ``text`` and ``lang`` of the rows that are not held out."""
     spark = docs.sparkSession
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = train.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    df = {r.bucket: r.n for r in found.collect()}                        # DIM numbers and the number of rows
+    draw = F.xxhash64("text", F.lit(11)).alias("draw")
+    found = written(train.select("text", "lang", draw).mapInArrow(_frequencies(sample), "bucket long, n long, lang string, draw long"),
+                    "op6-found")
+    df = found.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+    df = {r.bucket: r.n for r in df.collect()}                           # DIM numbers and the number of rows
     rows = df.pop(-1, 0)
     idf = np.ones(DIM, "f4")
     for b, n in df.items():
         idf[b] = np.log((1 + rows) / (1 + n)) + 1
     if not rows:
         return Model([], np.zeros((0, DIM), "f4"), idf, np.zeros(0))
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    # about the bound by a hash of the text, copies once, then cut at the bound
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
-    first = Window.partitionBy("lang").orderBy("_draw", "text")
-    picked = (train.select("text", "lang").join(F.broadcast(sizes), "lang").withColumn("_draw", draw)
-              .filter(F.col("_draw") < F.lit(1_500_000 * sample) / F.col("_n"))
-              .select("lang", "text", "_draw").distinct()
-              .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
+    # of each language the texts with the least hashes, copies once: as many as it has, up to the bound
+    first = Window.partitionBy("lang").orderBy("draw")
+    least = (found.filter("draw is not null").select("lang", "draw").distinct()
+             .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample).select("lang", "draw"))
+    picked = (train.select("text", "lang", draw).join(F.broadcast(least), ["lang", "draw"])
+              .groupBy("lang", "draw").agg(F.min("text").alias("text"))
               .select("lang", "text").mapInArrow(_sampled(idf), "lang string, at binary, value binary"))
     groups: dict[str, list[np.ndarray]] = {}
     for r in sorted(picked.collect()):

@@ -34,6 +34,18 @@ def test_edges(spark):
     assert got[4, "東京都 中国語"].rejected and got[4, "東京都 中国語"].lang_pred in ("en", "de")
 
 
+def test_a_language_of_copies_is_learned(spark):
+    page = [(i, "una pagina repetida de la casa", "es") for i in range(60_000)]
+    junk = [(100_000 + i, f"{i} ?!", "de") for i in range(60_000)]
+    rows = [(200_000 + i, f"la casa grande y el perro {chr(97 + i)}", "es") for i in range(20)]
+    rows += [(300_000 + i, f"der hund und das haus {chr(97 + i)}", "de") for i in range(20)]
+    rows += [(400_000 + i, f"the dog and the house {chr(97 + i)}", "en") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(page + junk + rows, "doc_id long, text string, lang string"), sample=8)
+    assert set(model.langs) == {"de", "en", "es"}
+    asked = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in langid.predict(asked, model).collect())
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in langid.predictions(docs).collect()] == [("und", True)]
