@@ -15,10 +15,17 @@ Fitting, on the rows with a label that are not held out:
 3. centroids anew from all training rows, each given to the nearest cluster of
    its language, and a histogram of these rows' cosines per language (one pass).
 
-Rejection is by distance: a text is rejected if its cosine is below a quarter of
-the 0.1 % quantile of the cosines of its language's training rows, so texts of
-the training kind stay, single words too; texts without letters are rejected
-and ``und``.
+Rejection is by distance, by bands of text length (powers of two of the number
+of different trigrams: a word repeated is a short text), since a cosine grows
+with length, that of junk too: a text is
+rejected if its cosine is below a share of the 0.1 % quantile of the cosines of
+training rows of its language and band: three quarters from 256 trigrams on, a
+half from 32. A band with fewer than ``ENOUGH`` rows takes those of the bands
+next to it; where the language has too few, all languages count (the lower floor
+holds). Shorter texts, and all texts where these are too few as well, have a
+quarter of the quantile of all the language's rows, so single words stay; texts
+without letters are rejected and ``und``. Junk that is as near to a language as
+the texts it learned from (hex strings on sf0.1) stays.
 
 The model is ``DIM`` floats a centroid, whatever the corpus; it is bounded by
 the number of distinct labels and broadcast. Text is the only input of a
@@ -46,7 +53,11 @@ from pitchside.llm.common import ship, task_state, written
 ship(__name__)
 
 DIM, CLUSTERS, SAMPLE, ROUNDS = 4096, 3, 400, 8
-QUANTILE, SLACK, BINS = 0.001, 0.25, 1000
+QUANTILE, BINS = 0.001, 1000
+#: Share of the quantile that is the floor: of short, middle and long texts.
+LENIENT, MIDDLE, SLACK = 0.25, 0.5, 0.75
+#: Bands of length; the first of middle and of long texts; rows that a band needs.
+BANDS, SHORT, LONG, ENOUGH = DIM.bit_length(), 5, 8, 200
 UND = "und"
 
 
@@ -55,7 +66,7 @@ class Model:
     langs: list[str]            # language of each centroid
     centroids: np.ndarray       # one row a centroid, length one
     idf: np.ndarray
-    floors: np.ndarray          # least cosine that is not rejected, per centroid
+    floors: np.ndarray          # least cosine that is not rejected, per centroid and band
 
     def broadcast(self, spark: SparkSession):
         """As plain values: a worker needs no class of this package for them."""
@@ -83,14 +94,20 @@ def counts(text: str | None) -> np.ndarray | None:
     return np.bincount(((h >> np.uint64(12)) % np.uint64(DIM)).astype("i8"), minlength=DIM)
 
 
-def vector(text: str | None, idf: np.ndarray) -> np.ndarray | None:
-    c = counts(text)
-    if c is None:
-        return None
+def weighed(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.log1p(c.astype("f4")) * idf
     return v / np.linalg.norm(v)
 
 
+def vector(text: str | None, idf: np.ndarray) -> np.ndarray | None:
+    c = counts(text)
+    return None if c is None else weighed(c, idf)
+
+
+def band(c: np.ndarray) -> int:
+    return int(np.count_nonzero(c)).bit_length() - 1
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
@@ -150,21 +167,22 @@ def clusters_of(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _sums(model, order: list[str]):
-    """Per centroid the sum of its rows' vectors, per language a histogram of
-    cosines: rows (kind, which, place, value)."""
+    """Per centroid the sum of its rows' vectors, per language and band a
+    histogram of cosines: rows (kind, which, place, value)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, centroids, idf, _ = model.value
         of = {lang: np.flatnonzero(np.array(langs) == lang) for lang in order}
-        total, seen = np.zeros(centroids.shape, "f8"), np.zeros((len(order), BINS + 1), "i8")
+        total, seen = np.zeros(centroids.shape, "f8"), np.zeros((len(order), BANDS * (BINS + 1)), "i8")
         for batch in batches:
             for lang, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = vector(x.as_py(), idf)
-                if v is not None:
+                n = counts(x.as_py())
+                if n is not None:
+                    v = weighed(n, idf)
                     if lang not in of:
                         raise ValueError(f"the sample has no text of the language {lang!r}")
                     cos = centroids[of[lang]] @ v
                     total[of[lang][cos.argmax()]] += v
-                    seen[order.index(lang), int(min(max(cos.max(), 0), 1) * BINS)] += 1
+                    seen[order.index(lang), band(n) * (BINS + 1) + int(min(max(cos.max(), 0), 1) * BINS)] += 1
         a, b = np.nonzero(total)
         c, d = np.nonzero(seen)
         kind = np.repeat([0, 1], [len(a), len(c)])
@@ -174,6 +192,33 @@ def _sums(model, order: list[str]):
     return run
 
 
+def floors(seen: np.ndarray) -> np.ndarray:
+    """Per language and band, from the histograms of cosines."""
+    def quantile(rows: np.ndarray) -> float:
+        return (np.cumsum(rows) / rows.sum() < QUANTILE).sum() / BINS
+
+    def near(rows: np.ndarray, b: int) -> np.ndarray:
+        """The band's rows, with those of the bands next to it until they are enough."""
+        for k in range(BANDS):
+            total = rows[max(b - k, SHORT):b + k + 1].sum(axis=0)
+            if total.sum() >= ENOUGH:
+                break
+        return total
+
+    out, pooled = np.zeros(seen.shape[:2]), seen.sum(axis=0)
+    for i, own in enumerate(seen):
+        for b in range(BANDS):
+            mine, all_ = near(own, b), near(pooled, b)
+            slack = SLACK if b >= LONG else MIDDLE
+            if b >= SHORT and mine.sum() >= ENOUGH:
+                out[i, b] = slack * quantile(mine)
+            elif b >= SHORT and all_.sum() >= ENOUGH:
+                out[i, b] = slack * min(quantile(x) for x in (mine, all_) if x.any())
+            else:
+                out[i, b] = LENIENT * quantile(own.sum(axis=0))
+    return out
+
+
 def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """Learn from ``text`` and ``lang`` of the rows that are not held out."""
     spark = docs.sparkSession
@@ -188,7 +233,7 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     for b, n in df.items():
         idf[b] = np.log((1 + rows) / (1 + n)) + 1
     if not rows:
-        return Model([], np.zeros((0, DIM), "f4"), idf, np.zeros(0))
+        return Model([], np.zeros((0, DIM), "f4"), idf, np.zeros((0, BANDS)))
     # of each language the texts with the least hashes, copies once: as many as it has, up to the bound
     first = Window.partitionBy("lang").orderBy("draw")
     least = (found.filter("draw is not null").select("lang", "draw").distinct()
@@ -204,17 +249,16 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     order = sorted(groups)
     found = {lang: clusters_of(np.stack(groups[lang]), clusters) for lang in order}
     langs = [lang for lang in order for _ in found[lang]]
-    model = Model(langs, np.concatenate([found[lang] for lang in order]).astype("f4"), idf, np.zeros(len(langs)))
+    model = Model(langs, np.concatenate([found[lang] for lang in order]).astype("f4"), idf, np.zeros((len(langs), BANDS)))
     sums = (train.select("lang", "text").mapInArrow(_sums(model.broadcast(spark), order),
                                                     "kind long, which long, place long, value double")
             .groupBy("kind", "which", "place").agg(F.sum("value").alias("value")))
-    total, seen = np.zeros(model.centroids.shape, "f8"), np.zeros((len(order), BINS + 1))
-    for r in sums.collect():                                            # at most DIM numbers a centroid
+    total, seen = np.zeros(model.centroids.shape, "f8"), np.zeros((len(order), BANDS * (BINS + 1)))
+    for r in sums.collect():                     # at most DIM numbers a centroid and a histogram a language
         (total if r.kind == 0 else seen)[r.which, r.place] = r.value
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     model.centroids = np.where(norm > 0, total / np.where(norm > 0, norm, 1), model.centroids).astype("f4")
-    share = np.cumsum(seen, axis=1) / seen.sum(axis=1, keepdims=True)
-    floor = SLACK * (share < QUANTILE).sum(axis=1) / BINS
+    floor = floors(seen.reshape(len(order), BANDS, BINS + 1))
     model.floors = np.array([floor[order.index(lang)] for lang in langs])
     return model
 
@@ -224,17 +268,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = model.broadcast(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        langs, centroids, idf, floors = shared.value
+        langs, centroids, idf, least = shared.value
         for texts in batches:
             lang, score, out = [], [], []
             for x in texts:
-                v = vector(x.as_py(), idf) if langs else None
-                if v is None:
+                c = counts(x.as_py()) if langs else None
+                if c is None:
                     lang.append(UND), score.append(0.0), out.append(True)
                     continue
-                cos = centroids @ v
+                cos = centroids @ weighed(c, idf)
                 best = int(cos.argmax())
-                lang.append(langs[best]), score.append(float(min(max(cos[best], 0), 1))), out.append(bool(cos[best] < floors[best]))
+                lang.append(langs[best]), score.append(float(min(max(cos[best], 0), 1))), out.append(bool(cos[best] < least[best, band(c)]))
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
                                              names=["lang_pred", "score", "rejected"])
 

@@ -1,5 +1,7 @@
 """Operator 6: held-out accuracy, rejection and edge cases."""
 
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -46,6 +48,23 @@ def test_a_language_of_copies_is_learned(spark):
     assert all(r.lang_pred == r.lang for r in langid.predict(asked, model).collect())
 
 
+def test_long_junk_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model, rnd = langid.fit(docs), random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10)))
+    junk = [" ".join(word() for _ in range(k)) for k in (30, 100, 300, 1000)]
+    junk += [base64.b64encode(rnd.randbytes(3000)).decode(),
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+             "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+             "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+             "kardeşlik zihniyeti ile hareket etmelidirler."]
+    got = langid.predict(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert [r.doc_id for r in got if not r.rejected] == []
+    said = langid.predict(docs, model).select("rejected", "text").collect()
+    assert sum(r.rejected for r in said) <= 0.001 * len(said)
+    assert not any(r.rejected for r in said if len(r.text.split()) == 1)
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in langid.predictions(docs).collect()] == [("und", True)]
