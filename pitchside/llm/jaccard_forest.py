@@ -6,12 +6,13 @@ texts are linked if the Jaccard similarity of their sets reaches ``threshold``.
 
 1. Texts with equal words are one *text* (a class of copies), however many
    rows have it; all that follows works on one representative.
-2. Each text gets ``trees`` labels of ``depth`` MinHash values. A tree is a
-   trie over its labels; texts that share a prefix of a label share a node.
-   Matched prefixes start at the full depth and are shortened until a pair at
-   the threshold shares a node in some tree with the target recall:
-   1 - (1 - s^d)^trees >= recall. (With 12 trees: depth 3 for 0.999.) Longer
-   prefixes are contained in shorter ones, so one pass at that depth has all.
+2. Each text gets ``trees`` labels of ``d`` MinHash values; texts with an equal
+   label share a node. ``d`` is fixed by the parameters: the longest prefix of
+   a forest's labels (of ``depth``) with which a pair at the threshold shares a
+   node in some tree with the target recall: 1 - (1 - s^d)^trees >= recall.
+   (With 12 trees: 3 for 0.999.) So this is banded LSH; no tries are built and
+   no prefix is shortened by the data. A pair that shares a longer prefix
+   shares this one, so one pass at this depth has all pairs of the forest's.
 3. Nodes with one text go. A node whose texts all share a node of an earlier
    tree goes as well: its pairs are looked at there. A pair that shares several
    nodes belongs to the first tree.
