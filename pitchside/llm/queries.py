@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchside.llm import (
-    bpe, decontaminate, jaccard_forest, langid, license_scan, quality_lines, sharding, substring_dedup, token_counts,
+    bpe, decontaminate, jaccard_forest, langid, license_scan, line_dedup, quality_lines, sharding, substring_dedup, token_counts,
     warc)
 from pitchside.llm.common import fresh_path, table
 
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -67,12 +71,25 @@ REGISTRY = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_lines": op9_quality_lines,
     "op10_sharding": op10_sharding,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
 ORACLES: dict[str, str] = {
+    "op13_line_dedup": """
+with line as (
+  select doc_id, p, x, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(lines) as x, unnest(range(len(lines))) as p
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+often as (select k, min(doc_id) as least from line where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+kept as (select doc_id, string_agg(x, chr(10) order by p) as t, count(*) as n
+         from line left join often using (k) where least is null or least = doc_id group by doc_id)
+select d.doc_id, d.n as n_lines, d.n - coalesce(kept.n, 0) as n_dropped, sha256(coalesce(t, '')) as kept_sha256
+from (select doc_id, count(*) as n from line group by doc_id) as d left join kept on d.doc_id = kept.doc_id
+""",
     "op2_license_scan": license_scan.oracle(),
     "op5_decontamination": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
