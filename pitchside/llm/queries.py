@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchside.llm import (
-    bpe, decontaminate, jaccard_forest, langid, license_scan, line_dedup, quality_lines, sharding, substring_dedup, token_counts,
-    warc)
+    bpe, conversation_trie, decontaminate, jaccard_forest, langid, license_scan, line_dedup, periodic_runs, quality_lines,
+    sharding, substring_dedup, token_counts, warc)
 from pitchside.llm.common import fresh_path, table
 
 
@@ -56,6 +56,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -71,13 +79,50 @@ REGISTRY = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_lines": op9_quality_lines,
     "op10_sharding": op10_sharding,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+#: CRC-32 of a number's decimal text, bit by bit (the polynomial is the fixed one of zip files).
+_CRC32 = """xor(list_reduce([unicode(x) for x in string_split(cast({0} as varchar), '')], lambda c, b: list_reduce(range(8),
+    lambda v, i: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, xor(c, b)), 4294967295), 4294967295)"""
+
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": f"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn,
+    md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as k
+  from conversations where conv_id is not null),
+own as (select *, row_number() over (partition by conv_id order by turn nulls first, k) as n from t),
+c as (select conv_id, conv_id - conv_id % 20 as base, {_CRC32.format('conv_id')} % 4 as h from (select distinct conv_id from t)),
+turns as (
+  select c.conv_id, own.n, k, text from c join own on own.conv_id = c.base and own.n <= h
+  union all
+  select c.conv_id, own.n - h + least(h, coalesce(b.n, 0)), k, text from own join c using (conv_id)
+    left join (select conv_id as base, count(*) as n from t group by conv_id) as b using (base) where own.n > h),
+paths as (
+  select conv_id, n as depth, list(k) over w as path, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words
+  from turns window w as (partition by conv_id order by n)
+  union all select conv_id, 0, [], 0 from c),
+last as (select conv_id, max(depth) as depth from paths group by conv_id),
+node as (
+  select path, depth, any_value(words) as words, count(*) as n_convs, min(conv_id) as conv_id,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where depth = length), '') as ends,
+    count(*) filter (where depth = length) as n_ends
+  from (select paths.*, last.depth as length from paths join last using (conv_id)) group by path, depth),
+kids as (select path[:depth - 1] as path, count(*) as n from node where depth > 0 group by 1),
+above as (select path[:d] as path, leaf, saved from (
+  select path, unnest(range(0, depth + 1)) as d, (n_convs - 1) * words as saved, (kids.n is null) as leaf from node left join kids using (path))),
+sums as (select path, count(*) filter (where leaf) as n_leaves, sum(saved) as saved_tokens from above group by path)
+select node.conv_id, depth, p.conv_id as parent_conv_id, node.n_convs, coalesce(kids.n, 0) as n_children, n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, sha256(ends) as ends_sha256, n_ends
+from node join sums using (path) left join kids using (path)
+  left join (select path as up, conv_id from node) as p on depth > 0 and p.up = path[:depth - 1]
+""",
     "op13_line_dedup": """
 with line as (
   select doc_id, p, x, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
