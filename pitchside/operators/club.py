@@ -42,6 +42,14 @@ def find_club(teams: DataFrame, slug: str) -> DataFrame:
     return teams.filter(F.col("slug") == slug).orderBy("id").limit(1)
 
 
+def find_clubs(teams: DataFrame, requests: DataFrame) -> DataFrame:
+    """C1 for many requests (``slug`` and other columns) at once: the club that
+    owns the slug, null where there is none."""
+    owners = teams.groupBy("slug").agg(F.min(F.struct("id", "name")).alias("o")).select(
+        "slug", F.col("o.id").alias("team_id"), F.col("o.name").alias("name"))
+    return requests.join(owners, "slug", "left")
+
+
 def club_fixtures(matches: DataFrame, teams: DataFrame,
                   competition: str | None = None, season: int | None = None) -> DataFrame:
     """Every status, from the club's side, opponent name + slug; outcome

@@ -533,6 +533,67 @@ SELECT u.id, u.external_id, u.competition, u.season,
        u.stoppage_minute, u.updated_at
 FROM up_matches u JOIN dmw_1 d1 ON d1.id = u.id LEFT JOIN dmw_u d2 ON d2.id = u.id
 LEFT JOIN touched_2 t ON t.competition = u.competition AND t.season = u.season""")
+_SEASON = _WINDOW.replace("1996-01-01", "2000-07-01").replace("1997-01-01", "2001-07-01")
+ORACLES["ingest_season"] = with_base(_SEASON + """
+SELECT id, external_id, competition, season, matchweek, kicks_off_at, status, home_team_id, away_team_id, home_goals, away_goals,
+       minute, stoppage_minute, updated_at
+FROM done""")
+# Three polls: the first sees all matches as scheduled, the others as they ended,
+# some six days later. A match is as the last poll that sees it says.
+_POLLED = """
+, polls AS (SELECT * FROM (VALUES (1, TIMESTAMP '1997-03-01 04:10:00'), (2, TIMESTAMP '1997-03-08 04:10:00'),
+                                  (3, TIMESTAMP '1997-03-15 04:10:00')) p(k, now)),
+seen AS (
+  SELECT k, now, m.id, m.external_id, m.competition, m.season, m.home_team_id, m.away_team_id,
+         CASE WHEN k > 1 AND m.id % 10 = 4 THEN m.kicks_off_at + INTERVAL 6 DAY ELSE m.kicks_off_at END AS kicks_off_at,
+         CASE WHEN k = 1 THEN 'scheduled' WHEN m.status = 'cancelled' THEN 'postponed' ELSE m.status END AS status,
+         CASE WHEN k = 1 THEN 0 ELSE m.home_goals END AS home_goals, CASE WHEN k = 1 THEN 0 ELSE m.away_goals END AS away_goals,
+         CASE WHEN k > 1 THEN m.minute END AS minute, CASE WHEN k > 1 THEN m.stoppage_minute END AS stoppage_minute
+  FROM raw m CROSS JOIN polls),
+read AS (SELECT * FROM seen WHERE CAST(kicks_off_at AS DATE) BETWEEN CAST(now AS DATE) - 3 AND CAST(now AS DATE) + 10)"""
+ORACLES["ingest_recent"] = with_base(_POLLED + """,
+newest AS (SELECT *, min(k) OVER (PARTITION BY id) AS first_k FROM read QUALIFY k = max(k) OVER (PARTITION BY id)),
+fresh AS (SELECT id, CAST((SELECT max(id) FROM raw WHERE id % 10 <> 3) + row_number() OVER (ORDER BY first_k, md5(external_id)) AS BIGINT) AS new_id
+          FROM newest WHERE id % 10 = 3),
+state AS (
+  SELECT coalesce(new_id, n.id) AS id, n.external_id, n.competition, n.season, CASE WHEN new_id IS NULL THEN m.matchweek END AS old_week,
+         n.kicks_off_at, n.status, n.home_team_id, n.away_team_id, n.home_goals, n.away_goals, n.minute, n.stoppage_minute, n.now AS updated_at
+  FROM newest n JOIN matches m ON m.id = n.id LEFT JOIN fresh ON fresh.id = n.id
+  UNION ALL
+  SELECT id, external_id, competition, season, matchweek, kicks_off_at, status, home_team_id, away_team_id, home_goals, away_goals,
+         minute, stoppage_minute, updated_at
+  FROM matches WHERE id % 10 <> 3 AND id NOT IN (SELECT id FROM newest)),
+sides AS (SELECT id, competition, season, kicks_off_at, home_team_id AS club FROM state WHERE status <> 'cancelled'
+          UNION ALL SELECT id, competition, season, kicks_off_at, away_team_id FROM state WHERE status <> 'cancelled'),
+week AS (SELECT id, CAST(max(k) AS INTEGER) AS new_week FROM (
+           SELECT id, row_number() OVER (PARTITION BY competition, season, club ORDER BY kicks_off_at, id) AS k
+           FROM sides JOIN (SELECT DISTINCT competition, season FROM read) USING (competition, season)) GROUP BY id)
+SELECT s.id, s.external_id, s.competition, s.season, coalesce(new_week, old_week) AS matchweek, s.kicks_off_at, s.status,
+       s.home_team_id, s.away_team_id, s.home_goals, s.away_goals, s.minute, s.stoppage_minute, s.updated_at
+FROM state s LEFT JOIN week USING (id)""")
+ORACLES["poll_windows"] = with_base(_POLLED + """,
+clubs AS (SELECT k, count(DISTINCT club) AS n FROM (SELECT k, home_team_id AS club FROM read UNION ALL SELECT k, away_team_id FROM read) GROUP BY k)
+SELECT strftime(CAST(now AS DATE) - 3, '%Y%m%d') || '-' || strftime(CAST(now AS DATE) + 10, '%Y%m%d') AS window,
+       count(id) AS fetched, coalesce(any_value(n), 0) AS teams_upserted, count(id) AS matches_upserted, CAST(0 AS BIGINT) AS skipped
+FROM polls LEFT JOIN (SELECT k, id FROM read) USING (k) LEFT JOIN clubs USING (k) GROUP BY now""")
+ORACLES["feed_corrupt"] = with_base("""
+SELECT competition, CASE WHEN id % 101 = 0 OR id % 103 = 0 THEN 'unreadable payload' ELSE 'payload with a value of another type' END AS reason,
+       external_id AS first_event
+FROM raw WHERE id % 101 = 0 OR id % 103 = 0 OR id % 107 = 0
+UNION ALL SELECT 'none', 'empty file', NULL""")
+ORACLES["club_lookup"] = with_base("""
+, asked AS (SELECT id AS request, CASE WHEN id % 3 = 1 THEN concat('no-', slug) ELSE slug END AS slug FROM teams)
+SELECT request, asked.slug, t.id AS team_id, t.name
+FROM asked LEFT JOIN (SELECT * FROM teams QUALIFY row_number() OVER (PARTITION BY slug ORDER BY id) = 1) t ON t.slug = asked.slug""")
+ORACLES["pair_records"] = with_base("""
+, clubs AS (SELECT DISTINCT competition, team_id FROM fan),
+pairs AS (SELECT competition, team_id AS team_a_id, team_id + d AS team_b_id FROM clubs, (VALUES (1), (2)) v(d))
+SELECT p.competition, team_a_id, team_b_id, CAST(count(cm.id) AS INTEGER) AS played,
+       CAST(count(*) FILTER (WHERE outcome = 'W') AS INTEGER) AS team_a_wins, CAST(count(*) FILTER (WHERE outcome = 'D') AS INTEGER) AS draws,
+       CAST(count(*) FILTER (WHERE outcome = 'L') AS INTEGER) AS team_b_wins, CAST(coalesce(sum(goals_for), 0) AS INTEGER) AS team_a_goals,
+       CAST(coalesce(sum(goals_against), 0) AS INTEGER) AS team_b_goals
+FROM pairs p LEFT JOIN cm ON cm.competition = p.competition AND cm.team_id = team_a_id AND cm.opponent_id = team_b_id
+GROUP BY p.competition, team_a_id, team_b_id""")
 ORACLES["view_requests"] = with_base("""
 , rq AS (
   SELECT id, competition,

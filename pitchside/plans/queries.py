@@ -29,6 +29,7 @@ from pitchside.plans import deliveries as dl
 from pitchside.plans.catalog import league
 from pitchside.plans.options import StandingsOptions
 from pitchside.schema import FORM_WINDOW
+from pitchside.sources import league_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -375,6 +376,47 @@ def ingest_stream(spark, sf_dir):
     return matches
 
 
+@query
+def ingest_season(spark, sf_dir):
+    return dl.season_ingest(spark, sf_dir).matches
+
+
+@query
+def ingest_recent(spark, sf_dir):
+    return league_table.tables(spark, dl.polled(spark, sf_dir))[1]
+
+
+@query
+def poll_windows(spark, sf_dir):
+    return up.ingest_runs(spark, dl.polled(spark, sf_dir)).select(
+        "window", "fetched", "teams_upserted", "matches_upserted", "skipped")
+
+
+@query
+def feed_corrupt(spark, sf_dir):
+    """What of a damaged feed goes to the quarantine, by payload."""
+    _, bad = nz.split_valid(nz.normalize_events(dl.corrupt_events(spark, sf_dir)))
+    return bad.select(F.regexp_extract("arrival.file", "competition=([^/]*)", 1).alias("competition"), "reason",
+                      F.nullif(F.regexp_extract(F.coalesce("record", F.lit("")), "m-[0-9]+", 0), F.lit("")).alias("first_event"))
+
+
+@query
+def club_lookup(spark, sf_dir):
+    """Requested slugs (every club's, and some that no club has) to clubs."""
+    teams = league(spark, sf_dir).teams
+    asked = teams.select(F.col("id").alias("request"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("no-"), "slug")).otherwise(F.col("slug")).alias("slug"))
+    return cl.find_clubs(teams, asked)
+
+
+@query
+def pair_records(spark, sf_dir):
+    """H3: each club against the next two by id, met or not."""
+    lg = league(spark, sf_dir)
+    pairs = lg.matches.select("competition", F.explode(F.array("home_team_id", "away_team_id")).alias("team_a_id")).distinct()
+    pairs = pairs.select("competition", "team_a_id", F.explode(F.array(F.col("team_a_id") + 1, F.col("team_a_id") + 2)).alias("team_b_id"))
+    return h2h.pair_record(h2h.head_to_head(lg.matches), pairs)
+
+
 @query
 def view_requests(spark, sf_dir):
     from pitchside.plans import views

@@ -1,19 +1,25 @@
 """Small control files on any file system Spark can reach.
 
-Commit markers and logs are a few bytes each; they go through Hadoop's file
-API, so that they work wherever the tables are (``file:``, ``hdfs:``, object
-stores), and are created only if absent: the first of two writers wins.
+Commit markers are a few bytes each; they go through Hadoop's file API, so that
+they work wherever the tables are (``file:``, ``hdfs:``, object stores). A marker
+is written aside under a hidden name and then renamed without overwriting: it is
+there whole or not at all, and the first of two writers wins. The rename is
+atomic on HDFS; where a file system only checks and then renames (local disks,
+some object stores) one writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 def _at(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(target)
 
 
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
@@ -21,16 +27,22 @@ def create_new(spark: SparkSession, path: str, text: str) -> bool:
     fs, target = _at(spark, path)
     if fs.exists(target):
         return False
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    keep = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    keep[0] = hadoop.Options.Rename.NONE
     try:
-        out = fs.create(target, False)
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, keep)
     except Py4JJavaError as e:
+        fs.delete(aside, False)
         if "AlreadyExists" in str(e.java_exception):
             return False
         raise
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
     return True
 
 
@@ -40,12 +52,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder, sorted; none where the folder does not exist. Any
-    other failure is raised."""
+    """Names in a folder, sorted, without hidden ones (a file still being written
+    is hidden); none where the folder does not exist. Any other failure is raised."""
     fs, target = _at(spark, folder)
     if not fs.exists(target):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(target))
+    found = (s.getPath().getName() for s in fs.listStatus(target))
+    return sorted(n for n in found if not n.startswith("."))
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -61,3 +74,16 @@ def read_text(spark: SparkSession, path: str) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _at(spark, path)
     fs.delete(target, True)
+
+
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Files of no bytes under a folder, hidden ones left out. Spark's readers plan
+    no task for them, so only the listing knows of them."""
+    fs, target = _at(spark, folder)
+    found, listing = [], fs.listFiles(target, True)
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath()
+        if status.getLen() == 0 and not path.getName().startswith(("_", ".")):
+            found.append(path.toString())
+    return sorted(found)

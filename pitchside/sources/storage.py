@@ -23,17 +23,14 @@ from pitchside.schema import MATCH_COLUMNS, MATCHES
 
 BUCKETS = 16
 PARTITION = ["season", "bucket"]
+#: Order of rows inside a directory, for row-group pruning.
+MATCH_ORDER = ["competition", "kicks_off_at", "id"]
 
 
 def bucket_of(competition: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(competition), F.lit(buckets)).cast("int")
 
 
-def partition_key(season: Column, bucket: Column, buckets: int = BUCKETS) -> Column:
-    """One number per directory."""
-    return season * buckets + bucket
-
-
 def write_matches(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write rows into ``path``, which must be new. Range partitioning spreads a
     hot season or competition over many writers; each writer holds few folders.
@@ -46,7 +43,7 @@ def write_matches(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None
     if buckets:
         df = df.withColumn("bucket", bucket_of(F.col("competition"), buckets))
     (df.repartitionByRange(*parts, "competition", "kicks_off_at")
-     .sortWithinPartitions(*parts, "competition", "kicks_off_at", "id")
+     .sortWithinPartitions(*parts, *MATCH_ORDER)
      .write.mode("errorifexists").partitionBy(*parts).parquet(path))
 
 
