@@ -1,8 +1,8 @@
 """Club colour resolution as column expressions.
 
 hex <-> rgb, WCAG luminance and contrast, HSL achromatic test, the bounded
-40-step move away from the ground (a higher-order ``aggregate`` over
-``sequence(1, 40)``), and the rule chain that names which rule won.
+40-step move away from the ground (a ladder of colours, searched by halving), and
+the rule chain that names which rule won.
 """
 
 from __future__ import annotations
@@ -77,27 +77,38 @@ def _pick(hex_: Column, source: Column, ratio: Column) -> Column:
     return F.struct(hex_.alias("hex"), source.alias("source"), ratio.alias("contrast"))
 
 
-def _step_towards(ground_lum: float) -> "callable":
-    light = ground_lum > 0.5
-    lg = F.lit(ground_lum)
-
-    def step(acc, _i):
-        if light:
-            moved = F.struct(*(F.lit(DARKEN_FACTOR) * acc[c] for c in "rgb"))
+def _ladder(base: Column, ground_lum: float) -> Column:
+    """the colour after 0 to 40 steps away from the ground, one after another."""
+    def moved(c: Column) -> Column:
+        if ground_lum > 0.5:
+            out = F.struct(*((F.lit(DARKEN_FACTOR) * c[x]).alias(x) for x in "rgb"))
         else:
-            moved = F.struct(*(acc[c] + (F.lit(255.0) - acc[c]) * LIGHTEN_SHARE for c in "rgb"))
-        moved = moved.cast("struct<r:double,g:double,b:double>")
-        return F.when(contrast_lum(luminance(acc), lg) < MIN_CONTRAST, moved).otherwise(acc)
-    return step
+            out = F.struct(*((c[x] + (F.lit(255.0) - c[x]) * LIGHTEN_SHARE).alias(x) for x in "rgb"))
+        return out.cast("struct<r:double,g:double,b:double>")
+    rungs = F.sequence(F.lit(1), F.lit(ADJUST_STEPS))
+    return F.aggregate(rungs, F.array(base), lambda acc, _: F.array_append(acc, moved(F.element_at(acc, -1))))
+
+
+def _first_fit(ladder: Column, ground_lum: float) -> Column:
+    """The first rung that fits the ground, or the last one. Whether a rung fits
+    can only change once along the ladder (a colour on the far side of the ground
+    is too close to it to fit), so halving finds it in six looks."""
+    def halve(b: Column, _i: Column) -> Column:
+        mid = F.floor((b["lo"] + b["hi"]) / 2).cast("int")
+        fits = contrast_lum(luminance(F.get(ladder, mid)), F.lit(ground_lum)) >= MIN_CONTRAST
+        return F.struct(F.when(fits, b["lo"]).otherwise(mid).alias("lo"), F.when(fits, mid).otherwise(b["hi"]).alias("hi"))
+    looks = F.sequence(F.lit(1), F.lit(ADJUST_STEPS.bit_length()))
+    # below the ladder's foot nothing fits; its top is taken whether it fits or not
+    ends = F.struct(F.lit(-1).alias("lo"), F.lit(ADJUST_STEPS).alias("hi"))
+    return F.get(ladder, F.aggregate(looks, ends, halve)["hi"])
 
 
 def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str, out: str) -> DataFrame:
     """F6 over a DataFrame: adds struct column ``out`` (hex, source, contrast).
 
     The ground is a constant, so its luminance is computed once in Python;
-    the rules are staged over a few projections so that the bounded 40-step
-    ``aggregate`` is evaluated once per row and not inlined into every
-    branch that reads it.
+    the rules are staged over a few projections so that the ladder of 40 steps
+    is made once per row and not inlined into every branch that reads it.
     """
     gl = _py_lum(ground_hex)
     lg = F.lit(gl)
@@ -115,9 +126,10 @@ def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str
                  (p_achro & s.isNotNull()).alias("_use_s"))
     base = F.when(F.col("_use_s"), s).otherwise(p)
     fits = (F.col("_p_con") >= MIN_CONTRAST) | (F.col("_use_s") & (F.col("_s_con") >= MIN_CONTRAST))
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ADJUST_STEPS)), base, _step_towards(gl))
     # the steps are taken only for a colour that does not fit the ground yet
-    t = t.select("*", F.when(F.coalesce(fits, F.lit(False)), base).otherwise(moved).alias("_adj"))
+    steps = F.when(base.isNotNull() & ~F.coalesce(fits, F.lit(False)), _ladder(base, gl))
+    t = t.select("*", base.alias("_base"), steps.alias("_steps"))
+    t = t.select("*", F.when(F.col("_steps").isNull(), F.col("_base")).otherwise(_first_fit(F.col("_steps"), gl)).alias("_adj"))
     adj = F.col("_adj")
     rule = (F.when(p.isNotNull() & (F.col("_p_con") >= MIN_CONTRAST),
                    _pick(to_hex(p), F.lit("primary"), F.col("_p_con")))

@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 from pitchside.operators.ranking import kickoff_slice, running_number
 
 
-def derived_matchweeks(matches: DataFrame) -> DataFrame:
-    """(id, competition, season, matchweek) for every non-cancelled match."""
+def _numbered(matches: DataFrame) -> DataFrame:
+    """Club rows of the matches that count, with the club's running number."""
     fan = (matches.filter(F.col("status") != "cancelled")
            .select("id", "competition", "season", "kicks_off_at",
                    F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")))
-    # Running match number per club-season, in slices of kickoff time: a
-    # club-season of any size is numbered over many tasks.
-    numbered = running_number(fan, ["competition", "season", "team_id"],
-                              [F.col("kicks_off_at"), F.col("id")], "nth", kickoff_slice(F.col("kicks_off_at")))
-    # Group on id alone: competition/season are functions of id, and the
-    # result is then hash-partitioned exactly as the join back needs it.
-    return (numbered
-            .groupBy("id")
-            .agg(F.any_value("competition").alias("competition"),
-                 F.any_value("season").alias("season"),
-                 F.max("nth").cast("int").alias("matchweek")))
+    # in slices of kickoff time: a club-season of any size is numbered over many tasks
+    return running_number(fan, ["competition", "season", "team_id"],
+                          [F.col("kicks_off_at"), F.col("id")], "nth", kickoff_slice(F.col("kicks_off_at")))
+
+
+def derived_matchweeks(matches: DataFrame) -> DataFrame:
+    """(id, competition, season, matchweek) for every non-cancelled match."""
+    # the league is a function of the id; as keys, not as values, it keeps the
+    # aggregate a hash aggregate
+    return _numbered(matches).groupBy("id", "competition", "season").agg(F.max("nth").cast("int").alias("matchweek"))
+
+
+def match_numbers(matches: DataFrame) -> DataFrame:
+    """(id, matchweek), partitioned by id alone as a join back needs it."""
+    return _numbered(matches).groupBy("id").agg(F.max("nth").cast("int").alias("matchweek"))
 
 
 def with_matchweeks(matches: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def with_matchweeks(matches: DataFrame) -> DataFrame:
     A cancelled match leaves the derivation and keeps its stored number
     (``coalesce(derived, stored)``), exactly as the set-based update does.
     """
-    d = derived_matchweeks(matches).select("id", F.col("matchweek").alias("_derived"))
+    d = match_numbers(matches).withColumnRenamed("matchweek", "_derived")
     return (matches.join(d, "id", "left")
             .withColumn("matchweek", F.coalesce("_derived", "matchweek"))
             .select(matches.columns))

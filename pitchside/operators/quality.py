@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.club_matches import CLUB, LEAGUE, club_matches, played
-from pitchside.operators.ranking import kickoff_slice, running_number, week_slice
+from pitchside.operators.ranking import kickoff_slice, running_sums, week_slice
 
 
 def feed_health(matches: DataFrame, teams: DataFrame, now: dt.datetime) -> DataFrame:
@@ -49,24 +49,32 @@ def _derived_club_rows(matches: DataFrame) -> DataFrame:
 
 
 def matchweek_monotonic(matches: DataFrame) -> DataFrame:
-    """Q4: a club's matchweek must never fall along its fixtures."""
-    # lag() as an equi-join on the running number: (club, n) meets (club, n - 1).
-    rows = running_number(_derived_club_rows(matches), CLUB, [F.col("kicks_off_at"), F.col("id")], "nth",
-                          kickoff_slice(F.col("kicks_off_at")))
-    prev = rows.select(*CLUB, (F.col("nth") + 1).alias("nth"), F.col("matchweek").alias("prev"))
-    flagged = rows.join(prev, [*CLUB, "nth"], "left")
-    return flagged.groupBy(*LEAGUE).agg(
-        F.count_if(F.col("prev").isNotNull() & (F.col("matchweek") < F.col("prev"))).cast("int").alias("violations"))
+    """Q4: a club's matchweek must never fall along its fixtures.
+
+    Inside a slice of kickoff time the match before is a ``lag``; between slices
+    it is the last match of the club's slice before, from an aggregate that keeps
+    each slice's first and last matchweek. The two counts add up: no row meets
+    another in a join."""
+    rows = _derived_club_rows(matches).withColumn("_slice", kickoff_slice(F.col("kicks_off_at")))
+    order = Window.partitionBy(*CLUB, "_slice").orderBy("kicks_off_at", "id")
+    falls = lambda before: F.count_if(F.col("matchweek") < before).alias("violations")
+    inside = rows.withColumn("_before", F.lag("matchweek").over(order)).groupBy(*LEAGUE).agg(falls(F.col("_before")))
+    at = F.struct("kicks_off_at", "id")
+    ends = rows.groupBy(*CLUB, "_slice").agg(F.min_by("matchweek", at).alias("matchweek"), F.max_by("matchweek", at).alias("_last"))
+    between = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(*CLUB).orderBy("_slice"))).groupBy(*LEAGUE).agg(
+        falls(F.col("_before")))
+    return inside.unionByName(between).groupBy(*LEAGUE).agg(F.sum("violations").cast("int").alias("violations"))
 
 
 def matchweek_overplayed(matches: DataFrame) -> DataFrame:
-    """Q5: at matchweek N no club may have played more than N games."""
-    # running count in matchweek order (ties in any order: the number of
-    # violations does not depend on it)
-    games = running_number(_derived_club_rows(matches), CLUB, [F.col("matchweek"), F.col("id")], "games",
-                           week_slice(F.coalesce("matchweek", F.lit(-1))))
-    return games.groupBy(*LEAGUE).agg(
-        F.count_if(F.col("games") > F.col("matchweek")).cast("int").alias("violations"))
+    """Q5: at matchweek N no club may have played more than N games.
+
+    Weekly counts first, with a map-side step: the c games of a week that follow b
+    earlier ones are numbers b + 1 to b + c, and those above N are violations."""
+    weekly = _derived_club_rows(matches).groupBy(*CLUB, "matchweek").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_sums(weekly, CLUB, [F.col("matchweek")], {"upto": F.col("c")}, week_slice(F.coalesce("matchweek", F.lit(-1))))
+    over = F.greatest(F.lit(0), F.least(F.col("c"), F.col("upto") - F.col("matchweek")))
+    return upto.groupBy(*LEAGUE).agg(F.coalesce(F.sum(F.when(F.col("matchweek").isNotNull(), over)), F.lit(0)).cast("int").alias("violations"))
 
 
 def games_per_club(matches: DataFrame) -> DataFrame:

@@ -160,10 +160,11 @@ def standings_views(matches: DataFrame, teams: DataFrame,
 def points_gaps(table: DataFrame) -> DataFrame:
     """B19 (Cann table): one row per points value from leader to last, per
     league-season; values nobody holds keep a row with a null club."""
+    # the table is small and read twice, by the spine and by the clubs on it
+    table = materialise(table.select(*LEAGUE, "points", "team_id", "short_name", "played", "position"), "table")
     span = table.groupBy(*LEAGUE).agg(F.max("points").alias("hi"), F.min("points").alias("lo"))
     spine = span.select(*LEAGUE, F.explode(F.sequence("hi", "lo", F.lit(-1))).alias("points"))
-    clubs = table.select(*LEAGUE, "points", "team_id", "short_name", "played", "position")
-    return spine.join(clubs, [*LEAGUE, "points"], "left")
+    return spine.join(table, [*LEAGUE, "points"], "left")
 
 
 def side_aggs() -> list[Column]:

@@ -507,6 +507,14 @@ ORACLES["ingest_window"] = with_base(_WINDOW + """
 SELECT id, external_id, competition, season, matchweek, kicks_off_at, status, home_team_id, away_team_id, home_goals, away_goals,
        minute, stoppage_minute, updated_at
 FROM done""")
+# The whole history of the state after the window ingest, of the clubs that it knows.
+_AFTER = HISTORY_SQL.replace(" cm ", " cm2 ").replace("JOIN teams t ON t.id = s.team_id", "JOIN club_names t ON t.id = s.team_id")
+ORACLES["history_after_ingest"] = with_base(_WINDOW + """,
+fan2 AS (SELECT competition, season, matchweek, status, home_team_id AS team_id, home_goals AS goals_for, away_goals AS goals_against FROM done
+         UNION ALL SELECT competition, season, matchweek, status, away_team_id, away_goals, home_goals FROM done),
+cm2 AS (SELECT *, CASE WHEN goals_for > goals_against THEN 'W' WHEN goals_for = goals_against THEN 'D' ELSE 'L' END AS outcome
+        FROM fan2 WHERE status = 'finished' AND goals_for IS NOT NULL AND goals_against IS NOT NULL),
+club_names AS (SELECT c.id, t.name FROM clubs c JOIN teams0 t USING (external_id))""" + _AFTER + "\nSELECT * FROM ph")
 ORACLES["ingest_quarantine"] = with_base(_WINDOW + "\nSELECT * FROM refusals")
 ORACLES["ingest_report"] = with_base(UPSERT_CTES + _WINDOW + """
 SELECT 'backfill' AS window,

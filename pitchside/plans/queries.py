@@ -181,7 +181,8 @@ def position_history(spark, sf_dir):
 
 @query
 def table_at_week(spark, sf_dir):
-    return hi.table_at_week(position_history(spark, sf_dir), HISTORY_WEEK)
+    lg = league(spark, sf_dir)
+    return hi.position_at_week(lg.matches, lg.teams, HISTORY_WEEK)
 
 
 @query
@@ -376,6 +377,16 @@ def ingest_stream(spark, sf_dir):
     return matches
 
 
+@query
+def history_after_ingest(spark, sf_dir):
+    """P1 maintained over the window ingest: only weeks that it changed are made anew."""
+    d, res = dl.landed(spark, sf_dir), dl.window_ingest(spark, sf_dir)
+    before = hi.position_history(d.stored_matches, d.stored_teams)
+    scope = up.in_partitions(res.matches, res.partitions, dl.BUCKETS)
+    changed = hi.first_changed_weeks(d.stored_matches.filter(scope), res.matches.filter(scope))
+    return hi.refresh_history(before, res.matches, res.teams, changed)
+
+
 @query
 def ingest_season(spark, sf_dir):
     return dl.season_ingest(spark, sf_dir).matches

@@ -32,8 +32,8 @@ def bucket_of(competition: Column, buckets: int = BUCKETS) -> Column:
 
 
 def write_matches(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write rows into ``path``, which must be new. Range partitioning spreads a
-    hot season or competition over many writers; each writer holds few folders.
+    """Write rows into ``path``, which must be new. The rows are dealt by directory;
+    adaptive execution splits a hot one over many writers and merges small ones.
 
     ``buckets=0`` is the read-optimised layout of a table that is built once
     and never rewritten in part (season folders only, fewer files).
@@ -42,8 +42,7 @@ def write_matches(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None
     df = matches.select(MATCH_COLUMNS)
     if buckets:
         df = df.withColumn("bucket", bucket_of(F.col("competition"), buckets))
-    (df.repartitionByRange(*parts, "competition", "kicks_off_at")
-     .sortWithinPartitions(*parts, *MATCH_ORDER)
+    (df.hint("rebalance", *parts).sortWithinPartitions(*parts, *MATCH_ORDER)
      .write.mode("errorifexists").partitionBy(*parts).parquet(path))
 
 

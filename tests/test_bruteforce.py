@@ -140,3 +140,50 @@ def test_position_history(league):
     got = {(r.competition, r.season, r.team_id, r.matchweek): (r.position, r.points, r.goal_difference)
            for r in position_history(m, t).collect()}
     assert got == hist
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_history_is_maintained(spark, seed):
+    """After results, cancellations, moves and new matches the maintained history
+    equals the whole one, delivery after delivery."""
+    from pyspark.sql import functions as F
+
+    from pitchside.operators.history import first_changed_weeks, refresh_history
+
+    teams, rows = make_league(seed)
+    rnd = random.Random(seed)
+    t = enrich_teams(spark.createDataFrame(teams, TEAMS))
+    frame = lambda r: with_matchweeks(spark.createDataFrame(r, MATCHES)).cache()
+    state = frame(rows)
+    history = position_history(state, t).cache()
+    for step in range(3):
+        new = []
+        for m in rows:
+            m = list(m)
+            late = m[5] > dt.datetime(m[3], 9, 20)
+            if rnd.random() < (0.05 if step == 0 else 0.02) and (late or step):
+                kind = rnd.choice(["score", "off", "on", "moved", "league"])
+                if kind == "score":
+                    m[6], m[9], m[10] = "finished", rnd.randint(0, 3), rnd.randint(0, 3)
+                elif kind == "off":
+                    m[6], m[9], m[10] = rnd.choice(["postponed", "cancelled"]), None, None
+                elif kind == "on":
+                    m[6], m[9], m[10] = "finished", 2, 1
+                elif kind == "moved":
+                    m[5] += dt.timedelta(days=9)
+                else:
+                    m[3] = 2049 - m[3]
+            new.append(tuple(m))
+        if step == 1:                       # the end of a league is taken away
+            new = [m for m in new if not (m[2] == "c0" and m[5] > dt.datetime(m[3], 9, 25))]
+        if step == 2:
+            new += [(10_000 + i, f"n-{i}", "c1", 2024, None, dt.datetime(2024, 12, 1) + dt.timedelta(days=i), "finished", 7 + i % 3, 10 + i % 3,
+                     i % 3, 1, None, None, dt.datetime(2024, 12, 1)) for i in range(9)]
+        after = frame(new)
+        changed = first_changed_weeks(state, after)
+        got = refresh_history(history, after, t, changed)
+        want = position_history(after, t)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        firsts = {(r.competition, r.season): r["first"] for r in changed.collect()}
+        assert step or any(f is not None and f > 3 for f in firsts.values())     # early weeks were left alone
+        rows, state, history = new, after, want.cache()

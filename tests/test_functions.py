@@ -61,3 +61,36 @@ def test_view_params():
     assert parse_view_params({"season": ["2001", "2002"]}).season == 2001
     assert resolve_sort(("nonsense", "desc")) == ("position", False)
     assert resolve_sort(None) == ("position", True)
+
+
+def test_colour_ladder_equals_step_by_step(spark):
+    """F5 by halving gives the colour of stepping until the contrast is reached."""
+    import random
+
+    from pitchside.functions import colour as co
+
+    def step_by_step(h, ground):
+        gl = co._py_lum(ground)
+        c = [float(int(h[i:i + 2], 16)) for i in (0, 2, 4)]
+
+        def lum(v):
+            s = [x / 255.0 for x in v]
+            s = [x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in s]
+            return 0.2126 * s[0] + 0.7152 * s[1] + 0.0722 * s[2]
+
+        for _ in range(40):
+            a = lum(c)
+            if (max(a, gl) + 0.05) / (min(a, gl) + 0.05) >= 3.0:
+                break
+            c = [0.95 * x for x in c] if gl > 0.5 else [x + (255.0 - x) * 0.08 for x in c]
+        return "".join(f"{max(0, min(255, int(x + 0.5))):02x}" for x in c)
+
+    rnd = random.Random(0)
+    colours = [f"{rnd.randrange(1 << 24):06x}" for _ in range(20_000)] + ["ffffff", "000000", "ffff00", "0000ff", "fefefe", "777777"]
+    df = co.club_colour_pair(spark.createDataFrame([(c, None) for c in colours], "primary_color string, secondary_color string"))
+    seen = set()
+    for r in df.select("primary_color", "light", "dark").collect():
+        for ground, got in ((co.GROUND_LIGHT, r.light), (co.GROUND_DARK, r.dark)):
+            seen.add(got.source)
+            assert got.hex == step_by_step(r.primary_color, ground), (r.primary_color, ground)
+    assert seen == {"primary", "adjusted-primary"}
