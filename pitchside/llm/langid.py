@@ -17,15 +17,15 @@ Fitting, on the rows with a label that are not held out:
 
 Rejection is by distance, by bands of text length (powers of two of the number
 of different trigrams: a word repeated is a short text), since a cosine grows
-with length, that of junk too: a text is
-rejected if its cosine is below a share of the 0.1 % quantile of the cosines of
-training rows of its language and band: three quarters from 256 trigrams on, a
-half from 32. A band with fewer than ``ENOUGH`` rows takes those of the bands
-next to it; where the language has too few, all languages count (the lower floor
-holds). Shorter texts, and all texts where these are too few as well, have a
-quarter of the quantile of all the language's rows, so single words stay; texts
-without letters are rejected and ``und``. Junk that is as near to a language as
-the texts it learned from (hex strings on sf0.1) stays.
+with length, that of junk too. From 32 trigrams on a text is rejected if its
+cosine is below a share (three quarters from 256 trigrams on, a half below) of the
+0.1 % quantile of the cosines of training rows of its language and band. A band
+with fewer than ``ENOUGH`` rows takes those of the bands next to it; where the
+language has too few, all languages count (the lower floor holds). Shorter texts,
+and all texts where these are too few as well, are rejected only if they have
+nothing in common with any language (cosine 0), so single words stay, however few
+rows were learned from; texts without letters are rejected and ``und``. Junk that is
+as near to a language as the texts it learned from (hex strings on sf0.1) stays.
 
 The model is ``DIM`` floats a centroid, whatever the corpus; it is bounded by
 the number of distinct labels and broadcast. Text is the only input of a
@@ -54,10 +54,12 @@ ship(__name__)
 
 DIM, CLUSTERS, SAMPLE, ROUNDS = 4096, 3, 400, 8
 QUANTILE, BINS = 0.001, 1000
-#: Share of the quantile that is the floor: of short, middle and long texts.
-LENIENT, MIDDLE, SLACK = 0.25, 0.5, 0.75
+#: Share of the quantile that is the floor: of middle and of long texts; the floor of short ones.
+MIDDLE, SLACK, NOTHING = 0.5, 0.75, 1e-9
 #: Bands of length; the first of middle and of long texts; rows that a band needs.
 BANDS, SHORT, LONG, ENOUGH = DIM.bit_length(), 5, 8, 200
+#: Parts of a language's draws that are cut to the least ones before they meet.
+PARTS = 16
 UND = "und"
 
 
@@ -215,7 +217,7 @@ def floors(seen: np.ndarray) -> np.ndarray:
             elif b >= SHORT and all_.sum() >= ENOUGH:
                 out[i, b] = slack * min(quantile(x) for x in (mine, all_) if x.any())
             else:
-                out[i, b] = LENIENT * quantile(own.sum(axis=0))
+                out[i, b] = NOTHING
     return out
 
 
@@ -235,9 +237,10 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
     if not rows:
         return Model([], np.zeros((0, DIM), "f4"), idf, np.zeros((0, BANDS)))
     # of each language the texts with the least hashes, copies once: as many as it has, up to the bound
-    first = Window.partitionBy("lang").orderBy("draw")
-    least = (found.filter("draw is not null").select("lang", "draw").distinct()
-             .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample).select("lang", "draw"))
+    least = found.filter("draw is not null").select("lang", "draw").distinct()
+    for keys in (["lang", F.pmod("draw", F.lit(PARTS))], ["lang"]):      # a language's draws meet in parts first
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))
+        least = least.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("lang", "draw")
     picked = (train.select("text", "lang", draw).join(F.broadcast(least), ["lang", "draw"])
               .groupBy("lang", "draw").agg(F.min("text").alias("text"))
               .select("lang", "text").mapInArrow(_sampled(idf), "lang string, at binary, value binary"))

@@ -65,6 +65,22 @@ def test_long_junk_is_rejected(spark):
     assert not any(r.rejected for r in said if len(r.text.split()) == 1)
 
 
+def test_no_single_word_is_rejected_at_any_size(spark):
+    """What is kept does not depend on how much there is to learn from."""
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang")
+        out = langid.predict(docs, langid.fit(docs)).collect()
+        assert not any(r.rejected for r in out if r.text and len(r.text.split()) == 1 and any(c.isalpha() for c in r.text)), sf
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"the and of thing {i}", "en", "x", 7.0, 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, rejected int")
+    out = langid.predict(docs, langid.fit(docs))
+    assert sorted(out.columns) == sorted(docs.columns) and {r.lang_pred for r in out.collect()} == {"en"}
+    assert langid.predictions(docs).count() == 30
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in langid.predictions(docs).collect()] == [("und", True)]
