@@ -10,7 +10,8 @@ Reading. An archive is read as a stream: records are recognised by their
 (record, chunk number) with at most ``CHUNK`` payload bytes each. Every row
 carries the SHA-1 of the payload up to its end, carried on from the chunk
 before; the last row of a record has the digest of all of it. No task ever
-holds a whole payload or archive.
+holds a whole payload or archive. The chunk table is written, with its data, and
+what is said of a record comes from its last row there.
 
 Revisits. Of pages with equal payloads (equal SHA-1 and length) of at least
 ``MIN_REVISIT`` bytes, the one with the largest id is written as ``response``,
@@ -47,7 +48,7 @@ MIN_REVISIT, ARCHIVE_BYTES, CHUNK, PIECE = 1000, 256 << 20, 1 << 20, 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
 CHUNKS = ("path string, record long, record_id string, record_type string, page_id long, target_uri string, refers_to string, "
-          "payload_digest string, chunk long, start long, data binary, sha1 string, last boolean")
+          "payload_digest string, chunk long, start long, size long, data binary, sha1 string, last boolean")
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -218,17 +219,17 @@ def chunks_of(raw, chunk: int = CHUNK) -> Iterator[dict]:
                 parts.append(data)
                 size, left = size + len(data), left - len(data)
                 sha1.update(data)
-            yield row | {"chunk": k, "start": at, "data": b"".join(parts), "sha1": sha1.hexdigest(), "last": not left}
+            yield row | {"chunk": k, "start": at, "size": size, "data": b"".join(parts), "sha1": sha1.hexdigest(), "last": not left}
             at, k = at + size, k + 1
             if not left:
                 break
         n += 1
 
 
-def _read(chunk: int, data: bool):
+def _read(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in CHUNKS.split(", ")]
-        kinds = {"record": pa.int64(), "page_id": pa.int64(), "chunk": pa.int64(), "start": pa.int64(), "data": pa.binary(),
+        kinds = {"record": pa.int64(), "page_id": pa.int64(), "chunk": pa.int64(), "start": pa.int64(), "size": pa.int64(), "data": pa.binary(),
                  "last": pa.bool_()}
 
         def out(rows):
@@ -240,12 +241,8 @@ def _read(chunk: int, data: bool):
                 fs, at = open_fs(path)
                 with fs.open_input_stream(at, compression=None) as raw:
                     for row in chunks_of(raw, chunk):
-                        end = row["start"] + len(row["data"])
-                        row["path"] = path
-                        row["data"] = row["data"] if data else None
-                        row["start"] = row["start"] if data else end
-                        rows.append(row)
-                        size += len(row["data"] or b"") + 300
+                        rows.append(row | {"path": path})
+                        size += row["size"] + 300
                         if size >= 8 << 20:
                             yield out(rows)
                             rows, size = [], 0
@@ -253,21 +250,19 @@ def _read(chunk: int, data: bool):
     return run
 
 
-def read(manifest: DataFrame, chunk: int = CHUNK, data: bool = True) -> DataFrame:
-    """The chunked record table of the archives in ``manifest`` (column
-    ``path``). Without ``data`` the bytes stay in the task, and ``start`` is the
-    end of the chunk."""
+def read(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table of the archives in ``manifest`` (column ``path``)."""
     files = manifest.select("path")
-    return files.repartition(max(1, files.count())).mapInArrow(_read(chunk, data), CHUNKS)
+    return files.repartition(max(1, files.count())).mapInArrow(_read(chunk), CHUNKS)
 
 
-def records(manifest: DataFrame) -> DataFrame:
-    """One row per record, from the last chunks: ``record_type``, ``page_id``,
-    ``payload_bytes`` and ``payload_digest`` of the full payload and ``refers_to``
-    (a page id). A revisit's size is that of the response it refers to, whose
-    digest must be its own."""
-    ends = written(read(manifest, data=False).filter("last").select(
-        "record_id", "record_type", "page_id", "refers_to", "payload_digest", F.col("start").alias("bytes"), "sha1"), "op4-ends")
+def records(chunks: DataFrame) -> DataFrame:
+    """One row per record, from the last rows of a written chunk table:
+    ``record_type``, ``page_id``, ``payload_bytes`` and ``payload_digest`` of the
+    full payload and ``refers_to`` (a page id). A revisit's size is that of the
+    response it refers to, whose digest must be its own."""
+    ends = chunks.filter("last").select("record_id", "record_type", "page_id", "refers_to", "payload_digest",
+                                        (F.col("start") + F.col("size")).alias("bytes"), "sha1")
     wrong = (F.col("record_type") == "response") & (F.col("sha1") != F.col("payload_digest"))
     ends = ends.withColumn("sha1", F.when(wrong, F.raise_error(F.lit("a payload does not have its digest"))).otherwise(F.col("sha1")))
     own = ends.filter(F.col("record_type") == "response").select(
@@ -289,4 +284,4 @@ def records(manifest: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write the pages, read the archives back: the contract's columns."""
     manifest = write(pages, fresh_path(spark, "op4-archives"))
-    return records(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records(written(read(manifest), "op4-chunks")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

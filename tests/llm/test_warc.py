@@ -34,7 +34,7 @@ def test_round_trip_and_revisits(spark):
     texts = {(r.page_id, bytes(payload[r.path, r.record])) for r in chunks if r.record_type == "response"}
     leader = {big: 5, trap: 9, "q" * 3_000_000: 23}
     assert texts == {(p, (t or "").encode()) for p, _, t in rows if t not in leader or leader[t] == p}
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.records(manifest).collect()), key=str)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.records(warc.read(manifest)).collect()), key=str)
     want = [(p, len((t or "").encode()), digest(t), "revisit" if t in leader and leader[t] != p else "response",
              leader[t] if t in leader and leader[t] != p else None) for p, _, t in rows]
     assert got == sorted(want, key=str)
@@ -45,7 +45,7 @@ def test_a_lost_attempt_is_not_read(spark):
     root = fresh_path(spark, "w")
     manifest = warc.write(pages, root)
     warc.write(pages, root)                                   # a second run in the same folder
-    assert warc.records(manifest).count() == 1
+    assert warc.records(warc.read(manifest)).count() == 1
 
 
 def test_empty_table_and_broken_files(spark):
@@ -56,3 +56,24 @@ def test_empty_table_and_broken_files(spark):
         list(warc.chunks_of(io.BytesIO(good[:-6])))
     with pytest.raises(ValueError):
         list(warc.chunks_of(io.BytesIO(b"not a record\r\n" + good)))
+
+
+def test_a_payload_is_never_held_whole():
+    """Reading takes a few chunks of memory, however large the payload."""
+    import gzip
+    import tracemalloc
+
+    size = 40_000_000
+    payload = bytes(size)
+    raw = gzip.compress(warc.head("response", 1, "u", hashlib.sha1(payload).hexdigest(), size, None, "2024-01-01T00:00:00Z")
+                        + payload + b"\r\n\r\n", 1)
+    want = hashlib.sha1(payload).hexdigest()
+    del payload
+    tracemalloc.start()
+    n = 0
+    for row in warc.chunks_of(io.BytesIO(raw), 100_000):
+        n += row["size"]
+        assert len(row["data"]) == row["size"] <= 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == size and row["last"] and row["sha1"] == want and peak < 5_000_000
