@@ -99,7 +99,7 @@ class Rollup:
         folder = f"batches/{batch}-{uuid.uuid4().hex[:12]}"
         sums = rows.groupBy(*GROUP).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"),
                                         F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0)).coalesce(1).write.parquet(f"{self.root}/{folder}")
+        sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0)).repartition(1).write.parquet(f"{self.root}/{folder}")
         return files.create_new(self.spark, marker, json.dumps({"batch": batch, "folder": folder}))
 
     def _base(self) -> dict:
@@ -131,7 +131,7 @@ class Rollup:
         base = self._base()
         pending = self._pending(base)
         folder = f"bases/{base['n'] + 1:09d}-{uuid.uuid4().hex[:12]}"
-        self._tables(base, pending).coalesce(1).write.parquet(f"{self.root}/{folder}")
+        self._tables(base, pending).repartition(1).write.parquet(f"{self.root}/{folder}")
         text = json.dumps({"n": base["n"] + 1, "folder": folder, "batches": base["batches"] + [p["batch"] for p in pending]})
         return files.create_new(self.spark, f"{self.root}/bases/{base['n'] + 1:09d}.json", text)
 
