@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchside.functions.feed import normalize_hex
+
 # Fixed values that must equal the reference's.
 GROUND_LIGHT = "f4f2ed"
 GROUND_DARK = "14161a"
@@ -30,12 +32,6 @@ def _py_lum(hexstr: str) -> float:
     return 0.2126 * ch(r) + 0.7152 * ch(g) + 0.0722 * ch(b)
 
 
-def clean_hex(raw: Column) -> Column:
-    """Same acceptance rule as the feed's colour normaliser."""
-    h = F.lower(F.regexp_replace(F.trim(raw), "^#", ""))
-    return F.when(h.rlike("^[0-9a-f]{6}$"), h)
-
-
 def rgb_of(h: Column) -> Column:
     """six clean hex digits -> struct(r, g, b) as doubles; null stays null."""
     part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("double")
@@ -116,7 +112,7 @@ def resolve_colours(df: DataFrame, primary: str, secondary: str, ground_hex: str
     fl = _py_lum(fallback)
     fallback_ratio = (max(fl, gl) + 0.05) / (min(fl, gl) + 0.05)
     keep = df.columns
-    t = df.select("*", clean_hex(F.col(primary)).alias("_ph"), clean_hex(F.col(secondary)).alias("_sh"))
+    t = df.select("*", normalize_hex(F.col(primary)).alias("_ph"), normalize_hex(F.col(secondary)).alias("_sh"))
     t = t.select(*keep, rgb_of(F.col("_ph")).alias("_p"), rgb_of(F.col("_sh")).alias("_s"))
     p, s = F.col("_p"), F.col("_s")
     p_achro = F.when(p.isNull(), F.lit(True)).otherwise(is_achromatic(p))

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 _DIACRITIC = regex.compile(r"\p{Diacritic}")
 
-# The UDF's code travels with the task (by value), so Python workers need
-# neither this package on their path nor an install step on the executors.
+# The UDF's code travels with the task (by value): Python workers need pandas
+# and regex, but not this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 

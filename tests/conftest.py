@@ -25,7 +25,8 @@ def spark():
     yield s
 
 
-# Hand-made league: every value computable by hand (FIXTURES.md §1).
+# Clubs, fixtures and scores of the public test league, every
+# statistic of which can be computed by hand (FIXTURES.md §1).
 CLUBS = ["Ashford", "Brantley", "Colwyn", "Denham", "Eastvale"]
 FIXTURE = [  # home, away, home goals, away goals, kickoff, status, season
     ("Ashford", "Brantley", 1, 0, "2025-08-01 14:00", "finished", 2025),
