@@ -84,7 +84,7 @@ def test_one_shared_shingle(spark):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    assert jf.prefix_length(0.8, 12, 6, 0.999) == 3
+    assert jf.prefix_length(0.8, 12, 6, 0.999) == 3 and jf.prefix_length(0.8, 16, 6, 0.999) == 4
     assert jf.prefix_length(0.8, 12, 6, 0.1) == 6
     assert jf.prefix_length(0.8, 2, 6, 0.9999) == 1
 
