@@ -1,34 +1,42 @@
 """Operator 2: licence scan by sentence rules.
 
+Known sentences (``sentence_id``, ``sentence``) and ordered rules (``rule_id``,
+``licence``, ``place``, ``sentence_id``) are tables of any size; ``learn`` makes
+both from whole licence texts.
+
 A text is cut into sentences; a sentence is normalised (A-Z lower case, every
-run of other characters than a-z and 0-9 one space) and looked up among known
-licence sentences. What was found becomes a string with one character per
-sentence: the identifier of a known sentence, ``_`` for any other. Ordered
-rules are sequences of identifiers, with at most ``gap`` unknown sentences
-between them; they are matched left to right without overlap, the longest rule
-first where several begin at the same place. A known sentence outside a rule's
-order licenses nothing.
+run of other characters than a-z and 0-9 one space) and joined with the known
+ones, which are normalised alike. A rule matches where its sentences follow one
+another in order, with no other known sentence and at most ``gap`` unknown ones
+between two of them. Matches are taken left to right without overlap, the
+longest first where several begin at the same place. A known sentence outside a
+rule's order licenses nothing.
 
 Sentences end at ``. ! ? ; :`` before white space. Licence notes often stand on
 a line of their own without a full stop before them, while licence texts are
 wrapped; so every text is read twice: with a line end as a sentence end, and
 with a line end as a space. The licences of both readings count.
 
-DataFrame functions only, inside the row: no shuffle, no Python. The sentence
-table and the rules are fixed and small, and part of the plan.
+DataFrame functions only. The sentences of the corpus are joined where they are
+if the known ones are small enough for the planner to broadcast, and by a shuffle
+of sentences otherwise; only known sentences go on. They meet per text (a digest
+of it, so copies are one), are matched with the rules by their first sentence,
+and the texts' results are joined to the rows.
 
 Defined results: a null or empty text has no sentences and no licence; repeated
-sentences match repeatedly and name their licence once; ties go to the rule
-that is listed first; rows stay as many as they were; an empty table gives an
-empty result; other columns pass through unless they have a result's name.
+sentences match repeatedly and name their licence once; equal rules go to the
+least ``rule_id``; known sentences with one normal form are one sentence, a
+sentence or rule without letters or digits in all its sentences is never found;
+rows stay as many as they were; an empty table of documents, sentences or rules
+gives no licence; other columns pass through unless they have a result's name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm.decontaminate import lowered
+from pitchside.llm.common import salted_left_join, written
 
 GAP = 2
 
@@ -123,35 +131,120 @@ def patterns(rules: list[tuple[str, list[str]]], sentences: dict[str, str], gap:
     return "|".join(between.join(code[s] for s in sequence) for _, sequence in ordered), licence
 
 
-def _sequence(text: Column, line_end: str, sentences: dict[str, str]) -> Column:
-    """The string of sentence characters of a text."""
-    cut = F.regexp_replace(lowered(text), r"[.!?;:][ \t\r\n]+", "\x01")
-    if line_end == "\x01":
-        cut = F.translate(cut, "\n", "\x01")
-    parts = F.split(F.regexp_replace(cut, "[^a-z0-9\x01]+", " "), " ?\x01 ?")
-    known = F.create_map(*[F.lit(x) for name, text_ in sentences.items() for x in (normal(text_), codes(sentences)[name])])
-    return F.array_join(F.transform(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != ""),
-                                    lambda s: F.coalesce(F.try_element_at(known, s), F.lit("_"))), "")
-
-
-def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None,
-         rules: list[tuple[str, list[str]]] | None = None, gap: int = GAP) -> DataFrame:
-    """``docs`` with ``sequences`` (one per reading), ``matches`` (the licences
-    in the order they were found, per reading), ``licences`` (sorted, distinct)
-    and ``n_known`` (known sentences, of the reading that has more)."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    pattern, licence = patterns(rules, sentences, gap)
-    named = F.create_map(*[F.lit(x) for pair in licence.items() for x in pair])
-    found = lambda s: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)),
-                                  lambda m: F.try_element_at(named, F.translate(m, "_", "")))
+def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The fixed sentences and rules above as tables."""
+    sentences = spark.createDataFrame(list(SENTENCES.items()), "sentence_id string, sentence string")
+    rules = [(r, licence, place, s) for r, (licence, names) in enumerate(RULES) for place, s in enumerate(names)]
+    return sentences, spark.createDataFrame(rules, "rule_id long, licence string, place int, sentence_id string")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02", "abcdefghijklmnopqrstuvwxyz  "
+
+
+def _readings(text: Column) -> Column:
+    """``reading`` (0: line ends end sentences, 1: they are spaces), ``pos`` and
+    ``norm`` of the sentences that have a letter or digit. \\x01 marks a sentence's
+    end and \\x02 a line's; white space after a full stop is part of its end."""
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    marked = F.translate(F.regexp_replace(low, r"[.!?;:][ \t\r\n]+", "\x01"), "\n", "\x02")
+    plain = F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " ")
+    lines = F.split(plain, " ?[\x01\x02][\x01\x02 ]*")
+    wrapped = F.split(F.regexp_replace(plain, "[ \x02]+", " "), " ?\x01[\x01 ]*")
+
+    def numbered(parts: Column, reading: int) -> Column:
+        full = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+        return F.transform(full, lambda s, i: F.struct(F.lit(reading).alias("reading"), i.alias("pos"), s.alias("norm")))
+
+    return F.concat(numbered(lines, 0), numbered(wrapped, 1))
+
+
+def _normal(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+
+
+def learn(texts: DataFrame, licence: str = "licence", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Sentences and rules from whole licence texts: every different sentence of
+    the wrapped reading is a known one, and a text's sequence is its licence's
+    rule. Copies of a text are one rule."""
+    rows = texts.select(F.col(licence).alias("licence"), F.col(text).alias("text")).filter("licence is not null").distinct()
+    said = rows.select("licence", F.xxhash64("licence", "text").alias("rule_id"), F.inline(_readings(F.col("text"))))
+    said = said.filter("reading = 1").withColumn("sentence_id", F.md5("norm"))
+    return (said.select("sentence_id", F.col("norm").alias("sentence")).distinct(),
+            said.select("rule_id", "licence", F.col("pos").alias("place"), "sentence_id"))
+
+
+def _known(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``norm, s`` of the different sentences, and ``sentence_id, s`` of all names."""
+    names = sentences.select("sentence_id", _normal(F.col("sentence")).alias("norm")).filter("norm <> ''")
+    names = names.withColumn("s", F.xxhash64("norm"))
+    return names.select("norm", "s").distinct(), names.select("sentence_id", "s").distinct()
+
+
+def _sequences(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """``first, sequence, licence, rule_id, size`` of the rules whose sentences are all known."""
+    whole = rules.join(names, "sentence_id", "left").groupBy("rule_id", "licence").agg(
+        F.sort_array(F.collect_list(F.struct("place", "s"))).alias("parts"))
+    whole = whole.filter(~F.exists("parts", lambda p: p["s"].isNull())).withColumn("sequence", F.col("parts.s"))
+    one = whole.groupBy("sequence").agg(F.min(F.struct("rule_id", "licence")).alias("rule"))
+    return one.select("sequence", "rule.*", F.get("sequence", F.lit(0)).alias("first"), F.size("sequence").alias("size"))
+
+
+def matches(docs: DataFrame, sentences: DataFrame, rules: DataFrame, text: str = "text", gap: int = GAP) -> DataFrame:
+    """One row per reading of a text with a known sentence: ``k`` (digest of the
+    text), ``reading``, ``n_known`` and ``found``, the matches of all rules by place:
+    ``at`` (number of the first among the known sentences), ``size`` (negative),
+    ``rule_id``, ``licence``, ``pos`` and ``last`` (sentence numbers)."""
+    norms, names = _known(sentences)
+    rules = written(_sequences(rules, names), "op2-rules")
+    longest = rules.agg(F.max("size")).first()[0] or 1
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_lines": _sequence(whole, "\x01", sentences), "_wrapped": _sequence(whole, " ", sentences)})
-    out = out.withColumn("sequences", F.array("_lines", "_wrapped"))
-    out = out.withColumn("matches", F.transform("sequences", found))
-    return out.withColumns({
-        "licences": F.array_sort(F.array_distinct(F.flatten("matches"))),
-        "n_known": F.greatest(*[F.char_length(F.translate(c, "_", "")) for c in ("_lines", "_wrapped")]).cast("long"),
-    }).drop("_lines", "_wrapped")
+    said = docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("k"), F.inline(_readings(whole)))
+    hits = written(said.join(norms, "norm").select("k", "reading", "pos", "s"), "op2-hits")
+    seq = hits.groupBy("k", "reading").agg(F.sort_array(F.collect_set(F.struct("pos", "s"))).alias("hits"))
+    seq = written(seq.withColumn("n_known", F.size("hits").cast("long")), "op2-sequences")
+    # from every known sentence on, as many as the longest rule has
+    begun = seq.select("k", "reading", F.posexplode(F.transform("hits", lambda _, i: F.slice("hits", i + 1, F.lit(longest)))).alias("at", "ahead"))
+    begun = begun.join(rules, F.get("ahead.s", F.lit(0)) == F.col("first"))
+    begun = begun.filter(F.slice("ahead.s", F.lit(1), F.col("size")) == F.col("sequence"))
+    span = F.slice("ahead.pos", F.lit(1), F.col("size"))
+    close = F.forall(F.zip_with(F.slice(span, F.lit(2), F.lit(longest)), F.slice(span, F.lit(1), F.col("size") - 1), lambda b, a: b - a - 1 <= gap),
+                     lambda x: x)
+    found = begun.filter(close).groupBy("k", "reading").agg(F.sort_array(F.collect_set(F.struct(
+        "at", (-F.col("size")).alias("size"), "rule_id", "licence", F.get(span, F.lit(0)).alias("pos"),
+        F.element_at(span, -1).alias("last")))).alias("found"))
+    return seq.select("k", "reading", "n_known").join(found, ["k", "reading"], "left")
+
+
+def _taken(found: Column) -> Column:
+    """Matches without overlap: their number ``n`` and the different ``names``."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("names"))
+
+    def take(acc: Column, m: Column) -> Column:
+        more = F.struct((m["at"] - m["size"]).alias("end"), (acc["n"] + 1).alias("n"),
+                        F.array_union(acc["names"], F.array(m["licence"])).alias("names"))
+        return F.when(m["at"] >= acc["end"], more).otherwise(acc)
+
+    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<at:int,size:int,rule_id:bigint,licence:string,pos:int,last:int>>")),
+                       start, take)
+
+
+def scan(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None, text: str = "text",
+         gap: int = GAP) -> DataFrame:
+    """``docs`` with ``licences`` (sorted, distinct, of both readings), ``n_matches``
+    and ``n_known`` (matches and known sentences, of the reading that has more)."""
+    if sentences is None or rules is None:
+        sentences, rules = tables(docs.sparkSession)
+    read = matches(docs, sentences, rules, text, gap).withColumn("taken", _taken(F.col("found")))
+    result = written(read.groupBy("k").agg(
+        F.max("n_known").alias("n_known"), F.max("taken.n").alias("n_matches"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("taken.names")))).alias("licences")), "op2-results")
+    results = ["licences", "n_matches", "n_known"]
+    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("k"), F.struct("*").alias("row"),
+                       F.monotonically_increasing_id().alias("n"))
+    out = salted_left_join(rows, result, ["k"], ["n"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in results],
+                      F.coalesce("licences", F.array().cast("array<string>")).alias("licences"),
+                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in results[1:]])
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -161,7 +254,8 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, from the same fixed values."""
+    """DuckDB's SQL from the same fixed values, by other means: a character per
+    sentence, and one regular expression over all rules, instead of joins."""
     pattern, licence = patterns(RULES, SENTENCES, GAP)
     quoted = lambda pairs: "map {" + ", ".join(f"'{a}': '{b}'" for a, b in pairs) + "}"
     known = quoted((normal(t), codes(SENTENCES)[n]) for n, t in SENTENCES.items())
