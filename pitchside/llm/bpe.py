@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchside.llm.common import ship, task_state
+from pitchside.llm.common import free_name, ship, task_state
 
 ship(__name__)
 
@@ -287,8 +287,9 @@ class ByteBPE:
 
         kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
         pair = self._udf(both, kind, None)
-        made = docs.withColumn("_pair", pair(F.col(text)))
-        return made.withColumns({ids: F.col("_pair.ids"), out: F.col("_pair.decoded")}).drop("_pair")
+        both_at = free_name(docs, "_pair")
+        made = docs.withColumn(both_at, pair(F.col(text)))
+        return made.withColumns({ids: F.col(f"{both_at}.ids"), out: F.col(f"{both_at}.decoded")}).drop(both_at)
 
     def _udf(self, each, kind: T.DataType, arrow: pa.DataType | None):
         name, ranks, pattern = self.name, self.ranks, self.pattern

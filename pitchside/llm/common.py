@@ -53,6 +53,12 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name + "_" * i for i in itertools.count()) if x.lower() not in taken)
+
+
 def doc_key(id_col: Column, text: Column) -> list[Column]:
     """``_d`` and ``_t``: the identity of a row for joins, never null. Rows
     that share an id but not a text stay apart; equal rows share a key, and

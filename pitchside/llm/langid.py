@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import ship, task_state, written
+from pitchside.llm.common import free_name, ship, task_state, written
 
 ship(__name__)
 
@@ -287,8 +287,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     said = F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(F.col(text))
-    out = docs.withColumn("_said", said)
-    return out.withColumns({c: F.col(f"_said.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_said")
+    at = free_name(docs, "_said")
+    out = docs.withColumn(at, said)
+    return out.withColumns({c: F.col(f"{at}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(at)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

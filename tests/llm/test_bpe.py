@@ -74,6 +74,8 @@ def test_nulls_repeats_clashes_and_empty(spark, lib):
         assert bytes(r.text_) == (r.text or "").encode()
         assert np.frombuffer(bytes(r.ids_), "<u4").tolist() == lib.encode_ordinary(r.text or "")
     assert codec.encode(docs.limit(0)).count() == 0
+    named = docs.withColumn("_PAIR", docs.text)
+    assert all(r["_PAIR"] == r.text for r in codec.round_trip(named, ids="a", out="b").collect())
     both = codec.round_trip(docs, ids="a", out="b").collect()
     assert sorted((bytes(r.a), bytes(r.b)) for r in both) == sorted((bytes(r.ids_), bytes(r.text_)) for r in got)
 

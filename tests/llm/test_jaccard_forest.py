@@ -91,3 +91,61 @@ def test_prefix_is_shortened_to_the_recall():
 
 def test_empty_table(spark):
     assert jf.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_measured_recall():
+    assert jf.measured_recall(0, 0, 0.8, 16, 6) == pytest.approx(jf.shares_node(0.8, 16, 6))       # no evidence, no early end
+    assert jf.measured_recall(0, 0, 0.8, 16, 4) >= 0.999
+    assert jf.measured_recall(9999, 1, 0.8, 16, 5) >= 0.999 > jf.measured_recall(9999, 30, 0.8, 16, 5)
+
+
+def planted(pairs, changed, seed):
+    """Pairs of 94 words, of which the last ``changed`` differ: Jaccard (90 - c) / (90 + c)."""
+    rnd = random.Random(seed)
+    for _ in range(pairs):
+        w = [f"{rnd.getrandbits(40):x}" for _ in range(94 + changed)]
+        yield " ".join(w[:94]), " ".join(w[:94 - changed] + w[94:])
+
+
+def test_recall_by_band(spark):
+    """Production parameters on planted pairs; 0.8 exactly, 0.818, 0.856, 0.915, 0.978 and, below the threshold, 0.782."""
+    pairs = [(c, p) for c in (10, 9, 7, 4, 1, 11) for p in planted(300, c, c)]
+    docs = spark.createDataFrame([(2 * i + side, text) for i, (_, p) in enumerate(pairs) for side, text in enumerate(p)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in jf.classes(docs).collect()}
+    found = {}
+    for i, (c, _) in enumerate(pairs):
+        a, b = got[2 * i], got[2 * i + 1]
+        assert (a.n_links, b.n_links, b.class_id) in ((1, 1, 2 * i), (0, 0, 2 * i + 1))
+        found[c] = found.get(c, 0) + a.n_links
+    assert found[11] == 0 and all(found[c] >= 297 for c in (10, 9, 7, 4, 1))
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, monkeypatch):
+    depths, climb = [], jf.climb
+    monkeypatch.setattr(jf, "climb", lambda found, texts, d, *rest: depths.append(d) or climb(found, texts, d, *rest))
+    weak = spark.createDataFrame([(2 * i + s, t) for i, p in enumerate(planted(5, 10, 1)) for s, t in enumerate(p)], "doc_id long, text string")
+    jf.link(weak, recall=0.9).count()
+    assert depths == [6]                          # whole labels are enough for 0.9
+    depths.clear()
+    jf.link(weak, recall=0.999).count()
+    assert depths == [6, 5, 4]
+
+
+def test_long_text_and_blocks_by_shingles(spark):
+    rnd = random.Random(11)
+    long = [f"w{rnd.getrandbits(30)}" for _ in range(60_000)]
+    other = long[:30_000] + ["x"] * 40 + long[30_040:]
+    short = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(short)), (4, " ".join(short[:-1])), (5, " ".join(short[:-2]))]
+    got = jf.link(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=60).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {1: (1, 1), 2: (1, 1), 3: (3, 2), 4: (3, 2), 5: (3, 2)}
+
+
+def test_components_of_a_chain_of_rising_names(spark, monkeypatch):
+    rounds, written = [], jf.written
+    monkeypatch.setattr(jf, "written", lambda df, label: (label == "op7-to" and rounds.append(1)) or written(df, label))
+    edges = spark.createDataFrame([(i, 0, i + 1, 0) for i in range(60)] + [(100, 0, 101, 0)], "ra long, rb long, to_a long, to_b long")
+    got = {r.ra: r.to_a for r in jf.components(edges).collect()}
+    assert len({got[i] for i in range(61)}) == 1 and got[0] <= 60 and got[100] == got[101] and got[100] >= 100
+    assert len(rounds) <= 12

@@ -1,9 +1,13 @@
 """Operator 10 against the law, the round trip and direct checksums."""
 
+import hashlib
+import math
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pitchside.llm import sharding
@@ -52,3 +56,37 @@ def test_query(spark, sf_dir):
     got = REGISTRY["op10_sharding"](spark, sf_dir).collect()
     check(got, rows, 40)
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
+def xx(*values):
+    """Spark's xxhash64 of numbers: each value is hashed with the hash so far as seed."""
+    h = 42
+    for v, form in values:
+        h = xxhash.xxh64_intdigest(struct.pack(form, v), h)
+    return h - (h >> 63 << 64)
+
+
+def brute_place(v, n, seed=42):
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        x, y = divmod(v, b)
+        for i in range(8):
+            if i % 2 == 0:
+                x = (x + xx((y, "<q"), (i, "<i"), (seed, "<i"))) % a
+            else:
+                y = (y + xx((x, "<q"), (i, "<i"), (seed, "<i"))) % b
+        v = x * b + y
+        if v < n:
+            return v
+
+
+def test_places_by_a_second_computation(spark, sf_dir):
+    """Numbers by sorting digests, places by rounds on plain integers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(97)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5, None), (5, "")]
+    digest = lambda d, t: hashlib.md5(f"{d}:{t or ''}".encode()).hexdigest()
+    ordered = sorted(rows, key=lambda r: (digest(*r), r[0], r[1] is None))
+    want = [(d, zlib.crc32((t or "").encode()), n, *divmod(brute_place(n, len(rows)), 40)) for n, (d, t) in enumerate(ordered)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text_crc32, r.row_number, r.slot, r.shard) for r in got) == sorted(want)
