@@ -25,9 +25,9 @@ and the texts' results are joined to the rows.
 
 Defined results: a null or empty text has no sentences and no licence; repeated
 sentences match repeatedly and name their licence once; equal rules go to the
-least ``rule_id``; known sentences with one normal form are one sentence, a
-sentence or rule without letters or digits in all its sentences is never found;
-rows stay as many as they were; an empty table of documents, sentences or rules
+least ``rule_id``; known sentences with one normal form are one sentence; a
+sentence without a letter or digit is never found, nor is a rule that has such a
+one or names a sentence that is not in the table; rows stay as many as they were; an empty table of documents, sentences or rules
 gives no licence; other columns pass through unless they have a result's name.
 """
 
@@ -138,16 +138,19 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return sentences, spark.createDataFrame(rules, "rule_id long, licence string, place int, sentence_id string")
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02", "abcdefghijklmnopqrstuvwxyz  "
+def _plain(text: Column) -> Column:
+    """A text of words of a-z and 0-9 with one space between them; \\x01 marks a
+    sentence's end and \\x02 a line's. White space after a full stop is part of its end."""
+    own = F.coalesce(text, F.lit(""))
+    for mark in "\x01\x02":
+        own = F.replace(own, F.lit(mark), F.lit(" "))
+    marked = F.replace(F.regexp_replace(own, r"[.!?;:][ \t\r\n]+", "\x01"), F.lit("\n"), F.lit("\x02"))
+    return F.lower(F.regexp_replace(marked, "[^a-zA-Z0-9\x01\x02]+", " "))      # ASCII only by now
 
 
-def _readings(text: Column) -> Column:
+def _readings(plain: Column) -> Column:
     """``reading`` (0: line ends end sentences, 1: they are spaces), ``pos`` and
-    ``norm`` of the sentences that have a letter or digit. \\x01 marks a sentence's
-    end and \\x02 a line's; white space after a full stop is part of its end."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    marked = F.translate(F.regexp_replace(low, r"[.!?;:][ \t\r\n]+", "\x01"), "\n", "\x02")
-    plain = F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " ")
+    ``norm`` of the sentences that have a letter or digit."""
     lines = F.split(plain, " ?[\x01\x02][\x01\x02 ]*")
     wrapped = F.split(F.regexp_replace(plain, "[ \x02]+", " "), " ?\x01[\x01 ]*")
 
@@ -159,7 +162,7 @@ def _readings(text: Column) -> Column:
 
 
 def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+    return F.trim(F.lower(F.regexp_replace(sentence, "[^a-zA-Z0-9]+", " ")))
 
 
 def learn(texts: DataFrame, licence: str = "licence", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -167,7 +170,7 @@ def learn(texts: DataFrame, licence: str = "licence", text: str = "text") -> tup
     the wrapped reading is a known one, and a text's sequence is its licence's
     rule. Copies of a text are one rule."""
     rows = texts.select(F.col(licence).alias("licence"), F.col(text).alias("text")).filter("licence is not null").distinct()
-    said = rows.select("licence", F.xxhash64("licence", "text").alias("rule_id"), F.inline(_readings(F.col("text"))))
+    said = rows.select("licence", F.xxhash64("licence", "text").alias("rule_id"), F.inline(_readings(_plain(F.col("text")))))
     said = said.filter("reading = 1").withColumn("sentence_id", F.md5("norm"))
     return (said.select("sentence_id", F.col("norm").alias("sentence")).distinct(),
             said.select("rule_id", "licence", F.col("pos").alias("place"), "sentence_id"))
@@ -198,7 +201,9 @@ def matches(docs: DataFrame, sentences: DataFrame, rules: DataFrame, text: str =
     rules = written(_sequences(rules, names), "op2-rules")
     longest = rules.agg(F.max("size")).first()[0] or 1
     whole = F.coalesce(F.col(text), F.lit(""))
-    said = docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("k"), F.inline(_readings(whole)))
+    # the plain form is a column of its own, as a generator would compute it once a reading
+    said = docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("k"), _plain(whole).alias("plain"))
+    said = said.select("k", F.inline(_readings(F.col("plain"))))
     hits = written(said.join(norms, "norm").select("k", "reading", "pos", "s"), "op2-hits")
     seq = hits.groupBy("k", "reading").agg(F.sort_array(F.collect_set(F.struct("pos", "s"))).alias("hits"))
     seq = written(seq.withColumn("n_known", F.size("hits").cast("long")), "op2-sequences")
