@@ -63,6 +63,8 @@ TREES, DEPTH, RECALL = 16, 6, 0.999
 BAND = 0.05
 #: Words hashed together in a task; rows and shingles of a block.
 CHUNK_WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 200_000, 512, 500_000
+#: Pairs are few if they are fewer than this part of a group's square.
+FEW = 64
 #: Rows that leave a task together.
 OUT_ROWS = 4096
 MIX = 0xBF58476D1CE4E5B9
@@ -156,6 +158,18 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
+def overlaps(sets: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs ``asked`` for (a symmetric matrix):
+    pair by pair where they are few, and all at once by products otherwise."""
+    a, b = np.nonzero(np.triu(asked))
+    if len(a) > max(8, len(sets) ** 2 // FEW):
+        return intersections(sets)
+    out = np.zeros(asked.shape, "f4")
+    for x, y in zip(a, b):
+        out[x, y] = out[y, x] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+    return out
+
+
 def _components(linked: np.ndarray) -> np.ndarray:
     """Least connected index of each row of a symmetric matrix."""
     label = np.arange(len(linked))
@@ -228,7 +242,7 @@ def _verify(n: int, threshold: float, trees: int, levels: list[int]):
         texts = group["text"].cast(pa.binary()).to_pylist()
         sets = [np.unique(shingle_hashes(word_hashes(t.lower()), n)) for t in texts]
         size = np.array([len(s) for s in sets], "f8")
-        both = intersections(sets).astype("f8")
+        both = overlaps(sets, new).astype("f8")
         either = size[:, None] + size[None, :] - both
         linked = new & (both >= threshold * either - 1e-9)
         degree = linked.sum(axis=1)

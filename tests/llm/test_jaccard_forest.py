@@ -65,6 +65,17 @@ def test_intersections():
     assert got.tolist() == want
 
 
+@pytest.mark.parametrize("pairs", [1, 8, 9, 300])
+def test_overlaps_of_the_pairs_asked_for(pairs):
+    rng = np.random.default_rng(pairs)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype("u8") for _ in range(40)]
+    asked = np.zeros((40, 40), bool)
+    asked[tuple(rng.choice(40, (2, pairs)))] = True
+    asked = (asked | asked.T) & ~np.eye(40, dtype=bool)
+    got = jf.overlaps(sets, asked)
+    assert all(got[x, y] == len(np.intersect1d(sets[x], sets[y])) for x, y in zip(*np.nonzero(asked)))
+
+
 @pytest.mark.parametrize("shared", [0, 1, 31, 32, 33, 64, 65])
 def test_intersections_at_the_column_edges(shared):
     sets = [np.append(np.arange(shared), 1000 + own).astype("u8") for own in (0, 1)]
