@@ -204,6 +204,8 @@ def matches(docs: DataFrame, sentences: DataFrame, rules: DataFrame, text: str =
     # the plain form is a column of its own, as a generator would compute it once a reading
     said = docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("k"), _plain(whole).alias("plain"))
     said = said.select("k", F.inline(_readings(F.col("plain"))))
+    # written, the known sentences have a size: a small table is broadcast and the corpus stays where it is
+    norms = written(norms, "op2-norms")
     hits = written(said.join(norms, "norm").select("k", "reading", "pos", "s"), "op2-hits")
     seq = hits.groupBy("k", "reading").agg(F.sort_array(F.collect_set(F.struct("pos", "s"))).alias("hits"))
     seq = written(seq.withColumn("n_known", F.size("hits").cast("long")), "op2-sequences")
