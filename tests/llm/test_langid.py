@@ -1,7 +1,6 @@
 """Operator 6: held-out accuracy, rejection and edge cases."""
 
 import base64
-import math
 import random
 import zlib
 
@@ -95,36 +94,3 @@ def test_clusters_separate():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = langid.clusters_of(x, 3)
     assert sorted((x @ c.T).argmax(axis=1).tolist().count(i) for i in range(3)) == [2, 2, 3]
-
-
-def brute_counts(text):
-    """Letter trigrams by plain loops: bucket to count."""
-    cps = [ord(c) if c.isalpha() else 32 for c in f" {text} ".lower()]
-    out = {}
-    for a, b, c in zip(cps, cps[1:], cps[2:]):
-        if b != 32:
-            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2 ** 64
-            h = (h ^ h >> 15) * 0x2C1B3C6D % 2 ** 64
-            out[(h >> 12) % 4096] = out.get((h >> 12) % 4096, 0) + 1
-    return out
-
-
-def test_predictions_by_a_second_computation(spark, sf_dir):
-    """Document frequencies and nearest centroids by loops over sparse vectors."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    rows, model = docs.collect(), langid.fit(docs)
-    texts = {r.doc_id: brute_counts(r.text or "") for r in rows}
-    learnt = [texts[r.doc_id] for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang and texts[r.doc_id]]
-    for bucket in range(0, 4096, 37):
-        seen = sum(bucket in x for x in learnt)
-        assert abs(model.idf[bucket] - (math.log((1 + len(learnt)) / (1 + seen)) + 1)) < 1e-5
-    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
-    for doc, counted in texts.items():
-        if not counted:
-            assert got[doc].lang_pred == "und"
-            continue
-        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in counted.items()}
-        length = math.sqrt(sum(x * x for x in v.values()))
-        cos = [sum(x * float(c[k]) for k, x in v.items()) / length for c in model.centroids]
-        assert abs(got[doc].score - max(cos)) < 1e-4
-        assert got[doc].lang_pred in {lang for lang, x in zip(model.langs, cos) if x > max(cos) - 1e-4}
