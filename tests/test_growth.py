@@ -77,3 +77,54 @@ def test_clubs_of_a_feed_are_reduced_by_hash_and_the_last_name_stays(spark):
     assert sorted((r.external_id, r.name, r.first_delivery) for r in latest.collect()) == [
         ("x", "newest of a", 1), ("y", "y of 2", 1), ("z", "z", 1)]
     assert [r.external_id for r in nameless.collect()] == ["m5"]
+
+
+def test_files_of_a_landed_delivery_do_not_grow_with_the_competitions(spark, handmade, tmp_path):
+    teams, matches = handmade
+    many = matches.crossJoin(spark.range(40).select(F.col("id").alias("k"))).coalesce(2).withColumns({
+        "id": F.col("id") + F.col("k") * 100, "external_id": F.concat("external_id", F.lit("-"), F.col("k").cast("string")),
+        "competition": F.concat(F.lit("00"), F.col("k").cast("string"))})
+    land_delivery(many, teams.coalesce(1), f"{tmp_path}/feed", 3)
+    assert 1 <= len(_files(tmp_path / "feed", ".json.gz")) <= 16
+    got = read_scoreboard(spark, f"{tmp_path}/feed").select("delivery", "competition", "event.id")
+    want = many.select(F.lit(3), "competition", "external_id")
+    assert got.count() == 360 and got.exceptAll(want).count() == 0
+
+
+def test_a_folder_names_the_competition_then_the_payload(spark, tmp_path):
+    line = '{"competition": "p.1", "events": [{"id": "a"}]}\n{"events": [{"id": "b"}]}'
+    for at in ("f/delivery=1/competition=f.1", "p/delivery=1", "n"):
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "x.json").write_text(line)
+    got = {f: sorted((r.delivery, r.competition, r.id) for r in read_scoreboard(spark, f"{tmp_path}/{f}").select(
+        "delivery", "competition", "event.id").collect()) for f in "fpn"}
+    assert got == {"f": [(1, "f.1", "a"), (1, "f.1", "b")], "p": [(1, "eng.1", "b"), (1, "p.1", "a")], "n": [(0, "eng.1", "b"), (0, "p.1", "a")]}
+
+
+def test_empty_files_of_many_folders_by_one_listing(spark, tmp_path):
+    from pitchside.sources import files
+
+    for f in "ab":
+        (tmp_path / f / "in").mkdir(parents=True)
+        (tmp_path / f / "full.json").write_text("{}")
+        (tmp_path / f / "_SUCCESS").write_text("")
+    assert files.empty_files(spark, str(tmp_path)) == []
+    (tmp_path / "a" / "in" / "no thing%.json").write_text("")
+    (tmp_path / "b" / "nothing.json").write_text("")
+    assert files.empty_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")]) == [
+        f"file:{tmp_path}/a/in/no thing%.json", f"file:{tmp_path}/b/nothing.json"]
+
+
+def test_no_stage_is_left_to_the_interpreter(spark, handmade, tmp_path):
+    """A method too long for HotSpot is not compiled; Spark must not make one stage of it."""
+    teams, matches = handmade
+    land_delivery(matches, teams, f"{tmp_path}/feed", 1)
+    events = read_scoreboard(spark, f"{tmp_path}/feed")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert "lambda" not in _plan(events)                         # nor are the events of a payload taken one by one
+
+
+def test_numbering_sorts_by_numbers_first(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("g"), F.col("id").cast("timestamp").cast("timestamp_ntz").alias("at"))
+    plan = _plan(running_number(df, ["g"], [F.col("at"), F.col("id")], "n", kickoff_slice(F.col("at"))))
+    assert "Sort [_hash" in plan and "Sort [_at" not in plan
